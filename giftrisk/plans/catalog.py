@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from giftrisk.plans import q_core, q_triage  # noqa: F401  (registration side effects)
+from giftrisk.plans import q_core, q_reports, q_triage  # noqa: F401  (registration side effects)
 from giftrisk.plans.registry import ORACLE, QUERIES, bigint_counts
 
 
