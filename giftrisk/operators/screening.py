@@ -86,19 +86,25 @@ def fuzzy_hits(names: DataFrame, ents: DataFrame, min_match: float = C.DEFAULT_M
         ents = ents.where(F.col("entity_type") == entity_type)
     a = (names.select("name_id", normalise_name(F.col("name")).alias("na"))
          .where(F.length("na") > 0).dropDuplicates(["name_id", "na"]))
+    # lists are small and reused three times (size check, gram join, detail join)
     e = ents.select(F.col("entity_id"), F.col("name").alias("hit_name"), "list_name", "entity_type", "programs",
                     "remarks", normalise_name(F.col("name")).alias("ne")).where(F.length("ne") > 0)
-    e = e.withColumn("_ek", F.monotonically_increasing_id())
+    e = e.withColumn("_ek", F.xxhash64("entity_id", "list_name", "hit_name")).cache()
     eg = e.select("_ek", F.explode(bigrams(F.col("ne"))).alias("g"))
-    ag = a.select("name_id", "na", F.explode(bigrams(F.col("na"))).alias("g"))
-    if eg.count() <= BROADCAST_MAX_GRAM_ROWS:
+    small = eg.count() <= BROADCAST_MAX_GRAM_ROWS
+    if small:
         eg = F.broadcast(eg)
-    cand = ag.join(eg, "g").select("name_id", "na", "_ek").dropDuplicates(["name_id", "_ek"])
-    scored = cand.join(e, "_ek").withColumn(
+    # every donor with the same normalised name gets the same hits: screen each
+    # distinct name once, then join the hits back to the donors
+    dn = a.select("na").distinct()
+    ag = dn.select("na", F.explode(bigrams(F.col("na"))).alias("g"))
+    cand = ag.join(eg, "g").select("na", "_ek").distinct()
+    scored = cand.join(F.broadcast(e) if small else e, "_ek").withColumn(
         "match_score", 1 - F.levenshtein("na", "ne") / F.greatest(F.length("na"), F.length("ne")))
-    w = Window.partitionBy("name_id").orderBy(F.col("match_score").desc(), F.col("entity_id"), F.col("list_name"))
-    return (scored.where(F.col("match_score") >= min_match)
-            .withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= limit)
+    w = Window.partitionBy("na").orderBy(F.col("match_score").desc(), F.col("entity_id"), F.col("list_name"))
+    top = (scored.where(F.col("match_score") >= min_match)
+           .withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= limit))
+    return (a.join(top, "na")
             .select("name_id", "entity_id", "hit_name", "list_name", "entity_type", "programs", "remarks",
                     "match_score", "hit_rank"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from giftrisk.operators.features import Anchors, add_features, compute_anchors
 from giftrisk.operators.labels import label_scores
-from giftrisk.operators.reshape import donations as reshape_donations
+from giftrisk.operators.reshape import amount_anchors, enrich, remap_base
 from giftrisk.operators.rules import score_rules
 from giftrisk.session import ensure_checkpoint_dir
 from giftrisk.sources.bank import bank_transactions
@@ -56,7 +56,11 @@ class Pipeline:
 
     def donations(self) -> DataFrame:
         if self._donations is None:
-            self._donations = write_stage(reshape_donations(self.bank()), "donations")
+            # the deterministic part is written once, so the two anchor passes
+            # and the enrichment scan Parquet instead of recomputing the draws
+            base = write_stage(remap_base(self.bank()), "reshape_base")
+            a = amount_anchors(base)
+            self._donations = write_stage(enrich(base, a["amt_p90"], a["amt_p95"]), "donations")
         return self._donations
 
     def anchors(self) -> Anchors:

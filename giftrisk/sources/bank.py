@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from giftrisk import constants as C
 from giftrisk.functions.draws import uniform
-from giftrisk.sources.tables import table
+from giftrisk.sources.tables import ensure_parallelism, table
 
 
 def literal_map(mapping: dict) -> Column:
@@ -31,6 +31,7 @@ def pick(values: list[str], u: Column) -> Column:
 def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    orders = ensure_parallelism(orders, "o_orderkey")
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     # nation is a fixed 25-row dimension: broadcasting it is size-bounded.

@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that has fewer input splits than the cluster has
+    cores (e.g. one large unsplittable file); a no-op for the usual many-file
+    input, where the scan is already parallel."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV scan with a declared schema (never inferred)."""
     return spark.read.schema(schema).option("header", True).csv(path)
