@@ -16,10 +16,16 @@ P = Pipeline.get
 
 
 # ---------------------------------------------------------------- reshape
-@query("donations_reshaped", lambda: with_base(
-    f"SELECT {', '.join(C.DONATION_COLUMNS)} FROM donations"))
+_DON_SQL_COLS = ", ".join("CAST(Donation_Date AS VARCHAR) AS Donation_Date" if c == "Donation_Date" else c
+                          for c in C.DONATION_COLUMNS)
+
+
+@query("donations_reshaped", lambda: with_base(f"SELECT {_DON_SQL_COLS} FROM donations"))
 def donations_reshaped(spark, sf_dir):
-    return P(spark, sf_dir).donations()
+    """The 32-column donation table (date as ISO text for comparison)."""
+    d = P(spark, sf_dir).donations()
+    return d.select(*[F.date_format("Donation_Date", "yyyy-MM-dd").alias(c) if c == "Donation_Date" else F.col(c)
+                      for c in C.DONATION_COLUMNS])
 
 
 @query("currency_convert", lambda: with_base(
