@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from giftrisk import constants as C
 from giftrisk.functions.draws import NOISE_DRAWS, bigint_draw, uniform_from_hex, hash_hex
-from giftrisk.operators.quantiles import exact_quantiles, first_k_mask
+from giftrisk.operators.quantiles import exact_quantiles, first_k_masks
 
 
 def irwin_hall_noise(key: Column, sd: float = C.NOISE_SD) -> tuple[dict[str, Column], Column]:
@@ -48,9 +48,9 @@ def label_scores(scored: DataFrame, target_rate: float = C.TARGET_ANOMALY_RATE,
     n_pos, n_neg = int(counts["pos"]), int(counts["neg"])
     k_miss, k_false = int(n_pos * miss_rate), int(n_neg * false_flag_rate)
     df = df.withColumn("_flip", bigint_draw(F.col("Donation_ID"), "flip"))
-    flip_pos = first_k_mask(df, F.col("_flip"), F.col("Donation_ID"), k_miss, F.col("Label_Raw") == 1)
-    flip_neg = first_k_mask(df, F.col("_flip"), F.col("Donation_ID"), k_false, F.col("Label_Raw") == 0)
-    df = df.withColumn("Label_Flipped", (flip_pos | flip_neg).cast("int")).drop("_flip")
+    m = first_k_masks(df, F.col("_flip"), F.col("Donation_ID"),
+                      {"pos": (k_miss, F.col("Label_Raw") == 1), "neg": (k_false, F.col("Label_Raw") == 0)})
+    df = df.withColumn("Label_Flipped", (m["pos"] | m["neg"]).cast("int")).drop("_flip")
     df = df.withColumn("Is_Anomalous", F.when(F.col("Label_Flipped") == 1, 1 - F.col("Label_Raw"))
                        .otherwise(F.col("Label_Raw")).cast("int"))
     if stats is not None:

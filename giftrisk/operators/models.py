@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from giftrisk import constants as C
 from giftrisk.functions.draws import uniform
-from giftrisk.operators.quantiles import first_k_mask
+from giftrisk.operators.quantiles import first_k_masks
 
 
 def encode_categoricals(df: DataFrame, cols=C.CAT_ENCODE) -> DataFrame:
@@ -49,9 +49,11 @@ def stratified_split(df: DataFrame, label: str = "Is_Anomalous", test_share: flo
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
     d = df.withColumn("_sd", F.conv(F.substring(F.md5(F.concat(F.col(key), F.lit("|split"))), 1, 15), 16, 10)
                       .cast("bigint"))
+    masks = first_k_masks(d, F.col("_sd"), F.col(key),
+                          {str(cls): (int(round(test_share * n)), F.col(label) == cls) for cls, n in counts.items()})
     mask = F.lit(False)
-    for cls, n in counts.items():
-        mask = mask | first_k_mask(d, F.col("_sd"), F.col(key), int(round(test_share * n)), F.col(label) == cls)
+    for m in masks.values():
+        mask = mask | m
     return d.withColumn("is_test", mask.cast("int")).drop("_sd")
 
 

@@ -177,17 +177,39 @@ def exact_quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]],
     return out
 
 
+def first_k_masks(df: DataFrame, draw: Column, tiebreak: Column,
+                  requests: dict[str, tuple[int, Column | None]]) -> dict[str, Column]:
+    """Boolean columns, one per request (k, where), each true on exactly the
+    ``k`` rows (among ``where``) that come first when ordered by
+    (draw, tiebreak). All requests share the selection passes. Replaces
+    ``row_number() <= k`` over a whole group without sorting the group in one
+    task."""
+    conds = {q: (F.lit(True) if w is None else w) for q, (_, w) in requests.items()}
+    live = {q: k for q, (k, _) in requests.items() if k > 0}
+    out = {q: F.lit(False) for q in requests if q not in live}
+    if not live:
+        return out
+    vs = order_stats(df, {q: OrderStat(draw, k - 1, requests[q][1]) for q, k in live.items()})
+    # rows strictly below v, and the smallest tiebreak among ties on v
+    aggs = []
+    for q in live:
+        v = F.lit(vs[q])
+        aggs += [F.count_if(conds[q] & (draw < v)).alias(f"{q}__b"),
+                 F.min(F.when(conds[q] & (draw == v), tiebreak)).alias(f"{q}__t")]
+    row = df.agg(*aggs).first()
+    for q, k in live.items():
+        v = F.lit(vs[q])
+        r = k - int(row[f"{q}__b"])  # rows to take among ties on v, by tiebreak
+        if r == 1:
+            t = row[f"{q}__t"]
+        else:
+            t = (df.where(conds[q] & (draw == v)).select(tiebreak.alias("t"))
+                 .orderBy("t").offset(r - 1).limit(1).first()["t"])
+        out[q] = conds[q] & ((draw < v) | ((draw == v) & (tiebreak <= F.lit(t))))
+    return out
+
+
 def first_k_mask(df: DataFrame, draw: Column, tiebreak: Column, k: int,
                  where: Column | None = None) -> Column:
-    """Boolean column true on exactly the ``k`` rows (among ``where``) that come
-    first when ordered by (draw, tiebreak). Replaces ``row_number() <= k`` over a
-    whole group without sorting the group in one task."""
-    cond = F.lit(True) if where is None else where
-    if k <= 0:
-        return F.lit(False)
-    v = order_stats(df, {"v": OrderStat(draw, k - 1, where)})["v"]
-    below = df.where(cond & (draw < F.lit(v))).count()
-    r = k - below  # rows to take among ties on v, by tiebreak
-    t = (df.where(cond & (draw == F.lit(v))).select(tiebreak.alias("t"))
-         .orderBy("t").offset(r - 1).limit(1).first()["t"])
-    return cond & ((draw < F.lit(v)) | ((draw == F.lit(v)) & (tiebreak <= F.lit(t))))
+    """Single-request form of ``first_k_masks``."""
+    return first_k_masks(df, draw, tiebreak, {"m": (k, where)})["m"]
