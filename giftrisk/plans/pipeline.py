@@ -45,6 +45,9 @@ class Pipeline:
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> "Pipeline":
+        # event-time arithmetic treats the tables' naive timestamps as UTC
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
         with cls._lock:
             if key not in cls._cache:

@@ -14,6 +14,8 @@ from giftrisk.sources.tables import table
 def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, event_ts (timestamp, UTC), t_us (epoch micros), donor_id,
     ip_key, device_id, webhook_event, amount."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     ts = F.col("ts").cast("timestamp")
