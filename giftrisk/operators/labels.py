@@ -29,11 +29,8 @@ def irwin_hall_noise(key: Column, sd: float = C.NOISE_SD) -> tuple[dict[str, Col
     return hashes, F.lit(sd) * (total - F.lit(6.0))
 
 
-def label_scores(scored: DataFrame, target_rate: float = C.TARGET_ANOMALY_RATE,
-                 miss_rate: float = C.MISS_RATE, false_flag_rate: float = C.FALSE_FLAG_RATE,
-                 stats: dict | None = None) -> DataFrame:
-    """Adds Score_Norm, Score_Noisy, Label_Raw, Label_Flipped and Is_Anomalous.
-    ``stats`` (optional) receives the scalars used (min, max, threshold, counts)."""
+def add_noise(scored: DataFrame, stats: dict | None = None) -> DataFrame:
+    """Score_Norm = (s - min) / (max - min + 1e-9); Score_Noisy = clip(norm + noise)."""
     s = F.col("Rule_Score")
     mm = scored.agg(F.min(s).alias("mn"), F.max(s).alias("mx")).first()
     mn, mx = float(mm["mn"]), float(mm["mx"])
@@ -41,8 +38,18 @@ def label_scores(scored: DataFrame, target_rate: float = C.TARGET_ANOMALY_RATE,
     df = scored.withColumn("Score_Norm", (s - F.lit(mn)) / (F.lit(mx) - F.lit(mn) + F.lit(1e-9)))
     df = df.withColumns(hashes).withColumn("Score_Noisy", F.least(F.greatest(
         F.col("Score_Norm") + noise, F.lit(0.0)), F.lit(1.0))).drop(*hashes)
-    thr = exact_quantiles(df, {"t": (F.col("Score_Noisy"), 1 - target_rate)})["t"]
-    df = df.withColumn("Label_Raw", (F.col("Score_Noisy") >= F.lit(thr)).cast("int"))
+    if stats is not None:
+        stats.update(min=mn, max=mx)
+    return df
+
+
+def assign_labels(noisy: DataFrame, target_rate: float = C.TARGET_ANOMALY_RATE,
+                  miss_rate: float = C.MISS_RATE, false_flag_rate: float = C.FALSE_FLAG_RATE,
+                  stats: dict | None = None) -> DataFrame:
+    """Label_Raw at the (1 - target) quantile of Score_Noisy, then the exact
+    count flips; adds Label_Raw, Label_Flipped, Is_Anomalous."""
+    thr = exact_quantiles(noisy, {"t": (F.col("Score_Noisy"), 1 - target_rate)})["t"]
+    df = noisy.withColumn("Label_Raw", (F.col("Score_Noisy") >= F.lit(thr)).cast("int"))
     counts = df.agg(F.count_if(F.col("Label_Raw") == 1).alias("pos"),
                     F.count_if(F.col("Label_Raw") == 0).alias("neg")).first()
     n_pos, n_neg = int(counts["pos"]), int(counts["neg"])
@@ -54,6 +61,13 @@ def label_scores(scored: DataFrame, target_rate: float = C.TARGET_ANOMALY_RATE,
     df = df.withColumn("Is_Anomalous", F.when(F.col("Label_Flipped") == 1, 1 - F.col("Label_Raw"))
                        .otherwise(F.col("Label_Raw")).cast("int"))
     if stats is not None:
-        stats.update(min=mn, max=mx, threshold=thr, n_pos=n_pos, n_neg=n_neg,
-                     n_missed=k_miss, n_false_flag=k_false)
+        stats.update(threshold=thr, n_pos=n_pos, n_neg=n_neg, n_missed=k_miss, n_false_flag=k_false)
     return df
+
+
+def label_scores(scored: DataFrame, target_rate: float = C.TARGET_ANOMALY_RATE,
+                 miss_rate: float = C.MISS_RATE, false_flag_rate: float = C.FALSE_FLAG_RATE,
+                 stats: dict | None = None) -> DataFrame:
+    """Adds Score_Norm, Score_Noisy, Label_Raw, Label_Flipped and Is_Anomalous.
+    ``stats`` (optional) receives the scalars used (min, max, threshold, counts)."""
+    return assign_labels(add_noise(scored, stats), target_rate, miss_rate, false_flag_rate, stats)

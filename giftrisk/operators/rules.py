@@ -139,9 +139,13 @@ def score_rules(donations: DataFrame, a: Anchors, keep_terms: bool = True) -> Da
                                 "_ratio": amt_ltv_ratio(amt, ltv)})
     c = Ctx(a)
     df = df.withColumn("Flag_Count", flag_count(c))
+    # the 49 predicates are evaluated once into one int array; group sums and
+    # the fired list read it. One fused projection of 49 predicates x 2 uses
+    # generates a method above the JIT size limit and runs interpreted.
+    df = df.withColumn("_t", F.array(*[F.coalesce(t.pred(c), F.lit(False)).cast("int") for t in TERMS]))
     groups = {}
-    for t in TERMS:
-        v = F.when(t.pred(c), F.lit(t.tenths)).otherwise(F.lit(0))
+    for i, t in enumerate(TERMS):
+        v = F.col("_t")[i] * F.lit(t.tenths)
         groups[t.rule] = v if t.rule not in groups else groups[t.rule] + v
     df = df.withColumns({f"{r}_10": groups[r] for r in RULE_IDS})
     total = None
@@ -150,8 +154,10 @@ def score_rules(donations: DataFrame, a: Anchors, keep_terms: bool = True) -> Da
     df = df.withColumn("Rule_Score_10", total)
     df = df.withColumn("Rule_Score", F.col("Rule_Score_10") / 10.0)
     if keep_terms:
-        fired = F.array(*[F.when(t.pred(c), F.lit(t.term)) for t in TERMS])
+        names = F.array(*[F.lit(t.term) for t in TERMS])
+        fired = F.transform(F.col("_t"), lambda v, i: F.when(v == 1, names[i]))
         df = df.withColumn("Fired_Terms", F.filter(fired, lambda x: x.isNotNull()))
+    df = df.drop("_t")
     return df.drop("_hour", "_ratio")
 
 

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from giftrisk.operators.features import Anchors, add_features, compute_anchors
-from giftrisk.operators.labels import label_scores
+from giftrisk.operators.labels import add_noise, assign_labels
 from giftrisk.operators.reshape import amount_anchors, enrich, remap_base
 from giftrisk.operators.rules import score_rules
 from giftrisk.session import ensure_checkpoint_dir
@@ -81,5 +81,8 @@ class Pipeline:
         """Donations + features + rule columns + labels (materialised)."""
         if self._labeled is None:
             scored = write_stage(self.scored(), "scored")
-            self._labeled = write_stage(label_scores(scored, stats=self.label_stats), "labeled")
+            # the noisy score is written once: the threshold and flip passes
+            # then scan it instead of recomputing the noise draws each time
+            noisy = write_stage(add_noise(scored, self.label_stats), "noisy")
+            self._labeled = write_stage(assign_labels(noisy, stats=self.label_stats), "labeled")
         return self._labeled
