@@ -68,7 +68,13 @@ METRIC_SCHEMA = T.StructType([T.StructField("model", T.StringType()), T.StructFi
                               T.StructField("average_precision", T.DoubleType())])
 
 
-@query("metrics_json_roundtrip")
+def _metrics_json_sql():
+    from giftrisk.plans.q_triage import _cum_sql, _long_sql, _metrics_select, with_risk
+    inner = _metrics_select("model")
+    return with_risk(f", {_cum_sql(_long_sql(), 'model')}, mcmp AS ({inner}) SELECT model, roc_auc, average_precision FROM mcmp")
+
+
+@query("metrics_json_roundtrip", _metrics_json_sql)
 def metrics_json_roundtrip(spark, sf_dir):
     """Metrics written as JSON and read back with a declared schema."""
     from giftrisk.plans.q_triage import model_comparison

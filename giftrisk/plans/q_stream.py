@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from giftrisk.plans.pipeline import Pipeline
-from giftrisk.plans.registry import query
+from giftrisk.plans.q_triage import wr
+from giftrisk.plans.q_windows import EVENTS_SQL
+from giftrisk.plans.registry import q6, query, r6
 from giftrisk.streaming import detectors as S
 
 P = Pipeline.get
@@ -30,16 +32,19 @@ def stream_sessions(spark, sf_dir):
     return S.run_to_table(S.sessions(S.event_stream(spark, sf_dir)), "sessions")
 
 
-@query("stream_reversal_join")
+@query("stream_reversal_join", f"WITH ev AS ({EVENTS_SQL}) SELECT a.event_id AS auth_id, r.event_id AS rev_id, "
+       "a.donor_id FROM ev a JOIN ev r ON a.donor_id = r.donor_id AND a.webhook_event = 'payment.authorised' AND "
+       "r.webhook_event = 'payment.reversed' AND r.t_us BETWEEN a.t_us AND a.t_us + 3600000000")
 def stream_reversal_join(spark, sf_dir):
     """T4: stream-stream interval join authorised -> reversed within 1 h."""
-    return S.run_to_table(S.reversal_join(S.event_stream(spark, sf_dir)), "reversal")
+    out = S.run_to_table(S.reversal_join(S.event_stream(spark, sf_dir)), "reversal")
+    return out.select("auth_id", "rev_id", "donor_id")
 
 
-@query("stream_dedup")
+@query("stream_dedup", "SELECT DISTINCT event_id, user_id AS donor_id FROM events")
 def stream_dedup(spark, sf_dir):
     """De-duplicated webhook deliveries (late rows dropped by the watermark)."""
-    return S.run_to_table(S.deduplicate(S.event_stream(spark, sf_dir)), "dedup")
+    return S.run_to_table(S.deduplicate(S.event_stream(spark, sf_dir)), "dedup").select("event_id", "donor_id")
 
 
 @query("stream_donor_state")
@@ -48,7 +53,7 @@ def stream_donor_state(spark, sf_dir):
     return S.run_to_table(S.donor_state(S.event_stream(spark, sf_dir)), "donor_state")
 
 
-@query("stream_features")
+@query("stream_features", wr(f"SELECT Donation_ID, Rule_Score, {q6('Risk_Score')} AS Risk_Score, Risk_Tier FROM riskq"))
 def stream_features(spark, sf_dir):
     """The batch scoring columns applied to a stream of donation files."""
     p = P(spark, sf_dir)
@@ -56,4 +61,5 @@ def stream_features(spark, sf_dir):
     path = d.inputFiles()[0].rsplit("/", 1)[0]
     stats = p.labeled().agg(F.min("Rule_Score"), F.max("Rule_Score")).first()
     scored = S.score_stream(S.donation_stream(spark, path, d.schema), p.anchors(), stats[0], stats[1])
-    return S.run_to_table(scored.select("Donation_ID", "Rule_Score", "Risk_Score", "Risk_Tier"), "features")
+    out = S.run_to_table(scored.select("Donation_ID", "Rule_Score", "Risk_Score", "Risk_Tier"), "features")
+    return out.select("Donation_ID", "Rule_Score", r6("Risk_Score").alias("Risk_Score"), "Risk_Tier")
