@@ -13,7 +13,7 @@ from giftrisk import constants as C
 from giftrisk.operators import aggregates as AG
 from giftrisk.operators import features as FE
 from giftrisk.operators import screening as SC
-from giftrisk.plans.oracle import inlist, with_base
+from giftrisk.plans.oracle import inlist, u, with_base
 from giftrisk.plans.pipeline import Pipeline
 from giftrisk.plans.q_screen import _entities_sql, donor_names, entities
 from giftrisk.plans.q_triage import risk, wr
@@ -266,3 +266,39 @@ def triage_display(spark, sf_dir):
     return out.withColumns({"Risk Score": F.format_string("%.4f", F.col("Risk Score")),
                             "Log Amount": r6("Log Amount", 4)})
 
+
+
+@query("rate_sum_count_by_segment", wr(
+    "SELECT Donor_Segment, CAST(sum(Is_Anomalous) AS BIGINT) AS n_anomalous, count(*) AS n, "
+    + q6("sum(Is_Anomalous) / count(*)") + " AS rate FROM riskq GROUP BY Donor_Segment"))
+def rate_sum_count_by_segment(spark, sf_dir):
+    """A3: grouped sum and count with the rate derived afterwards."""
+    g = P(spark, sf_dir).labeled().groupBy("Donor_Segment").agg(
+        F.sum(Y).cast("bigint").alias("n_anomalous"), F.count("*").alias("n"))
+    return g.withColumn("rate", r6(F.col("n_anomalous") / F.col("n")))
+
+
+@query("schema_report")
+def schema_report(spark, sf_dir):
+    """Column names, types and the row count of the donation table."""
+    d = P(spark, sf_dir).donations()
+    n = d.count()
+    rows = [(i, f.name, f.dataType.simpleString(), n) for i, f in enumerate(d.schema.fields)]
+    return spark.createDataFrame(rows, "position int, column_name string, data_type string, n_rows long")
+
+
+def _dayfirst_text():
+    from giftrisk.functions.draws import uniform
+    good = F.date_format("Donation_Date", "dd-MM-yyyy")
+    return F.when(uniform(F.col("Donation_ID"), "badtext", 0) < 0.01, F.lit("31-02-2024")).otherwise(good)
+
+
+@query("day_first_parse", lambda: with_base(
+    ", t AS (SELECT Donation_ID, CASE WHEN " + u("Donation_ID", "badtext", 0) + " < CAST(0.01 AS DOUBLE) THEN '31-02-2024' ELSE strftime(Donation_Date, "
+    "'%d-%m-%Y') END AS raw FROM donations) SELECT Donation_ID, raw, CAST(CAST(try_strptime(raw, '%d-%m-%Y') AS DATE) "
+    "AS VARCHAR) AS parsed FROM t"))
+def day_first_parse(spark, sf_dir):
+    """Day-first date text parsed with an explicit pattern; impossible
+    dates become NULL instead of failing the job."""
+    d = P(spark, sf_dir).donations().select("Donation_ID", _dayfirst_text().alias("raw"))
+    return d.select("Donation_ID", "raw", F.date_format(FE.parse_day_first(F.col("raw")), "yyyy-MM-dd").alias("parsed"))
