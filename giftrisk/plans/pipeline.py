@@ -41,6 +41,7 @@ class Pipeline:
         self._donations: DataFrame | None = None
         self._anchors: Anchors | None = None
         self._labeled: DataFrame | None = None
+        self._entities: DataFrame | None = None
         self.label_stats: dict = {}
 
     @classmethod
@@ -77,6 +78,17 @@ class Pipeline:
     def scored(self) -> DataFrame:
         return score_rules(self.features(), self.anchors())
 
+    def entities(self) -> DataFrame:
+        """Normalised sanctions entities (U1 over all list payloads), written
+        once: the lists are a reference table reused by every screening query."""
+        if self._entities is None:
+            from giftrisk.operators.screening import entities as union_lists
+            from giftrisk.sources.sanctions import derived_payloads, listed_people
+            people = write_stage(listed_people(self.spark, self.sf_dir), "listed_people")
+            payloads = derived_payloads(self.spark, self.sf_dir, people)
+            self._entities = write_stage(union_lists(payloads), "entities")
+        return self._entities
+
     def labeled(self) -> DataFrame:
         """Donations + features + rule columns + labels (materialised)."""
         if self._labeled is None:

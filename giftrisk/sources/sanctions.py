@@ -63,9 +63,10 @@ def listed_people(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(uniform(k, "sdn2", 1) < 0.1, "Entity").otherwise("Individual").alias("kind")))
 
 
-def derived_payloads(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """One DataFrame per payload key, each with that list's field names."""
-    people = listed_people(spark, sf_dir)
+def derived_payloads(spark: SparkSession, sf_dir: str, people: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One DataFrame per payload key, each with that list's field names
+    (``people`` may be a materialised ``listed_people``)."""
+    people = people if people is not None else listed_people(spark, sf_dir)
     out = {}
     for key, (f_name, f_prog, f_rem, f_type, f_id) in LIST_FIELDS.items():
         p = people.where(F.col("list_key") == key)
