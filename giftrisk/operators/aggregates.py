@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from giftrisk.operators.quantiles import exact_quantiles
+
 
 def ordered_dimension(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
     """Fixed-order dimension (ord, name) for reindexing."""
@@ -39,23 +41,44 @@ def argmax_per_dimension(g: DataFrame, score: str = "rate") -> DataFrame:
     return g.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def group_quantiles(df: DataFrame, value: str, probs: dict[str, float], group: str | None = None,
+                    groups: list | None = None) -> dict:
+    """Exact linear-interpolation quantiles of ``value`` per group value, all
+    (group, probability) pairs resolved together by the distributed selection
+    (no group is gathered into one task). Returns {(group, name): value}."""
+    specs, where = {}, {}
+    for g in (groups if group else [None]):
+        for name, p in probs.items():
+            q = f"q{len(specs)}"
+            specs[q] = (F.col(value), p)
+            if group:
+                where[q] = F.col(group) == F.lit(g)
+    res = exact_quantiles(df, specs, where)
+    out, i = {}, 0
+    for g in (groups if group else [None]):
+        for name in probs:
+            out[(g, name)] = res[f"q{i}"]
+            i += 1
+    return out
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """describe(): count, mean, sample std, min, quartiles, max per column in
-    one aggregate, then stacked. Quartiles use the exact ``percentile``; the
-    profiled columns are money / integer domains, so each per-partition value
-    map is bounded by the number of distinct values."""
+    """describe(): count, mean, sample std, min, quartiles, max per column;
+    moments in one aggregate, quartiles by the distributed exact selection."""
     aggs = []
     for c in columns:
         x = F.col(c)
         aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
-                 F.min(x).cast("double").alias(f"{c}__min"), F.percentile(x, 0.25).alias(f"{c}__p25"),
-                 F.percentile(x, 0.5).alias(f"{c}__p50"), F.percentile(x, 0.75).alias(f"{c}__p75"),
-                 F.max(x).cast("double").alias(f"{c}__max")]
+                 F.min(x).cast("double").alias(f"{c}__min"), F.max(x).cast("double").alias(f"{c}__max")]
+    qs = {}
+    for c in columns:
+        for (_, name), v in group_quantiles(df, c, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).items():
+            qs[(c, name)] = v
     wide = df.agg(*aggs)
     return wide.select(F.inline(F.array(*[F.struct(
         F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("n"), F.col(f"{c}__mean").alias("mean"),
-        F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__p25").alias("p25"),
-        F.col(f"{c}__p50").alias("p50"), F.col(f"{c}__p75").alias("p75"), F.col(f"{c}__max").alias("max"))
+        F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"), F.lit(qs[(c, "p25")]).alias("p25"),
+        F.lit(qs[(c, "p50")]).alias("p50"), F.lit(qs[(c, "p75")]).alias("p75"), F.col(f"{c}__max").alias("max"))
         for c in columns])))
 
 
@@ -98,23 +121,37 @@ def histogram(df: DataFrame, value: str, label: str, bins: int) -> DataFrame:
                     (F.col("n") / (F.col("_cnt") * ((F.col("_mx") - F.col("_mn")) / bins))).alias("density")))
 
 
+def _label_lit(label: str, values: dict) -> Column:
+    """Per-label scalar as a column (a CASE over the few label values)."""
+    expr = None
+    for g, v in values.items():
+        cond = F.col(label) == F.lit(g)
+        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
+    return expr
+
+
 def box_stats(df: DataFrame, value: str, label: str) -> DataFrame:
     """Quartiles, whiskers (most extreme values within 1.5 IQR of the box) and
-    outlier count per label; the fences are joined back as a 2-row broadcast."""
+    outlier count per label. Quartiles come from the distributed selection; the
+    fences are per-label literals, so the second pass is one grouped aggregate."""
+    labels = [r[0] for r in df.select(label).distinct().collect()]  # label values (0 / 1)
+    q = group_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, label, labels)
+    q1 = _label_lit(label, {g: q[(g, "q1")] for g in labels})
+    q3 = _label_lit(label, {g: q[(g, "q3")] for g in labels})
+    med = _label_lit(label, {g: q[(g, "median")] for g in labels})
     x = F.col(value)
-    q = df.groupBy(label).agg(F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.5).alias("median"),
-                              F.percentile(x, 0.75).alias("q3"))
-    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    return (df.join(F.broadcast(q), label).groupBy(label, "q1", "median", "q3")
-            .agg(F.min(F.when(x >= lo, x)).alias("whisker_lo"), F.max(F.when(x <= hi, x)).alias("whisker_hi"),
-                 F.count_if((x < lo) | (x > hi)).alias("n_outliers")))
+    lo = q1 - 1.5 * (q3 - q1)
+    hi = q3 + 1.5 * (q3 - q1)
+    return (df.groupBy(label).agg(
+        F.first(q1).alias("q1"), F.first(med).alias("median"), F.first(q3).alias("q3"),
+        F.min(F.when(x >= lo, x)).alias("whisker_lo"), F.max(F.when(x <= hi, x)).alias("whisker_hi"),
+        F.count_if((x < lo) | (x > hi)).alias("n_outliers")))
 
 
 def medians_by_label(df: DataFrame, value: str, label: str) -> DataFrame:
-    x = F.col(value)
-    return df.agg(F.percentile(F.when(F.col(label) == 1, x), 0.5).alias("median_anomalous"),
-                  F.percentile(F.when(F.col(label) == 0, x), 0.5).alias("median_legit"))
+    q = group_quantiles(df, value, {"median": 0.5}, label, [1, 0])
+    return df.agg(F.count("*").alias("_n")).select(F.lit(q[(1, "median")]).alias("median_anomalous"),
+                                                   F.lit(q[(0, "median")]).alias("median_legit"))
 
 
 def kpis(df: DataFrame) -> DataFrame:

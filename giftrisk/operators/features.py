@@ -48,26 +48,6 @@ def compute_anchors(donations: DataFrame) -> Anchors:
     return Anchors(n=int(m["n"]), amt_mean=m["mean"], amt_std_pop=m["sp"], amt_std_samp=m["ss"], **q)
 
 
-def anchors_df(donations: DataFrame, by: str | None = None) -> DataFrame:
-    """Anchors as a DataFrame; ``by`` gives one row per group (e.g. per
-    currency), using the exact grouped percentile (money values have a bounded
-    domain of cents, so the per-group value map is bounded)."""
-    amt, ltv = F.col("Donation_Amount"), F.col("Donor_Lifetime_Value")
-    ratio = amt_ltv_ratio(amt, ltv)
-    grouped = donations.groupBy(by) if by else donations.groupBy()
-    return grouped.agg(
-        F.count("*").alias("n"),
-        F.avg(amt).alias("amt_mean"),
-        F.stddev_pop(amt).alias("amt_std_pop"),
-        F.stddev_samp(amt).alias("amt_std_samp"),
-        F.percentile(amt, 0.75).alias("amt_p75"),
-        F.percentile(amt, 0.90).alias("amt_p90"),
-        F.percentile(amt, 0.95).alias("amt_p95"),
-        F.percentile(ltv, 0.10).alias("ltv_p10"),
-        F.percentile(ratio, 0.90).alias("ratio_p90"),
-    )
-
-
 def parse_hour(time_str: Column, pattern: str = "HH:mm:ss") -> Column:
     """Hour of a time string; NULL when it does not parse."""
     return F.hour(F.try_to_timestamp(time_str, F.lit(pattern)))

@@ -114,12 +114,17 @@ def anchors(spark, sf_dir):
     + q6("quantile_cont(Donor_Lifetime_Value, 0.10)") + " AS ltv_p10 FROM donations GROUP BY Currency"))
 def anchors_by_currency(spark, sf_dir):
     """D10 option: anchors per currency group (exact grouped percentile)."""
+    from giftrisk.operators.aggregates import _label_lit, group_quantiles
     d = P(spark, sf_dir).donations()
-    amt, ltv = F.col("Donation_Amount"), F.col("Donor_Lifetime_Value")
+    amt = F.col("Donation_Amount")
+    cur = [r[0] for r in d.select("Currency").distinct().collect()]  # a handful of currencies
+    qa = group_quantiles(d, "Donation_Amount", {"amt_p75": 0.75, "amt_p90": 0.90}, "Currency", cur)
+    ql = group_quantiles(d, "Donor_Lifetime_Value", {"ltv_p10": 0.10}, "Currency", cur)
+    col = lambda q, name: _label_lit("Currency", {c: q[(c, name)] for c in cur})
     return d.groupBy("Currency").agg(
         F.count("*").alias("n"), r6(F.avg(amt)).alias("amt_mean"),
-        r6(F.percentile(amt, 0.75)).alias("amt_p75"), r6(F.percentile(amt, 0.90)).alias("amt_p90"),
-        r6(F.percentile(ltv, 0.10)).alias("ltv_p10"))
+        r6(F.first(col(qa, "amt_p75"))).alias("amt_p75"), r6(F.first(col(qa, "amt_p90"))).alias("amt_p90"),
+        r6(F.first(col(ql, "ltv_p10"))).alias("ltv_p10"))
 
 
 # ---------------------------------------------------------------- features
