@@ -147,3 +147,32 @@ def cv_metrics(spark, sf_dir):
         out = out.unionByName(p)
     return out.agg(F.avg("roc_auc").alias("auc_mean"), F.stddev_samp("roc_auc").alias("auc_sd"),
                    F.avg("average_precision").alias("ap_mean"), F.stddev_samp("average_precision").alias("ap_sd"))
+
+
+def _honest_sql():
+    from giftrisk.plans.oracle import u
+    from giftrisk.plans.q_triage import _cum_sql
+    split = (", sp AS (SELECT Donation_ID, Score_Norm, Is_Anomalous, row_number() OVER (PARTITION BY Is_Anomalous "
+             "ORDER BY " + _SPLIT_DRAW + ", Donation_ID) <= round(0.2 * count(*) OVER (PARTITION BY Is_Anomalous)) "
+             "AS is_test FROM labeled)")
+    val = f"SELECT Score_Norm AS score, Is_Anomalous FROM sp WHERE NOT is_test AND {u('Donation_ID', 'val', 0)} < 0.25"
+    return with_base(
+        split + f", {_cum_sql(val)}, opt AS (SELECT score AS t FROM fb WHERE on_curve ORDER BY fbeta DESC, score "
+        "LIMIT 1) SELECT " + q6("t") + " AS threshold, count_if(Score_Norm >= t AND Is_Anomalous = 1) AS tp, "
+        "count_if(Score_Norm >= t AND Is_Anomalous = 0) AS fp, count_if(Score_Norm < t AND Is_Anomalous = 1) AS fn, "
+        "count_if(Score_Norm < t AND Is_Anomalous = 0) AS tn FROM sp, opt WHERE is_test GROUP BY t")
+
+
+@query("honest_threshold", _honest_sql)
+def honest_threshold(spark, sf_dir):
+    """D14 honest mode: the F-0.5 threshold is chosen on a validation quarter
+    of the training rows and the confusion counts are reported on the
+    untouched test split (the parity mode tunes on the test set itself)."""
+    from giftrisk.functions.draws import uniform
+    from giftrisk.operators import evaluate as EV
+    lab = P(spark, sf_dir).labeled().select("Donation_ID", "Score_Norm", Y)
+    s = M.stratified_split(lab)
+    val = s.where((F.col("is_test") == 0) & (uniform(F.col("Donation_ID"), "val", 0) < 0.25))
+    t = EV.summary_metrics(val, "Score_Norm", Y).first()["opt_threshold"]
+    cm = EV.confusion(s.where(F.col("is_test") == 1), F.col("Score_Norm"), Y, t)
+    return cm.select(r6(F.lit(t)).alias("threshold"), "tp", "fp", "fn", "tn")
