@@ -251,7 +251,7 @@ def _features() -> str:
     CAST(Age < 25 AND Donation_Amount >= a.amt_p95 AS INTEGER) AS Young_Large,
     CAST(Donation_Type = 'Refund' AS INTEGER) AS Is_Withdrawal,
     CAST(Donation_Type = 'Bank Transfer' AS INTEGER) AS Is_Transfer
-  FROM (SELECT *, hour(try_strptime(Donation_Time, '%H:%M:%S')) AS Hour FROM donations) d, anchors a
+  FROM (SELECT *, CAST(hour(try_strptime(Donation_Time, '%H:%M:%S')) AS INTEGER) AS Hour FROM donations) d, anchors a
 )"""
 
 
