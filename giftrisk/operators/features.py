@@ -39,12 +39,15 @@ def amt_ltv_ratio(amount: Column, ltv: Column) -> Column:
 
 def compute_anchors(donations: DataFrame) -> Anchors:
     amt, ltv = F.col("Donation_Amount"), F.col("Donor_Lifetime_Value")
+    ratio = amt_ltv_ratio(amt, ltv)
     m = donations.agg(F.count("*").alias("n"), F.avg(amt).alias("mean"),
-                      F.stddev_pop(amt).alias("sp"), F.stddev_samp(amt).alias("ss")).first()
+                      F.stddev_pop(amt).alias("sp"), F.stddev_samp(amt).alias("ss"),
+                      F.count(amt).alias("n_amt"), F.count(ltv).alias("n_ltv"), F.count(ratio).alias("n_ratio")).first()
     q = exact_quantiles(donations, {
         "amt_p75": (amt, 0.75), "amt_p90": (amt, 0.90), "amt_p95": (amt, 0.95),
-        "ltv_p10": (ltv, 0.10), "ratio_p90": (amt_ltv_ratio(amt, ltv), 0.90),
-    })
+        "ltv_p10": (ltv, 0.10), "ratio_p90": (ratio, 0.90),
+    }, counts={"amt_p75": m["n_amt"], "amt_p90": m["n_amt"], "amt_p95": m["n_amt"], "ltv_p10": m["n_ltv"],
+               "ratio_p90": m["n_ratio"]})
     return Anchors(n=int(m["n"]), amt_mean=m["mean"], amt_std_pop=m["sp"], amt_std_samp=m["ss"], **q)
 
 

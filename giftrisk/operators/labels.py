@@ -32,14 +32,14 @@ def irwin_hall_noise(key: Column, sd: float = C.NOISE_SD) -> tuple[dict[str, Col
 def add_noise(scored: DataFrame, stats: dict | None = None) -> DataFrame:
     """Score_Norm = (s - min) / (max - min + 1e-9); Score_Noisy = clip(norm + noise)."""
     s = F.col("Rule_Score")
-    mm = scored.agg(F.min(s).alias("mn"), F.max(s).alias("mx")).first()
+    mm = scored.agg(F.min(s).alias("mn"), F.max(s).alias("mx"), F.count(s).alias("n")).first()
     mn, mx = float(mm["mn"]), float(mm["mx"])
     hashes, noise = irwin_hall_noise(F.col("Donation_ID"))
     df = scored.withColumn("Score_Norm", (s - F.lit(mn)) / (F.lit(mx) - F.lit(mn) + F.lit(1e-9)))
     df = df.withColumns(hashes).withColumn("Score_Noisy", F.least(F.greatest(
         F.col("Score_Norm") + noise, F.lit(0.0)), F.lit(1.0))).drop(*hashes)
     if stats is not None:
-        stats.update(min=mn, max=mx)
+        stats.update(min=mn, max=mx, n=int(mm["n"]))
     return df
 
 
@@ -48,7 +48,9 @@ def assign_labels(noisy: DataFrame, target_rate: float = C.TARGET_ANOMALY_RATE,
                   stats: dict | None = None) -> DataFrame:
     """Label_Raw at the (1 - target) quantile of Score_Noisy, then the exact
     count flips; adds Label_Raw, Label_Flipped, Is_Anomalous."""
-    thr = exact_quantiles(noisy, {"t": (F.col("Score_Noisy"), 1 - target_rate)})["t"]
+    n = (stats or {}).get("n")  # Score_Noisy is never null: its count is the row count
+    thr = exact_quantiles(noisy, {"t": (F.col("Score_Noisy"), 1 - target_rate)},
+                          counts={"t": n} if n is not None else None)["t"]
     df = noisy.withColumn("Label_Raw", (F.col("Score_Noisy") >= F.lit(thr)).cast("int"))
     counts = df.agg(F.count_if(F.col("Label_Raw") == 1).alias("pos"),
                     F.count_if(F.col("Label_Raw") == 0).alias("neg")).first()
@@ -56,7 +58,8 @@ def assign_labels(noisy: DataFrame, target_rate: float = C.TARGET_ANOMALY_RATE,
     k_miss, k_false = int(n_pos * miss_rate), int(n_neg * false_flag_rate)
     df = df.withColumn("_flip", bigint_draw(F.col("Donation_ID"), "flip"))
     m = first_k_masks(df, F.col("_flip"), F.col("Donation_ID"),
-                      {"pos": (k_miss, F.col("Label_Raw") == 1), "neg": (k_false, F.col("Label_Raw") == 0)})
+                      {"pos": (k_miss, F.col("Label_Raw") == 1), "neg": (k_false, F.col("Label_Raw") == 0)},
+                      counts={"pos": n_pos, "neg": n_neg})
     df = df.withColumn("Label_Flipped", (m["pos"] | m["neg"]).cast("int")).drop("_flip")
     df = df.withColumn("Is_Anomalous", F.when(F.col("Label_Flipped") == 1, 1 - F.col("Label_Raw"))
                        .otherwise(F.col("Label_Raw")).cast("int"))

@@ -143,12 +143,16 @@ def _pick_inside(proj: DataFrame, jobs: dict[str, tuple]) -> dict[str, object]:
 
 
 def exact_quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]],
-                    where: dict[str, Column] | None = None) -> dict[str, float]:
+                    where: dict[str, Column] | None = None,
+                    counts: dict[str, int] | None = None) -> dict[str, float]:
     """Linear-interpolation quantiles (numpy/pandas default, DuckDB
-    ``quantile_cont``): v[lo] + (v[hi] - v[lo]) * (h - lo), h = (n - 1) p."""
+    ``quantile_cont``): v[lo] + (v[hi] - v[lo]) * (h - lo), h = (n - 1) p.
+    ``counts`` (non-null counts per spec) saves the counting pass when an
+    earlier aggregate already produced them."""
     where = where or {}
     masked = {q: (col if where.get(q) is None else F.when(where[q], col)) for q, (col, _) in specs.items()}
-    counts = count_nonnull(df, masked)
+    if counts is None or set(counts) != set(specs):
+        counts = count_nonnull(df, masked)
     reqs, plan = {}, {}
     for q, (col, p) in specs.items():
         n = counts[q]
@@ -178,7 +182,8 @@ def exact_quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]],
 
 
 def first_k_masks(df: DataFrame, draw: Column, tiebreak: Column,
-                  requests: dict[str, tuple[int, Column | None]]) -> dict[str, Column]:
+                  requests: dict[str, tuple[int, Column | None]],
+                  counts: dict[str, int] | None = None) -> dict[str, Column]:
     """Boolean columns, one per request (k, where), each true on exactly the
     ``k`` rows (among ``where``) that come first when ordered by
     (draw, tiebreak). All requests share the selection passes. Replaces
@@ -189,7 +194,8 @@ def first_k_masks(df: DataFrame, draw: Column, tiebreak: Column,
     out = {q: F.lit(False) for q in requests if q not in live}
     if not live:
         return out
-    vs = order_stats(df, {q: OrderStat(draw, k - 1, requests[q][1]) for q, k in live.items()})
+    known = {q: counts[q] for q in live} if counts and all(q in counts for q in live) else None
+    vs = order_stats(df, {q: OrderStat(draw, k - 1, requests[q][1]) for q, k in live.items()}, known)
     # rows strictly below v, and the smallest tiebreak among ties on v
     aggs = []
     for q in live:
