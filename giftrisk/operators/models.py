@@ -197,3 +197,66 @@ def score_isolation_forest(df: DataFrame, nodes: pd.DataFrame, features: list[st
 
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
     return df.select(*keep, *features).mapInPandas(score, schema)
+
+
+# ---------------------------------------------------------------- tree-path attributions
+def forest_node_tables(rf_model) -> list[tuple[np.ndarray, ...]]:
+    """Node arrays (feature, threshold, left, right, p1) per tree of a fitted
+    MLlib random forest; p1 is the node's class-1 share of its training
+    weight. Read once through the model's node objects (trees x nodes, bounded
+    by the model size, not the data)."""
+    tables = []
+    for tree in rf_model.trees:
+        feat, thr, left, right, p1 = [], [], [], [], []
+        stack = [(tree._java_obj.rootNode(), -1, 0)]
+        while stack:
+            node, parent, side = stack.pop()
+            nid = len(feat)
+            stats = list(node.impurityStats().stats())
+            total = float(sum(stats))
+            p1.append(stats[1] / total if total > 0 and len(stats) > 1 else 0.0)
+            if parent >= 0:
+                (left if side == 0 else right)[parent] = nid
+            if node.getClass().getSimpleName() == "InternalNode":
+                split = node.split()
+                feat.append(int(split.featureIndex())), thr.append(float(split.threshold()))
+                left.append(-1), right.append(-1)
+                stack.append((node.rightChild(), nid, 1))
+                stack.append((node.leftChild(), nid, 0))
+            else:
+                feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1)
+        tables.append(tuple(np.array(a) for a in (feat, thr, left, right, p1)))
+    return tables
+
+
+def tree_attributions(df: DataFrame, tables, features: list[str], key: str = "Donation_ID") -> DataFrame:
+    """Per row and feature, the summed change of class-1 probability along the
+    row's path (left when value <= threshold), averaged over trees, plus a
+    ``__bias__`` row (mean root probability): bias + contributions equals the
+    forest probability. Long form (key, feature, value)."""
+    n_feat = len(features)
+    bias = float(np.mean([t[4][0] for t in tables])) if tables else 0.0
+
+    def attribute(it):
+        for pdf in it:
+            x = pdf[features].to_numpy(dtype=float)
+            contrib = np.zeros((len(x), n_feat))
+            for feat, thr, left, right, p1 in tables:
+                node = np.zeros(len(x), dtype=np.int64)
+                active = feat[node] >= 0
+                while active.any():
+                    rows = np.flatnonzero(active)
+                    cur = node[rows]
+                    f = feat[cur]
+                    nxt = np.where(x[rows, f] <= thr[cur], left[cur], right[cur])
+                    np.add.at(contrib, (rows, f), p1[nxt] - p1[cur])
+                    node[rows] = nxt
+                    active = feat[node] >= 0
+            contrib /= max(len(tables), 1)
+            keys = np.repeat(pdf[key].to_numpy(), n_feat + 1)
+            names = np.tile(np.array(features + ["__bias__"], dtype=object), len(x))
+            vals = np.hstack([contrib, np.full((len(x), 1), bias)]).ravel()
+            yield pd.DataFrame({key: keys, "feature": names, "value": vals})
+
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, feature string, value double"
+    return df.select(key, *features).mapInPandas(attribute, schema)
