@@ -14,22 +14,43 @@ from giftrisk.streaming import detectors as S
 P = Pipeline.get
 
 
-@query("stream_velocity")
+_EV_TS = ("SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS donor_id, json_extract_string(props, '$.k') AS ip_key, "
+          "CASE event_type WHEN 'error' THEN 'payment.declined' ELSE event_type END AS ev, value FROM events")
+_WM = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+
+@query("stream_velocity", f"WITH ev AS ({_EV_TS}), w AS (SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS ws, "
+       "ip_key FROM ev, range(24) r(k)) SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, ip_key, count(*) AS n "
+       f"FROM w WHERE ws + INTERVAL 24 HOUR <= {_WM} GROUP BY ws, ip_key")
 def stream_velocity(spark, sf_dir):
     """Sliding 24 h IP velocity with a watermark."""
-    return S.run_to_table(S.ip_velocity(S.event_stream(spark, sf_dir)), "velocity")
+    out = S.run_to_table(S.ip_velocity(S.event_stream(spark, sf_dir)), "velocity")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "ip_key", "n")
 
 
-@query("stream_burst")
+@query("stream_burst", f"WITH ev AS ({_EV_TS} WHERE event_type = 'error'), w AS (SELECT date_trunc('hour', ts) - "
+       "k * INTERVAL 1 HOUR AS ws, donor_id FROM ev, range(6) r(k)) SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS "
+       f"window_start, donor_id, count(*) AS n_declines FROM w WHERE ws + INTERVAL 6 HOUR <= {_WM} "
+       "GROUP BY ws, donor_id HAVING count(*) >= 3")
 def stream_burst(spark, sf_dir):
     """Declined-payment bursts per donor."""
-    return S.run_to_table(S.decline_bursts(S.event_stream(spark, sf_dir)), "burst")
+    out = S.run_to_table(S.decline_bursts(S.event_stream(spark, sf_dir)), "burst")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "donor_id",
+                      "n_declines")
 
 
-@query("stream_sessions")
+@query("stream_sessions", f"WITH ev AS ({_EV_TS}), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY donor_id "
+       "ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM ev), s AS (SELECT *, sum(brk) OVER "
+       "(PARTITION BY donor_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g), t AS (SELECT donor_id, sid, "
+       "min(ts) AS ss, max(ts) + INTERVAL 30 MINUTE AS se, count(*) AS n_events FROM s GROUP BY donor_id, sid) "
+       "SELECT strftime(ss, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(se, '%Y-%m-%d %H:%M:%S.%f') AS "
+       f"session_end, donor_id, n_events FROM t WHERE se <= {_WM}")
 def stream_sessions(spark, sf_dir):
     """T3 session form: session windows per donor."""
-    return S.run_to_table(S.sessions(S.event_stream(spark, sf_dir)), "sessions")
+    out = S.run_to_table(S.sessions(S.event_stream(spark, sf_dir)), "sessions")
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return out.select(F.date_format("session_start", fmt).alias("session_start"),
+                      F.date_format("session_end", fmt).alias("session_end"), "donor_id", "n_events")
 
 
 @query("stream_reversal_join", f"WITH ev AS ({EVENTS_SQL}) SELECT a.event_id AS auth_id, r.event_id AS rev_id, "
@@ -47,10 +68,13 @@ def stream_dedup(spark, sf_dir):
     return S.run_to_table(S.deduplicate(S.event_stream(spark, sf_dir)), "dedup").select("event_id", "donor_id")
 
 
-@query("stream_donor_state")
+@query("stream_donor_state", "SELECT user_id AS donor_id, count(*) AS n_events, " + q6("sum(value)")
+       + " AS total_amount, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts FROM events GROUP BY user_id")
 def stream_donor_state(spark, sf_dir):
     """Running per-donor state with applyInPandasWithState."""
-    return S.run_to_table(S.donor_state(S.event_stream(spark, sf_dir)), "donor_state")
+    out = S.run_to_table(S.donor_state(S.event_stream(spark, sf_dir)), "donor_state")
+    return out.select("donor_id", "n_events", r6("total_amount").alias("total_amount"),
+                      F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"))
 
 
 @query("stream_features", wr(f"SELECT Donation_ID, Rule_Score, {q6('Risk_Score')} AS Risk_Score, Risk_Tier FROM riskq"))
