@@ -260,3 +260,127 @@ def tree_attributions(df: DataFrame, tables, features: list[str], key: str = "Do
 
     schema = f"{key} {df.schema[key].dataType.simpleString()}, feature string, value double"
     return df.select(key, *features).mapInPandas(attribute, schema)
+
+
+# ---------------------------------------------------------------- TreeSHAP (path-dependent)
+def _extend(feat, zero, one, pw, depth, pz, po, pi, n):
+    feat[depth], zero[depth], one[depth] = pi, pz, po
+    pw[depth] = np.ones(n) if depth == 0 else np.zeros(n)
+    for i in range(depth - 1, -1, -1):
+        pw[i + 1] = pw[i + 1] + po * pw[i] * (i + 1) / (depth + 1)
+        pw[i] = pz * pw[i] * (depth - i) / (depth + 1)
+
+
+def _unwind(feat, zero, one, pw, depth, k):
+    of, zf = one[k], zero[k]
+    nz = of != 0
+    safe = np.where(nz, of, 1.0)
+    nop = pw[depth].copy()
+    for i in range(depth - 1, -1, -1):
+        tmp = pw[i]
+        w_nz = nop * (depth + 1) / ((i + 1) * safe)
+        w_z = pw[i] * (depth + 1) / (zf * (depth - i)) if zf != 0 else np.zeros_like(tmp)
+        pw[i] = np.where(nz, w_nz, w_z)
+        nop = np.where(nz, tmp - pw[i] * zf * (depth - i) / (depth + 1), nop)
+    for i in range(k, depth):
+        feat[i], zero[i], one[i] = feat[i + 1], zero[i + 1], one[i + 1]
+
+
+def _unwound_sum(zero, one, pw, depth, k):
+    of, zf = one[k], zero[k]
+    nz = of != 0
+    safe = np.where(nz, of, 1.0)
+    nop = pw[depth]
+    total = np.zeros_like(nop)
+    for i in range(depth - 1, -1, -1):
+        tmp = nop * (depth + 1) / ((i + 1) * safe)
+        alt = (pw[i] / zf) / ((depth - i) / (depth + 1)) if zf != 0 else np.zeros_like(tmp)
+        total = total + np.where(nz, tmp, alt)
+        nop = np.where(nz, pw[i] - tmp * zf * ((depth - i) / (depth + 1)), nop)
+    return total
+
+
+def tree_shap_batch(x: np.ndarray, feat, thr, left, right, p1, cover) -> np.ndarray:
+    """Exact path-dependent TreeSHAP values of one tree for all rows of ``x``
+    (Lundberg et al.). The recursion visits every node whatever the row; only
+    the 'one' fractions depend on the row's branch, so each step is a numpy
+    operation over all rows. Split rule: left when value <= threshold."""
+    n, m = x.shape
+    phi = np.zeros((n, m))
+    max_d = 64
+
+    def rec(node, depth, pfeat, pzero, pone, ppw, pz, po, pi):
+        feat_p = pfeat[:depth] + [None] * (max_d - depth)
+        zero_p = pzero[:depth] + [None] * (max_d - depth)
+        one_p = pone[:depth] + [None] * (max_d - depth)
+        pw = [a.copy() for a in ppw[:depth]] + [None] * (max_d - depth)
+        _extend(feat_p, zero_p, one_p, pw, depth, pz, po, pi, n)
+        if feat[node] < 0:  # leaf
+            for i in range(1, depth + 1):
+                w = _unwound_sum(zero_p, one_p, pw, depth, i)
+                phi[:, feat_p[i]] += w * (one_p[i] - zero_p[i]) * p1[node]
+            return
+        s = int(feat[node])
+        go_left = x[:, s] <= thr[node]
+        inc_zero, inc_one = 1.0, np.ones(n)
+        k = next((i for i in range(depth + 1) if feat_p[i] == s), None)
+        if k is not None:
+            inc_zero, inc_one = zero_p[k], one_p[k]
+            _unwind(feat_p, zero_p, one_p, pw, depth, k)
+            depth -= 1
+        for child, mask in ((left[node], go_left), (right[node], ~go_left)):
+            rec(child, depth + 1, feat_p, zero_p, one_p, pw,
+                cover[child] / cover[node] * inc_zero, inc_one * mask, s)
+
+    rec(0, 0, [], [], [], [], 1.0, np.ones(n), -1)
+    return phi
+
+
+def forest_shap_tables(rf_model) -> list[tuple[np.ndarray, ...]]:
+    """Node arrays (feature, threshold, left, right, p1, cover) per tree; cover
+    is the node's training weight."""
+    tables = []
+    for tree in rf_model.trees:
+        feat, thr, left, right, p1, cover = [], [], [], [], [], []
+        stack = [(tree._java_obj.rootNode(), -1, 0)]
+        while stack:
+            node, parent, side = stack.pop()
+            nid = len(feat)
+            stats = list(node.impurityStats().stats())
+            total = float(sum(stats))
+            p1.append(stats[1] / total if total > 0 and len(stats) > 1 else 0.0)
+            cover.append(total)
+            if parent >= 0:
+                (left if side == 0 else right)[parent] = nid
+            if node.getClass().getSimpleName() == "InternalNode":
+                split = node.split()
+                feat.append(int(split.featureIndex())), thr.append(float(split.threshold()))
+                left.append(-1), right.append(-1)
+                stack.append((node.rightChild(), nid, 1))
+                stack.append((node.leftChild(), nid, 0))
+            else:
+                feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1)
+        tables.append(tuple(np.array(a) for a in (feat, thr, left, right, p1, cover)))
+    return tables
+
+
+def forest_shap(df: DataFrame, tables, features: list[str], key: str = "Donation_ID") -> DataFrame:
+    """Exact TreeSHAP of the forest (mean over trees) per row and feature, plus
+    ``__bias__`` (the expected value); long form (key, feature, value)."""
+    n_feat = len(features)
+    bias = float(np.mean([t[4][0] for t in tables])) if tables else 0.0
+
+    def shap(it):
+        for pdf in it:
+            x = pdf[features].to_numpy(dtype=float)
+            phi = np.zeros((len(x), n_feat))
+            for t in tables:
+                phi += tree_shap_batch(x, *t)
+            phi /= max(len(tables), 1)
+            keys = np.repeat(pdf[key].to_numpy(), n_feat + 1)
+            names = np.tile(np.array(features + ["__bias__"], dtype=object), len(x))
+            vals = np.hstack([phi, np.full((len(x), 1), bias)]).ravel()
+            yield pd.DataFrame({key: keys, "feature": names, "value": vals})
+
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, feature string, value double"
+    return df.select(key, *features).mapInPandas(shap, schema)
