@@ -1,12 +1,15 @@
 """Sanctions screening (T-k, U1, X13-X16, J4-J7, W7, L6, T-h, T-i, T-j, F9-F11).
 
-Fuzzy name join: names are normalised, split into character bigrams, and a
-candidate pair needs one shared bigram (blocking). By the q-gram lemma two
-strings of length L within edit distance d share at least L - 1 - 2d bigrams;
-similarity >= 0.75 means d <= L / 4, so every qualifying pair shares a bigram
-and blocking loses nothing. The entity side (lists are tens of thousands of
-names) is broadcast only when its gram table is under a checked row bound,
-otherwise both sides are shuffled on the gram. Scores are
+Fuzzy name join: names are normalised and split into character bigrams. By
+the q-gram lemma two strings of length L within edit distance d share at least
+L - 1 - 2d bigrams (as multisets); similarity >= 0.75 means d <= L / 4, so a
+qualifying pair shares at least max(1, ceil(len / 2 - 1)) bigram elements
+(bigrams numbered by occurrence). By the prefix-filter lemma such a pair then
+shares an element among the first n - t + 1 elements of each name under one
+global order; ordering rarest bigram first keeps the common bigrams out of the
+join. The entity side (lists are tens of thousands of names) is broadcast only
+when its gram table is under a checked row bound, otherwise both sides are
+shuffled on the gram. Scores are
 1 - levenshtein / max(length); the top hits per name come from a window whose
 partition is one name's candidates.
 """
@@ -78,27 +81,62 @@ def bigrams(norm: Column) -> Column:
     return F.array_distinct(grams)
 
 
+def gram_elements(norm: Column) -> Column:
+    """Bigram multiset as unique elements: array<struct<g, occ>> where occ
+    numbers repeated bigrams (so set overlap = multiset overlap)."""
+    n = F.length(norm)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(norm, i, 2))
+    return F.transform(grams, lambda g, i: F.struct(
+        g.alias("g"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda y: y == g)).alias("occ")))
+
+
+def prefix_elements(norm: Column, freq: Column) -> Column:
+    """The first n - t + 1 gram elements in the global (rarest first) order,
+    t = max(1, ceil(len / 2 - 1)): two names at similarity >= 0.75 share at
+    least t elements, so they share one of these (prefix-filter lemma).
+    ``freq`` maps a bigram to its frequency among the entity names."""
+    elems = gram_elements(norm)
+    keyed = F.transform(elems, lambda e: F.struct(F.coalesce(freq[e["g"]], F.lit(0)).alias("f"),
+                                                  e["g"].alias("g"), e["occ"].alias("occ")))
+    n_el = F.size(elems)
+    t = F.greatest(F.lit(1), F.ceil(F.length(norm) / 2.0 - 1).cast("int"))
+    keep = F.greatest(n_el - t + 1, F.lit(1))
+    return F.slice(F.array_sort(keyed), 1, keep)
+
+
 def fuzzy_hits(names: DataFrame, ents: DataFrame, min_match: float = C.DEFAULT_MIN_MATCH,
                limit: int = C.SCREEN_LIMIT, entity_type: str | None = None) -> DataFrame:
     """names(name_id, name) x entities -> hits (name_id, entity_id, hit_name,
-    list_name, entity_type, programs, remarks, match_score, hit_rank)."""
+    list_name, entity_type, programs, remarks, match_score, hit_rank).
+
+    Candidates share a bigram element in both prefixes (rarest bigrams first);
+    for min_match >= 0.75 this loses no qualifying pair, and common bigrams
+    mostly stay out of the join. Every candidate is then scored exactly."""
+    if min_match < 0.75:
+        raise ValueError("prefix bound derived for min_match >= 0.75")
     if entity_type:
         ents = ents.where(F.col("entity_type") == entity_type)
     a = (names.select("name_id", normalise_name(F.col("name")).alias("na"))
          .where(F.length("na") > 0).dropDuplicates(["name_id", "na"]))
-    # lists are small and reused three times (size check, gram join, detail join)
+    # lists are small and reused (frequency table, size check, gram join, detail join)
     e = ents.select(F.col("entity_id"), F.col("name").alias("hit_name"), "list_name", "entity_type", "programs",
                     "remarks", normalise_name(F.col("name")).alias("ne")).where(F.length("ne") > 0)
     e = e.withColumn("_ek", F.xxhash64("entity_id", "list_name", "hit_name")).cache()
-    eg = e.select("_ek", F.explode(bigrams(F.col("ne"))).alias("g"))
+    # bigram frequencies over the lists: at most 27^2 rows (letters and space)
+    fr = (e.select(F.explode(F.array_distinct(F.transform(gram_elements(F.col("ne")), lambda x: x["g"]))).alias("g"))
+          .groupBy("g").count())
+    freq = F.map_from_entries(F.lit(None).cast("array<struct<g:string,count:bigint>>"))
+    rows = fr.collect()
+    freq = F.create_map(*[x for r in rows for x in (F.lit(r["g"]), F.lit(int(r["count"])))]) if rows else freq
+    eg = e.select("_ek", F.inline(prefix_elements(F.col("ne"), freq))).select("_ek", "g", "occ")
     small = eg.count() <= BROADCAST_MAX_GRAM_ROWS
     if small:
         eg = F.broadcast(eg)
     # every donor with the same normalised name gets the same hits: screen each
     # distinct name once, then join the hits back to the donors
     dn = a.select("na").distinct()
-    ag = dn.select("na", F.explode(bigrams(F.col("na"))).alias("g"))
-    cand = ag.join(eg, "g").select("na", "_ek").distinct()
+    ag = dn.select("na", F.inline(prefix_elements(F.col("na"), freq))).select("na", "g", "occ")
+    cand = ag.join(eg, ["g", "occ"]).select("na", "_ek").distinct()
     scored = cand.join(F.broadcast(e) if small else e, "_ek").withColumn(
         "match_score", 1 - F.levenshtein("na", "ne") / F.greatest(F.length("na"), F.length("ne")))
     w = Window.partitionBy("na").orderBy(F.col("match_score").desc(), F.col("entity_id"), F.col("list_name"))

@@ -113,3 +113,42 @@ def test_threshold_sweep_matches_direct_counts(spark):
         tp = sum(1 for s, y in rows if s >= t and y == 1)
         fp = sum(1 for s, y in rows if s >= t and y == 0)
         assert sw[round(t, 2)] == (tp, fp)
+
+
+def test_prefix_filter_loses_no_pair_under_edits(spark):
+    rnd = random.Random(23)
+    alpha = "abcdeilnorst "
+
+    def edit(s):
+        ops = rnd.randint(0, 3)
+        s = list(s)
+        for _ in range(ops):
+            k = rnd.randrange(max(len(s), 1))
+            op = rnd.choice("sidt")
+            if op == "s" and s:
+                s[k] = rnd.choice(alpha)
+            elif op == "i":
+                s.insert(k, rnd.choice(alpha))
+            elif op == "d" and len(s) > 1:
+                del s[k]
+            elif op == "t" and k + 1 < len(s):
+                s[k], s[k + 1] = s[k + 1], s[k]
+        return "".join(s)
+
+    base = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(3, 25))) for _ in range(60)]
+    names = [edit(b) for b in base for _ in range(4)]
+    ents = [edit(b) for b in base for _ in range(2)]
+    ndf = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "name_id string, name string")
+    edf = spark.createDataFrame([(f"E{i}", n, "SDN", "individual", ["X"], "") for i, n in enumerate(ents)],
+                                "entity_id string, name string, list_name string, entity_type string, "
+                                "programs array<string>, remarks string")
+    got = {(r["name_id"], r["entity_id"]) for r in SC.fuzzy_hits(ndf, edf, 0.75, limit=10000).collect()}
+    norm = lambda s: " ".join(s.split())
+    want = set()
+    for i, n in enumerate(names):
+        for j, e in enumerate(ents):
+            a, b = norm(n), norm(e)
+            if a and b and 1 - _lev(a, b) / max(len(a), len(b)) >= 0.75:
+                want.add((str(i), f"E{j}"))
+    assert len(want) > 100
+    assert got == want
