@@ -58,3 +58,34 @@ def materialize(df: DataFrame) -> DataFrame:
     (survives executor loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20, max_partitions: int = 200_000) -> dict:
+    """Settings for a cluster run over ``input_bytes`` of Parquet.
+
+    * scans split at ``partition_bytes`` (256 MB) so a task's input fits an
+      executor core's memory share with room for decompression;
+    * the initial shuffle partition count gives ~``partition_bytes`` per
+      partition for a shuffle as large as the input, and AQE coalesces small
+      ones at run time to the same advisory size (fewer, fuller tasks);
+    * skew joins split partitions 5x the median and over 1 GB;
+    * broadcasts stay at the 64 MB runtime threshold: only the bounded tables
+      (dimensions, per-group totals, list grams) are hinted, everything else is
+      left to AQE's runtime size check;
+    * executors JIT the large generated rule / feature projections.
+    """
+    n = max(1, min(max_partitions, -(-input_bytes // partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    }
