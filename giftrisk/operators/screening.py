@@ -104,6 +104,17 @@ def prefix_elements(norm: Column, freq: Column) -> Column:
     return F.slice(F.array_sort(keyed), 1, keep)
 
 
+def bigram_frequency(df: DataFrame, col: str) -> Column:
+    """Literal map bigram -> number of names containing it (the global order
+    of the prefix filter). Lower-case letters and space give at most 27^2
+    bigrams, so the collected table is bounded whatever the list size."""
+    fr = (df.select(F.explode(F.array_distinct(F.transform(gram_elements(F.col(col)), lambda x: x["g"]))).alias("g"))
+          .groupBy("g").count().collect())
+    if not fr:
+        return F.create_map().cast("map<string,bigint>")
+    return F.create_map(*[x for r in fr for x in (F.lit(r["g"]), F.lit(int(r["count"])))])
+
+
 def fuzzy_hits(names: DataFrame, ents: DataFrame, min_match: float = C.DEFAULT_MIN_MATCH,
                limit: int = C.SCREEN_LIMIT, entity_type: str | None = None) -> DataFrame:
     """names(name_id, name) x entities -> hits (name_id, entity_id, hit_name,
@@ -123,11 +134,7 @@ def fuzzy_hits(names: DataFrame, ents: DataFrame, min_match: float = C.DEFAULT_M
                     "remarks", normalise_name(F.col("name")).alias("ne")).where(F.length("ne") > 0)
     e = e.withColumn("_ek", F.xxhash64("entity_id", "list_name", "hit_name")).cache()
     # bigram frequencies over the lists: at most 27^2 rows (letters and space)
-    fr = (e.select(F.explode(F.array_distinct(F.transform(gram_elements(F.col("ne")), lambda x: x["g"]))).alias("g"))
-          .groupBy("g").count())
-    freq = F.map_from_entries(F.lit(None).cast("array<struct<g:string,count:bigint>>"))
-    rows = fr.collect()
-    freq = F.create_map(*[x for r in rows for x in (F.lit(r["g"]), F.lit(int(r["count"])))]) if rows else freq
+    freq = bigram_frequency(e.select("ne"), "ne")
     eg = e.select("_ek", F.inline(prefix_elements(F.col("ne"), freq))).select("_ek", "g", "occ")
     small = eg.count() <= BROADCAST_MAX_GRAM_ROWS
     if small:
