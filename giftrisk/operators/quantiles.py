@@ -26,6 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_TIE_OFFSET = 1_000_000
+
+
 @dataclass(frozen=True)
 class OrderStat:
     """k-th smallest (0-based) non-null value of ``value`` among rows where
@@ -208,6 +211,10 @@ def first_k_masks(df: DataFrame, draw: Column, tiebreak: Column,
         r = k - int(row[f"{q}__b"])  # rows to take among ties on v, by tiebreak
         if r == 1:
             t = row[f"{q}__t"]
+        elif r > MAX_TIE_OFFSET:
+            # the tie set would be ordered in one TakeOrdered: demand a draw
+            # with more entropy (the 60-bit hash draws tie with probability ~0)
+            raise ValueError(f"{r} rows tie on the selection draw; use a higher-entropy draw")
         else:
             t = (df.where(conds[q] & (draw == v)).select(tiebreak.alias("t"))
                  .orderBy("t").offset(r - 1).limit(1).first()["t"])
