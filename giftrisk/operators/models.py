@@ -98,11 +98,12 @@ def calibrated_logistic(train: DataFrame, test: DataFrame, folds: int = 5, max_i
         cal_in = positive_probability(model.transform(tr.where(F.col("_fold") == k)))
         iso = IsotonicRegression(labelCol="Is_Anomalous", featuresCol="score", predictionCol="cal").fit(cal_in)
         t = positive_probability(model.transform(test)).select("Donation_ID", "score")
-        scored.append(iso.transform(t).select("Donation_ID", F.col("cal").alias(f"s{k}")))
+        scored.append(iso.transform(t).select("Donation_ID", F.col("cal").alias("s")))
+    # average of the fold models: one union and one group-by (a single shuffle)
     out = scored[0]
     for s in scored[1:]:
-        out = out.join(s, "Donation_ID")
-    return out.select("Donation_ID", (sum(F.col(f"s{k}") for k in range(folds)) / folds).alias("score"))
+        out = out.unionByName(s)
+    return out.groupBy("Donation_ID").agg((F.sum("s") / folds).alias("score"))
 
 
 # ---------------------------------------------------------------- isolation forest
