@@ -176,3 +176,34 @@ def honest_threshold(spark, sf_dir):
     t = EV.summary_metrics(val, "Score_Norm", Y).first()["opt_threshold"]
     cm = EV.confusion(s.where(F.col("is_test") == 1), F.col("Score_Norm"), Y, t)
     return cm.select(r6(F.lit(t)).alias("threshold"), "tp", "fp", "fn", "tn")
+
+
+@query("two_step_scoring")
+def two_step_scoring(spark, sf_dir):
+    """T-d: new donations (the test split) are screened first; blocked donors
+    are hard-blocked without consulting the model (left semi), the rest are
+    scored by the random forest, boosted by the partner signals, capped at 1,
+    tiered and flagged at the forest's F-0.5 threshold (left anti path)."""
+    from giftrisk.operators import screening as SC
+    from giftrisk.operators import triage as TR
+    from giftrisk.plans.q_screen import donor_names, entities
+    tr, te = _train_test(spark, sf_dir)
+    raw = ["CVV_Check", "Device_Fingerprint", "Webhook_Event"]  # te holds their encoded model inputs
+    lab = P(spark, sf_dir).labeled().select("Donation_ID", "Donor_ID", *[F.col(c).alias(f"_raw_{c}") for c in raw])
+    new = te.join(lab, "Donation_ID")
+    blocked_ids = SC.fuzzy_hits(donor_names(spark, sf_dir), entities(spark, sf_dir)).select(
+        F.col("name_id").alias("Donor_ID")).distinct()
+    blocked, rest = SC.split_blocked(new, blocked_ids)
+    model = M.fit_random_forest(tr)
+    scored = M.positive_probability(model.transform(rest)).select(
+        "Donation_ID", "Donor_ID", "score", Y, *[F.col(f"_raw_{c}").alias(c) for c in raw])
+    t = EV.summary_metrics(scored, "score", Y).first()["opt_threshold"]
+    scored = (scored.withColumn("Risk_Score", TR.boosted_score(F.col("score")))
+              .withColumn("Risk_Tier", TR.risk_tier(F.col("Risk_Score")))
+              .withColumn("status", F.lit("SCORED"))
+              .withColumn("flagged", (F.col("Risk_Score") >= F.lit(t)).cast("int")))
+    out_cols = ["Donation_ID", "Donor_ID", "status", "Risk_Score", "Risk_Tier", "flagged"]
+    hard = blocked.select("Donation_ID", "Donor_ID", F.lit("BLOCKED").alias("status"),
+                          F.lit(None).cast("double").alias("Risk_Score"), F.lit(None).cast("string").alias("Risk_Tier"),
+                          F.lit(1).alias("flagged"))
+    return scored.select(*out_cols).unionByName(hard)
