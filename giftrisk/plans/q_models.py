@@ -136,9 +136,11 @@ def cv_metrics(spark, sf_dir):
     """5-fold cross-validated AUC / AP of the logistic model (mean and
     sd over folds)."""
     mt = model_table(spark, sf_dir).withColumn("_fold", F.pmod(F.xxhash64("Donation_ID", F.lit("cv")), F.lit(5)))
+    sizes = {r["_fold"]: r["count"] for r in mt.groupBy("_fold").count().collect()}  # 5 rows
+    total = sum(sizes.values())
     parts = []
     for k in range(5):
-        model = M.fit_logistic(mt.where(F.col("_fold") != k), max_iter=30)
+        model = M.fit_logistic(mt.where(F.col("_fold") != k), max_iter=30, n=total - sizes.get(k, 0))
         sc = M.positive_probability(model.transform(mt.where(F.col("_fold") == k))).select("score", Y)
         parts.append(EV.summary_metrics(sc, "score", Y).select(F.lit(k).alias("fold"), "roc_auc",
                                                               "average_precision"))
