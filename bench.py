@@ -22,7 +22,7 @@ from giftrisk.session import get_spark  # noqa: E402
 
 HEADLINE = ["triage_queue", "rule_lift", "model_comparison", "rate_by_category_sets", "donor_deviation",
             "ip_velocity_24h", "reversal_interval_join", "donor_running_history", "sanctions_fuzzy_hits",
-            "threshold_sweep", "rf_scores", "iso_scores"]
+            "threshold_sweep", "rf_scores", "lr_calibrated_scores", "iso_scores"]
 
 
 def run(df) -> None:

@@ -42,6 +42,7 @@ class Pipeline:
         self._anchors: Anchors | None = None
         self._labeled: DataFrame | None = None
         self._entities: DataFrame | None = None
+        self._model_split: DataFrame | None = None
         self.label_stats: dict = {}
 
     @classmethod
@@ -89,6 +90,17 @@ class Pipeline:
             self._entities = write_stage(union_lists(payloads), "entities")
         return self._entities
 
+    def model_split(self) -> DataFrame:
+        """Encoded model inputs + label + ``is_test`` (stratified split),
+        written once: model fitting makes many passes over it."""
+        if self._model_split is None:
+            from giftrisk import constants as C
+            from giftrisk.operators import models as M
+            lab = self.labeled().select("Donation_ID", *C.NUMERIC_FEATURES, *C.CAT_ENCODE, "Is_Anomalous")
+            table = M.encode_categoricals(lab).na.drop(subset=C.MODEL_FEATURES)
+            self._model_split = write_stage(M.stratified_split(table), "model_split")
+        return self._model_split
+
     def labeled(self) -> DataFrame:
         """Donations + features + rule columns + labels (materialised)."""
         if self._labeled is None:

@@ -17,13 +17,14 @@ Y = "Is_Anomalous"
 _SPLIT_DRAW = "('0x' || substr(md5(Donation_ID || '|split'), 1, 15))::BIGINT"
 
 
-def model_table(spark, sf_dir):
-    lab = P(spark, sf_dir).labeled().select("Donation_ID", *C.NUMERIC_FEATURES, *C.CAT_ENCODE, Y)
-    return M.encode_categoricals(lab).na.drop(subset=C.MODEL_FEATURES)
+def split_table(spark, sf_dir):
+    """Encoded model table with the stratified ``is_test`` flag (materialised
+    once per pipeline)."""
+    return P(spark, sf_dir).model_split()
 
 
-def split_table(spark, sf_dir):
-    return M.stratified_split(model_table(spark, sf_dir))
+def model_table(spark, sf_dir):
+    return split_table(spark, sf_dir).drop("is_test")
 
 
 @query("label_encode", lambda: with_base(
