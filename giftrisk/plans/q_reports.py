@@ -10,7 +10,7 @@ from giftrisk import constants as C
 from giftrisk.operators import aggregates as AG
 from giftrisk.plans.oracle import D
 from giftrisk.plans.pipeline import Pipeline
-from giftrisk.plans.q_triage import risk, wr
+from giftrisk.plans.q_triage import risk, with_risk, wr
 from giftrisk.plans.registry import q6, query, r6
 
 P = Pipeline.get
@@ -290,3 +290,14 @@ def preview_rows(spark, sf_dir):
     """First rows preview in key order."""
     return (lab(spark, sf_dir).select("Donation_ID", "Donor_ID", "Donation_Amount")
             .orderBy(F.col("Donation_ID").cast("bigint")).limit(5))
+
+
+@query("meta_rates", lambda: with_risk(
+    ", k AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _kpi_cols()) + " FROM riskq) SELECT k.*, "
+    + ", ".join(f"{q6('a.' + c)} AS {c}" for c in ["amt_p75", "amt_p90", "ltv_p10"]) + " FROM k, anchors a"))
+def meta_rates(spark, sf_dir):
+    """The meta table — KPIs and rates together with the amount / LTV
+    anchors used by the rules."""
+    a = P(spark, sf_dir).anchors()
+    return AG.kpis(lab(spark, sf_dir)).select(
+        "*", *[r6(F.lit(getattr(a, c))).alias(c) for c in ["amt_p75", "amt_p90", "ltv_p10"]])

@@ -279,3 +279,29 @@ def threshold_sweep(spark, sf_dir):
     t = EV.threshold_sweep(risk(spark, sf_dir), "Risk_Score", "Is_Anomalous")
     return t.select(r6("threshold").alias("threshold"), "tp", "fp", "fn", "tn",
                     r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+def _metric_query(cols):
+    def sql():
+        return with_risk(f", {_cum_sql('SELECT Score_Norm AS score, Is_Anomalous FROM riskq')}, "
+                         f"mt AS ({_metrics_select()}) SELECT {', '.join(cols)} FROM mt")
+    return sql
+
+
+@query("roc_auc", _metric_query(["roc_auc"]))
+def roc_auc(spark, sf_dir):
+    """V3: ROC AUC of the rule score (ties count half)."""
+    return roc_auc_ap_fbeta(spark, sf_dir).select("roc_auc")
+
+
+@query("average_precision", _metric_query(["average_precision", "base_rate"]))
+def average_precision(spark, sf_dir):
+    """Average precision and the random-baseline rate."""
+    return roc_auc_ap_fbeta(spark, sf_dir).select("average_precision", "base_rate")
+
+
+@query("fbeta_threshold", _metric_query(["opt_threshold", "opt_precision", "opt_recall", "opt_fbeta"]))
+def fbeta_threshold(spark, sf_dir):
+    """V5: F-0.5 optimal threshold (lowest threshold on ties) with its precision,
+    recall and F-beta."""
+    return roc_auc_ap_fbeta(spark, sf_dir).select("opt_threshold", "opt_precision", "opt_recall", "opt_fbeta")
