@@ -46,3 +46,11 @@ def test_draws_independent_of_partitioning(spark):
     a = {r["id"]: r["u"] for r in df.select("id", uniform(F.col("id"), "s", 2).alias("u")).collect()}
     b = {r["id"]: r["u"] for r in df.repartition(13).select("id", uniform(F.col("id"), "s", 2).alias("u")).collect()}
     assert a == b and all(0.0 <= v < 1.0 for v in a.values())
+
+
+def test_jaro_winkler_known_values():
+    from giftrisk.operators.screening import _jaro_winkler
+    assert abs(_jaro_winkler("martha", "marhta") - 0.9611111111) < 1e-9
+    assert abs(_jaro_winkler("dwayne", "duane") - 0.84) < 1e-9
+    assert abs(_jaro_winkler("dixon", "dicksonx") - 0.8133333333) < 1e-9
+    assert _jaro_winkler("abc", "abc") == 1.0 and _jaro_winkler("", "abc") == 0.0
