@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from giftrisk.llm import quality_rules, simhash_dedup  # noqa: F401
+from giftrisk.llm import decontaminate, language_id, mixing, quality_rules, sharding, simhash_dedup, warc  # noqa: F401
 from giftrisk.llm.common import ORACLE, QUERIES
 
 
