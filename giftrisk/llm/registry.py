@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from giftrisk.llm import decontaminate, language_id, mixing, quality_rules, sharding, simhash_dedup, warc  # noqa: F401
+from giftrisk.llm import (decontaminate, language_id, lattice_lm, mixing, quality_rules, rule_classifier,  # noqa: F401
+                            secrets_index, sharding, simhash_dedup, warc)
 from giftrisk.llm.common import ORACLE, QUERIES
 
 
