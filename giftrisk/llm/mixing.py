@@ -55,14 +55,15 @@ def uniform(key: Column, part: Column) -> Column:
 
 def poisson(rate: Column, u: Column) -> Column:
     """Smallest k with u < P(X <= k): the terms are summed up to where what is left
-    is under 2 ** -52."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.when(u >= F.exp(-rate), 1).otherwise(0).alias("k"))
+    is under 2 ** -52. The accumulator carries rate and u, so that they are computed
+    once and not again for every term."""
+    top = F.ceil(rate + 9 * F.sqrt(rate) + 20).cast("int")
+    start = F.struct(rate.alias("rate"), u.alias("u"), F.exp(-rate).alias("p"), F.lit(0.0).alias("cdf"), F.lit(0).alias("k"))
 
     def step(acc, j):
-        p = acc["p"] * rate / j
-        cdf = acc["cdf"] + p
-        return F.struct(p.alias("p"), cdf.alias("cdf"), (acc["k"] + F.when(u >= cdf, 1).otherwise(0)).alias("k"))
+        cdf = acc["cdf"] + acc["p"]
+        return F.struct(acc["rate"].alias("rate"), acc["u"].alias("u"), (acc["p"] * acc["rate"] / j).alias("p"), cdf.alias("cdf"),
+                        (acc["k"] + F.when(acc["u"] >= cdf, 1).otherwise(0)).alias("k"))
 
     return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["k"])
 
