@@ -1,71 +1,100 @@
 """Sanctions screening (T-k, U1, X13-X16, J4-J7, W7, L6, T-h, T-i, T-j, F9-F11).
 
-Fuzzy name join: names are normalised and split into character bigrams. By
-the q-gram lemma two strings of length L within edit distance d share at least
-L - 1 - 2d bigrams (as multisets); similarity >= 0.75 means d <= L / 4, so a
-qualifying pair shares at least max(1, ceil(len / 2 - 1)) bigram elements
-(bigrams numbered by occurrence). By the prefix-filter lemma such a pair then
-shares an element among the first n - t + 1 elements of each name under one
-global order; ordering rarest bigram first keeps the common bigrams out of the
-join. The entity side (lists are tens of thousands of names) is broadcast only
-when its gram table is under a checked row bound, otherwise both sides are
-shuffled on the gram. Scores are
-1 - levenshtein / max(length); the top hits per name come from a window whose
-partition is one name's candidates.
+Names keep the letters of every script: lower case, accents folded, anything but
+letters, marks and blanks a blank. A name without a letter can't be compared; it gets
+a status of its own and is never CLEAR.
+
+Fuzzy name join: distinct names are cut into elements (occurrence-numbered, so that
+set overlap is multiset overlap) of which a qualifying pair must share some:
+
+* cut >= 0.75: character bigrams. Strings of length L within edit distance d share at
+  least L - 1 - 2d, and d <= (1 - cut) L, so at least max(1, ceil(len / 2 - 1));
+* lower cuts, where no shared bigram is certain: characters, at least ceil(cut * len),
+  as an edit changes one character of the longer name at most.
+
+By the prefix-filter lemma such a pair shares an element among the first n - t + 1 of
+each name under one global order; the elements most frequent in the lists come last in
+it, which keeps them out of the join. Any order gives the same result, so only the
+``FREQUENT`` most frequent elements are looked up. Scores are
+1 - levenshtein / max(length), computed once per pair of distinct names. Entities of
+one name tie, so the first ``limit`` of each name suffice for the top hits, which are
+exact. Join strategies are left to AQE.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from giftrisk import constants as C
-from giftrisk.sources.sanctions import LIST_FIELDS
+from giftrisk.sources.sanctions import ENTITY_SCHEMA, FIELDS
+
+#: Elements whose place in the global order depends on their frequency.
+FREQUENT = 512
+
+
+def _fold_table() -> tuple[str, str]:
+    """Accented letters of the Latin, Greek and Cyrillic blocks and their bases."""
+    pairs = []
+    for c in map(chr, [*range(0xDF, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and all(unicodedata.combining(m) for m in marks) and base.isalpha() and c == c.lower():
+            pairs.append((c, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
-BROADCAST_MAX_GRAM_ROWS = 5_000_000
 
+FOLD_FROM, FOLD_TO = _fold_table()
+NOT_LETTER = r"[^\p{L}\p{M} ]"
+#: Combining accents that follow their letter in decomposed text.
+LOOSE_ACCENT = "[\u0300-\u036f]"
 
-def _field(df: DataFrame, name: str | None) -> Column:
-    return F.col(name) if name and name in df.columns else F.lit(None)
 
+def _text(df: DataFrame, name: str) -> Column:
+    """First element of an array field, the value of a scalar field; empty is null."""
+    is_array = df.schema[name].dataType.simpleString().startswith("array")
+    c = F.try_element_at(F.col(name), F.lit(1)) if is_array else F.col(name)
+    c = c.cast("string")
+    return F.when(F.length(c) > 0, c)
 
-def _first(df: DataFrame, name: str | None) -> Column:
-    """First element of an array field, the value of a scalar field."""
-    if not name or name not in df.columns:
-        return F.lit(None).cast("string")
-    dt = df.schema[name].dataType.simpleString()
-    return F.try_element_at(F.col(name), F.lit(1)) if dt.startswith("array") else F.col(name).cast("string")
 
+def _first(df: DataFrame, names: list[str], default: str | None = "") -> Column:
+    """The first field that is there and not empty."""
+    return F.coalesce(*[_text(df, n) for n in names if n in df.columns], F.lit(default).cast("string"))
 
-def _as_array(df: DataFrame, name: str | None) -> Column:
-    """Scalar-or-array field -> array<string>."""
-    if not name or name not in df.columns:
-        return F.array().cast("array<string>")
-    dt = df.schema[name].dataType.simpleString()
-    return F.col(name).cast("array<string>") if dt.startswith("array") else F.array(F.col(name).cast("string"))
+
+def _as_array(df: DataFrame, names: list[str]) -> Column:
+    """The first field that is there and not empty, scalar or array, as an array."""
+    found = []
+    for n in names:
+        if n in df.columns:
+            is_array = df.schema[n].dataType.simpleString().startswith("array")
+            c = F.col(n).cast("array<string>") if is_array else F.array(F.col(n).cast("string"))
+            found.append(F.when(F.size(F.filter(c, lambda x: F.length(x) > 0)) > 0, c))
+    return F.coalesce(*found, F.array().cast("array<string>"))
 
 
 def normalise_list(df: DataFrame, payload_key: str) -> DataFrame:
     """One payload -> entity rows: first non-empty name, programs as array,
-    remarks truncated to 300, type lower-cased with the list default, id."""
+    remarks truncated to 300, type lower-cased with the list default, id, country."""
     list_name, default_type = C.SANCTIONS_LISTS[payload_key]
-    f_name, f_prog, f_rem, f_type, f_id = LIST_FIELDS[payload_key]
-    nonempty = lambda c: F.when(F.length(c) > 0, c)
     return df.select(
-        F.coalesce(nonempty(_first(df, f_id)), F.lit("")).alias("entity_id"),
-        F.coalesce(nonempty(_first(df, f_name)), F.lit("")).alias("name"),
-        F.lit(list_name).alias("list_name"),
-        F.lower(F.coalesce(nonempty(_first(df, f_type)), F.lit(default_type))).alias("entity_type"),
-        _as_array(df, f_prog).alias("programs"),
-        F.substring(F.coalesce(nonempty(_first(df, f_rem)), F.lit("")), 1, C.REMARKS_MAX).alias("remarks"))
+        _first(df, FIELDS["id"]).alias("entity_id"), _first(df, FIELDS["name"]).alias("name"),
+        F.lit(list_name).alias("list_name"), F.lower(_first(df, FIELDS["type"], default_type)).alias("entity_type"),
+        _as_array(df, FIELDS["programs"]).alias("programs"),
+        F.substring(_first(df, FIELDS["remarks"]), 1, C.REMARKS_MAX).alias("remarks"),
+        _first(df, FIELDS["country"], None).alias("country"))
 
 
-def entities(payloads: dict[str, DataFrame]) -> DataFrame:
-    """Union of all lists in one schema."""
+def entities(payloads: dict[str, DataFrame], spark: SparkSession | None = None) -> DataFrame:
+    """Union of all lists in one schema; no list at all is an empty table."""
     frames = [normalise_list(df, key) for key, df in payloads.items()]
+    if not frames:
+        return (spark or SparkSession.active()).createDataFrame([], ENTITY_SCHEMA)
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -73,92 +102,101 @@ def entities(payloads: dict[str, DataFrame]) -> DataFrame:
 
 
 def normalise_name(c: Column) -> Column:
-    """lower case, letters only, single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z ]", " "), " +", " "))
+    """Lower case, accents folded, letters of any script, single spaces, trimmed."""
+    c = F.regexp_replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), LOOSE_ACCENT, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, NOT_LETTER, " "), " +", " "))
 
 
-def bigrams(norm: Column) -> Column:
-    n = F.length(norm)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(norm, i, 2))
-    return F.array_distinct(grams)
+def pieces(norm: Column, size: int) -> Column:
+    """All substrings of ``size`` characters (the name itself if it is shorter)."""
+    last = F.greatest(F.length(norm) - (size - 1), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(norm, i, size))
 
 
-def gram_elements(norm: Column) -> Column:
-    """Bigram multiset as unique elements: array<struct<g, occ>> where occ
-    numbers repeated bigrams (so set overlap = multiset overlap)."""
-    n = F.length(norm)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(norm, i, 2))
+def gram_elements(norm: Column, size: int = 2) -> Column:
+    """Multiset of substrings as unique elements: array<struct<g, occ>> where occ
+    numbers repeated ones (so set overlap = multiset overlap)."""
+    grams = pieces(norm, size)
     return F.transform(grams, lambda g, i: F.struct(
         g.alias("g"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda y: y == g)).alias("occ")))
 
 
-def prefix_elements(norm: Column, freq: Column) -> Column:
-    """The first n - t + 1 gram elements in the global (rarest first) order,
-    t = max(1, ceil(len / 2 - 1)): two names at similarity >= 0.75 share at
-    least t elements, so they share one of these (prefix-filter lemma).
-    ``freq`` maps a bigram to its frequency among the entity names."""
-    elems = gram_elements(norm)
+def element_size(min_match: float) -> int:
+    return 2 if min_match >= 0.75 else 1
+
+
+def prefix_elements(norm: Column, freq: Column, min_match: float = C.DEFAULT_MIN_MATCH) -> Column:
+    """The first n - t + 1 elements in the global order (rarest first); see the
+    module's text. ``freq`` maps frequent elements to their frequency."""
+    size = element_size(min_match)
+    elems = gram_elements(norm, size)
     keyed = F.transform(elems, lambda e: F.struct(F.coalesce(freq[e["g"]], F.lit(0)).alias("f"),
                                                   e["g"].alias("g"), e["occ"].alias("occ")))
-    n_el = F.size(elems)
-    t = F.greatest(F.lit(1), F.ceil(F.length(norm) / 2.0 - 1).cast("int"))
-    keep = F.greatest(n_el - t + 1, F.lit(1))
+    n = F.length(norm)
+    # a hair less than the bound, against rounding up a whole number
+    t = F.ceil(n / 2.0 - 1) if size == 2 else F.ceil(F.lit(min_match) * n - 1e-9)
+    keep = F.greatest(F.size(elems) - F.greatest(F.lit(1), t.cast("int")) + 1, F.lit(1))
     return F.slice(F.array_sort(keyed), 1, keep)
 
 
-def bigram_frequency(df: DataFrame, col: str) -> Column:
-    """Literal map bigram -> number of names containing it (the global order
-    of the prefix filter). Lower-case letters and space give at most 27^2
-    bigrams, so the collected table is bounded whatever the list size."""
-    fr = (df.select(F.explode(F.array_distinct(F.transform(gram_elements(F.col(col)), lambda x: x["g"]))).alias("g"))
-          .groupBy("g").count().collect())
-    if not fr:
+def element_frequency(df: DataFrame, col: str, min_match: float = C.DEFAULT_MIN_MATCH) -> Column:
+    """Literal map of the ``FREQUENT`` most frequent elements to the number of names
+    that hold them; that many rows reach the driver at most."""
+    g = F.explode(F.array_distinct(pieces(F.col(col), element_size(min_match))))
+    top = df.select(g.alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(FREQUENT).collect()
+    if not top:
         return F.create_map().cast("map<string,bigint>")
-    return F.create_map(*[x for r in fr for x in (F.lit(r["g"]), F.lit(int(r["count"])))])
+    return F.create_map(*[x for r in top for x in (F.lit(r["g"]), F.lit(int(r["count"])))])
+
+
+def similarity(a: str, b: str) -> Column:
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+
+
+def similar_names(left: DataFrame, right: DataFrame, min_match: float) -> DataFrame:
+    """Pairs (na, ne, match_score) of the distinct names ``left(na)``, ``right(ne)``."""
+    freq = element_frequency(right, "ne", min_match)
+    a = left.select("na", F.inline(prefix_elements(F.col("na"), freq, min_match))).select("na", "g", "occ")
+    e = right.select("ne", F.inline(prefix_elements(F.col("ne"), freq, min_match))).select("ne", "g", "occ")
+    near = F.least(F.length("na"), F.length("ne")) >= F.lit(min_match) * F.greatest(F.length("na"), F.length("ne")) - 1e-9
+    return (a.join(e, ["g", "occ"]).where(near).select("na", "ne").distinct()
+            .withColumn("match_score", similarity("na", "ne")).where(F.col("match_score") >= min_match))
 
 
 def fuzzy_hits(names: DataFrame, ents: DataFrame, min_match: float = C.DEFAULT_MIN_MATCH,
-               limit: int = C.SCREEN_LIMIT, entity_type: str | None = None) -> DataFrame:
+               limit: int = C.SCREEN_LIMIT, entity_type: str | None = None, country: str | None = None) -> DataFrame:
     """names(name_id, name) x entities -> hits (name_id, entity_id, hit_name,
-    list_name, entity_type, programs, remarks, match_score, hit_rank).
-
-    Candidates share a bigram element in both prefixes (rarest bigrams first);
-    for min_match >= 0.75 this loses no qualifying pair, and common bigrams
-    mostly stay out of the join. Every candidate is then scored exactly."""
-    if min_match < 0.75:
-        raise ValueError("prefix bound derived for min_match >= 0.75")
+    list_name, entity_type, programs, remarks, match_score, hit_rank): the best
+    ``limit`` entities of each name at ``min_match`` (0.5 to 1) or more. With a
+    ``country``, entities of another country are left out (those of none stay)."""
+    if not 0.5 <= min_match <= 1:
+        raise ValueError("min_match runs from 0.5 to 1")
     if entity_type:
         ents = ents.where(F.col("entity_type") == entity_type)
+    if country:
+        ents = ents.where(F.col("country").isNull() | (F.lower("country") == country.lower()))
     a = (names.select("name_id", normalise_name(F.col("name")).alias("na"))
          .where(F.length("na") > 0).dropDuplicates(["name_id", "na"]))
-    # lists are small and reused (frequency table, size check, gram join, detail join)
     e = ents.select(F.col("entity_id"), F.col("name").alias("hit_name"), "list_name", "entity_type", "programs",
                     "remarks", normalise_name(F.col("name")).alias("ne")).where(F.length("ne") > 0)
-    e = e.withColumn("_ek", F.xxhash64("entity_id", "list_name", "hit_name")).cache()
-    # bigram frequencies over the lists: at most 27^2 rows (letters and space)
-    freq = bigram_frequency(e.select("ne"), "ne")
-    eg = e.select("_ek", F.inline(prefix_elements(F.col("ne"), freq))).select("_ek", "g", "occ")
-    small = eg.count() <= BROADCAST_MAX_GRAM_ROWS
-    if small:
-        eg = F.broadcast(eg)
-    # every donor with the same normalised name gets the same hits: screen each
-    # distinct name once, then join the hits back to the donors
-    dn = a.select("na").distinct()
-    ag = dn.select("na", F.inline(prefix_elements(F.col("na"), freq))).select("na", "g", "occ")
-    cand = ag.join(eg, ["g", "occ"]).select("na", "_ek").distinct()
-    scored = cand.join(F.broadcast(e) if small else e, "_ek").withColumn(
-        "match_score", 1 - F.levenshtein("na", "ne") / F.greatest(F.length("na"), F.length("ne")))
-    w = Window.partitionBy("na").orderBy(F.col("match_score").desc(), F.col("entity_id"), F.col("list_name"))
-    top = (scored.where(F.col("match_score") >= min_match)
-           .withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= limit))
-    return (a.join(top, "na")
+    pairs = similar_names(a.select("na").distinct(), e.select("ne").distinct(), min_match)
+    of_name = Window.partitionBy("ne").orderBy("entity_id", "list_name")
+    first = e.withColumn("_n", F.row_number().over(of_name)).where(F.col("_n") <= limit).drop("_n")
+    best = Window.partitionBy("na").orderBy(F.col("match_score").desc(), F.col("entity_id"), F.col("list_name"))
+    top = (pairs.join(first, "ne").withColumn("hit_rank", F.row_number().over(best))
+           .where(F.col("hit_rank") <= limit))
+    # a donor known by several names keeps the best hits of all of them
+    best = Window.partitionBy("name_id").orderBy(F.col("match_score").desc(), F.col("entity_id"), F.col("list_name"), F.col("na"))
+    return (a.join(top.drop("hit_rank"), "na").withColumn("hit_rank", F.row_number().over(best))
+            .where(F.col("hit_rank") <= limit)
             .select("name_id", "entity_id", "hit_name", "list_name", "entity_type", "programs", "remarks",
                     "match_score", "hit_rank"))
 
 
 def screening_status(names: DataFrame, hits: DataFrame, lists_loaded: bool = True) -> DataFrame:
     """T-h: BLOCKED (any hit) / CLEAR / OFFLINE (no lists) / INVALID (blank
-    name, never blocked), with action, top match, list and score."""
+    name, never blocked) / UNREADABLE (no letter to compare, never clear), with
+    action, top match, list and score. ``names`` has one row per name_id."""
     top = (hits.where(F.col("hit_rank") == 1)
            .select("name_id", F.col("hit_name").alias("top_match"), F.col("list_name").alias("top_list"),
                    F.col("match_score").alias("top_score")))
@@ -166,7 +204,8 @@ def screening_status(names: DataFrame, hits: DataFrame, lists_loaded: bool = Tru
     s = names.join(top, "name_id", "left").join(cnt, "name_id", "left")
     blank = F.length(F.trim(F.coalesce(F.col("name"), F.lit("")))) == 0
     status = (F.when(blank, "INVALID").when(F.col("n_hits") > 0, "BLOCKED")
-              .when(F.lit(not lists_loaded), "OFFLINE").otherwise("CLEAR"))
+              .when(F.lit(not lists_loaded), "OFFLINE")
+              .when(F.length(normalise_name(F.col("name"))) == 0, "UNREADABLE").otherwise("CLEAR"))
     action = F.create_map(*[x for k, v in C.SCREEN_ACTIONS.items() for x in (F.lit(k), F.lit(v))])
     return (s.withColumn("status", status)
             .withColumn("action", F.coalesce(action[F.col("status")], F.lit("Enter a name")))
@@ -231,21 +270,27 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def jaro_winkler_hits(names: DataFrame, ents: DataFrame, min_match: float = 0.9,
                       limit: int = C.SCREEN_LIMIT) -> DataFrame:
-    """Optional scorer: Jaro-Winkler over pairs sharing any bigram of distinct
-    normalised names. The bigram blocking is proven lossless for the
-    Levenshtein score only, so this variant is a report, not a guarantee."""
+    """Optional scorer: Jaro-Winkler. With a shared prefix of four letters at most,
+    JW >= cut means Jaro >= j = (cut - 0.4) / 0.6, and Jaro is at most
+    (m / la + m / lb + 1) / 3 for m matching characters, so each name shares at
+    least (3 j - 2) of its length: the character prefix filter at that cut loses no
+    pair, for any cut above 0.8."""
+    share = 3 * (min_match - 0.4) / 0.6 - 2
+    if share <= 0:
+        raise ValueError("min_match must be above 0.8")
     a = (names.select("name_id", normalise_name(F.col("name")).alias("na"))
          .where(F.length("na") > 0).dropDuplicates(["name_id", "na"]))
     e = (ents.select("entity_id", F.col("name").alias("hit_name"), "list_name", normalise_name(F.col("name")).alias("ne"))
          .where(F.length("ne") > 0))
-    eg = e.select("entity_id", "list_name", "ne", F.explode(bigrams(F.col("ne"))).alias("g"))
-    if eg.count() <= BROADCAST_MAX_GRAM_ROWS:
-        eg = F.broadcast(eg)
-    dn = a.select("na").distinct()
-    cand = (dn.select("na", F.explode(bigrams(F.col("na"))).alias("g")).join(eg, "g")
-            .select("na", "ne", "entity_id", "list_name").distinct())
-    scored = cand.withColumn("match_score", jaro_winkler(F.col("na"), F.col("ne"))).where(
-        F.col("match_score") >= min_match)
+    dn, de = a.select("na").distinct(), e.select("ne").distinct()
+    low = min(share, 0.74)  # characters, not bigrams
+    freq = element_frequency(de, "ne", low)
+    left = dn.select("na", F.inline(prefix_elements(F.col("na"), freq, low))).select("na", "g", "occ")
+    right = de.select("ne", F.inline(prefix_elements(F.col("ne"), freq, low))).select("ne", "g", "occ")
+    pairs = left.join(right, ["g", "occ"]).select("na", "ne").distinct().withColumn(
+        "match_score", jaro_winkler(F.col("na"), F.col("ne"))).where(F.col("match_score") >= min_match)
+    of_name = Window.partitionBy("ne").orderBy("entity_id", "list_name")
+    first = e.withColumn("_n", F.row_number().over(of_name)).where(F.col("_n") <= limit).drop("_n")
     w = Window.partitionBy("na").orderBy(F.col("match_score").desc(), F.col("entity_id"), F.col("list_name"))
-    top = scored.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= limit)
+    top = pairs.join(first, "ne").withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= limit)
     return a.join(top, "na").select("name_id", "entity_id", "list_name", "match_score", "hit_rank")

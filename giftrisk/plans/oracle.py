@@ -62,17 +62,20 @@ def quantile_expr(rel: str, col: str, p: float, alias: str) -> str:
             f"count(*) OVER () AS n FROM (SELECT {col} AS v FROM {rel}) WHERE v IS NOT NULL))) AS {alias}")
 
 
+def customer_name_sql(ck: str) -> str:
+    pick = lambda xs, d: f"[{', '.join(s(x) for x in xs)}][CAST(floor({d} * {len(xs)}) AS INTEGER) + 1]"
+    return (f"CASE WHEN {u(ck, 'world', 0)} < {D(C.WORLD_NAME_SHARE)} THEN {pick(C.WORLD_NAMES, u(ck, 'world', 1))} ELSE "
+            f"{pick(C.FIRST_NAMES, u(ck, 'who', 0))} || ' ' || {pick(C.LAST_NAMES, u(ck, 'who', 1))} END")
+
+
 def _bank() -> str:
     ck, ok = "o.o_custkey", "o.o_orderkey"
-    first = "[" + ", ".join(s(x) for x in C.FIRST_NAMES) + "]"
-    last = "[" + ", ".join(s(x) for x in C.LAST_NAMES) + "]"
     devices = "[" + ", ".join(s(x) for x in C.BANK_DEVICES) + "]"
     secs = f"CAST(floor({u(ok, 'tx', 0)} * 86400) AS INTEGER)"
     state = case_map("c.c_nationkey", dict(enumerate(C.NATION_STATE)))
     return f"""bank AS (
   SELECT CAST({ck} AS VARCHAR) AS Donor_ID,
-    {first}[CAST(floor({u(ck, 'who', 0)} * 20) AS INTEGER) + 1] || ' ' ||
-    {last}[CAST(floor({u(ck, 'who', 1)} * 20) AS INTEGER) + 1] AS Donor_Name,
+    {customer_name_sql(ck)} AS Donor_Name,
     CASE WHEN {u(ck, 'who', 3)} < {D(0.5)} THEN 'Male' ELSE 'Female' END AS Gender,
     CAST(18 + floor({u(ck, 'who', 2)} * 53) AS INTEGER) AS Age,
     {state} AS Donor_Region,

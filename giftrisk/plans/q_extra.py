@@ -15,7 +15,7 @@ from giftrisk.operators import features as FE
 from giftrisk.operators import screening as SC
 from giftrisk.plans.oracle import inlist, u, with_base
 from giftrisk.plans.pipeline import Pipeline
-from giftrisk.plans.q_screen import _entities_sql, donor_names, entities
+from giftrisk.plans.q_screen import _entities_sql, donor_names, entities, latest_donor_names
 from giftrisk.plans.q_triage import risk, wr
 from giftrisk.plans.registry import q6, query, r6
 from giftrisk.session import ensure_checkpoint_dir
@@ -233,8 +233,8 @@ def approx_quantiles(spark, sf_dir):
     "SELECT DISTINCT Donor_ID, Donor_ID IN (SELECT name_id FROM hits) AS b FROM donations)")))
 def screening_summary(spark, sf_dir):
     """Screened / blocked / clear counts."""
-    names = donor_names(spark, sf_dir)
-    st = SC.screening_status(names, SC.fuzzy_hits(names, entities(spark, sf_dir)))
+    hits = SC.fuzzy_hits(donor_names(spark, sf_dir), entities(spark, sf_dir))
+    st = SC.screening_status(latest_donor_names(spark, sf_dir), hits)
     return st.agg(F.count("*").alias("screened"), F.count_if(F.col("status") == "BLOCKED").alias("blocked"),
                   F.count_if(F.col("status") != "BLOCKED").alias("clear"))
 

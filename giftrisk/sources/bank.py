@@ -28,6 +28,12 @@ def pick(values: list[str], u: Column) -> Column:
                         (F.floor(u * len(values)) + 1).cast("int"))
 
 
+def customer_name(ckey: Column) -> Column:
+    world = pick(C.WORLD_NAMES, uniform(ckey, "world", 1))
+    usual = F.concat_ws(" ", pick(C.FIRST_NAMES, uniform(ckey, "who", 0)), pick(C.LAST_NAMES, uniform(ckey, "who", 1)))
+    return F.when(uniform(ckey, "world", 0) < C.WORLD_NAME_SHARE, world).otherwise(usual)
+
+
 def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus")
@@ -47,8 +53,7 @@ def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     city = F.concat(F.lit("Branch "), F.col("n_name"))
     return df.select(
         ckey.cast("string").alias("Customer_ID"),
-        F.concat_ws(" ", pick(C.FIRST_NAMES, uniform(ckey, "who", 0)),
-                    pick(C.LAST_NAMES, uniform(ckey, "who", 1))).alias("Customer_Name"),
+        customer_name(ckey).alias("Customer_Name"),
         F.when(uniform(ckey, "who", 3) < 0.5, "Male").otherwise("Female").alias("Gender"),
         (F.lit(18) + F.floor(uniform(ckey, "who", 2) * 53)).cast("int").alias("Age"),
         state.alias("State"),

@@ -16,12 +16,22 @@ from pyspark.sql import types as T
 
 from giftrisk import constants as C
 from giftrisk.functions.draws import uniform
-from giftrisk.sources.bank import pick
+from giftrisk.sources.bank import customer_name, pick
 from giftrisk.sources.tables import table
 
 LISTED_SHARE = 0.02
 
-# FIXED VALUES: per-list field names (name, programs, remarks, type, id)
+# FIXED VALUES: fields that may hold an attribute, in order of preference (the first
+# that is not empty counts), whatever the list
+FIELDS = {
+    "name": ["sdnName", "alternateName", "Name", "name", "Names"],
+    "programs": ["program", "Programs"],
+    "remarks": ["remarks", "Remarks", "OtherInfos"],
+    "type": ["sdnType", "GroupType"],
+    "id": ["entityID", "EntityID", "GroupID"],
+    "country": ["country", "Country"],
+}
+# the fields our derived lists fill (name, programs, remarks, type, id)
 LIST_FIELDS = {
     "SDNs": ("sdnName", "program", "remarks", "sdnType", "entityID"),
     "altNames": ("alternateName", "program", "remarks", "sdnType", "entityID"),
@@ -37,7 +47,7 @@ PROGRAMS = ["SDGT", "SYRIA", "IRAN", "RUSSIA-EO14024", "DPRK", "CYBER2"]
 
 def _variant(name: Column, u: Column) -> Column:
     """Exact / drop one letter / swap two adjacent letters / 'Last First'."""
-    n = F.length(name)
+    n = F.greatest(F.length(name), F.lit(2))
     pos = (F.floor(u * 1000) % (n - 1) + 1).cast("int")  # 1-based, < n
     dropped = F.concat(F.substring(name, 1, pos - 1), F.substring(name, pos + 1, 1000))
     swapped = F.concat(F.substring(name, 1, pos - 1), F.substring(name, pos + 1, 1), F.substring(name, pos, 1),
@@ -47,9 +57,11 @@ def _variant(name: Column, u: Column) -> Column:
 
 
 def listed_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows
+    c = c.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     k = F.col("c_custkey")
-    name = F.concat_ws(" ", pick(C.FIRST_NAMES, uniform(k, "who", 0)), pick(C.LAST_NAMES, uniform(k, "who", 1)))
+    name = customer_name(k)
     keys = list(LIST_FIELDS)
     remark = F.when(uniform(k, "sdn", 3) < 0.2, F.repeat(F.lit("Associated with a designated network. "), 12)) \
         .otherwise(F.concat(F.lit("Ref "), k.cast("string")))
@@ -60,6 +72,8 @@ def listed_people(spark: SparkSession, sf_dir: str) -> DataFrame:
                     pick(PROGRAMS, uniform(k, "sdn", 3)).alias("program1"),
                     pick(PROGRAMS, uniform(k, "sdn2", 0)).alias("program0"),
                     remark.alias("remark"),
+                    F.when(uniform(k, "sdn2", 2) < 0.7, F.col("n_name")).alias("country"),
+                    (uniform(k, "sdn2", 3) < 0.3).alias("other_field"),
                     F.when(uniform(k, "sdn2", 1) < 0.1, "Entity").otherwise("Individual").alias("kind")))
 
 
@@ -71,7 +85,12 @@ def derived_payloads(spark: SparkSession, sf_dir: str, people: DataFrame | None
     for key, (f_name, f_prog, f_rem, f_type, f_id) in LIST_FIELDS.items():
         p = people.where(F.col("list_key") == key)
         cols = [F.concat(F.lit(key[:3].upper() + "-"), F.col("ref")).alias(f_id)]
-        cols.append(F.array("name").alias(f_name) if f_name in ARRAY_FIELDS else F.col("name").alias(f_name))
+        cols.append(F.array("name").alias(f_name) if f_name in ARRAY_FIELDS else
+                    F.when(F.col("other_field"), "").otherwise(F.col("name")).alias(f_name) if key == "altNames" else
+                    F.col("name").alias(f_name))
+        if key == "altNames":  # part of this list fills the other name field
+            cols.append(F.when(F.col("other_field"), F.col("name")).otherwise("").alias("sdnName"))
+        cols.append(F.col("country").alias("country"))
         if f_prog:
             progs = F.array_distinct(F.array("program0", "program1"))
             cols.append(progs.alias(f_prog) if f_prog in ARRAY_FIELDS or key.startswith("eu")
@@ -84,10 +103,14 @@ def derived_payloads(spark: SparkSession, sf_dir: str, people: DataFrame | None
 
 
 def read_payloads(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Read ``{path}/{payload_key}.json`` files (multi-line JSON arrays)."""
+    """Read ``{path}/{payload_key}.json`` files (multi-line JSON arrays). A list
+    without a file is left out, which is the same as an empty list."""
     out = {}
+    conf = spark._jsc.hadoopConfiguration()
     for key in LIST_FIELDS:
-        out[key] = spark.read.option("multiLine", True).json(f"{path}/{key}.json")
+        file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}.json")
+        if file.getFileSystem(conf).exists(file):
+            out[key] = spark.read.option("multiLine", True).json(f"{path}/{key}.json")
     return out
 
 

@@ -33,3 +33,21 @@ def test_payloads_from_json_normalise(spark, tmp_path):
     assert ents["6"]["programs"] == ["RUSSIA"] and ents["6"]["remarks"] == ""
     assert ents["7"]["list_name"] == "SSI" and ents["7"]["programs"] == ["UKRAINE-EO13662"]
     assert len(LIST_FIELDS) == 7
+
+
+def test_every_script_is_screened_and_missing_lists_are_empty(spark, tmp_path):
+    (tmp_path / "SDNs.json").write_text(json.dumps([
+        {"entityID": "1", "sdnName": "", "Name": "Иван Петров", "country": "RU"}, {"entityID": "2", "sdnName": "محمد علي"},
+        {"GroupID": "3", "sdnName": "Zoe Muller", "program": [], "Programs": ["P"]}]))
+    ents = SC.entities(read_payloads(spark, str(tmp_path)))
+    assert sorted(r.entity_id for r in ents.collect()) == ["1", "2", "3"]
+    assert ents.where("entity_id = '3'").first().programs == ["P"]
+    names = spark.createDataFrame([("a", "Иван  ПЕТРОВ"), ("b", "محمد علي"), ("c", "Zoë Müller"), ("d", "12345"), ("e", " "), ("f", "Ann Other")],
+                                  "name_id string, name string")
+    hits = SC.fuzzy_hits(names, ents)
+    assert sorted((h.name_id, h.entity_id, h.match_score) for h in hits.collect()) == [("a", "1", 1.0), ("b", "2", 1.0), ("c", "3", 1.0)]
+    status = {r.name_id: r.status for r in SC.screening_status(names, hits).collect()}
+    assert status == {"a": "BLOCKED", "b": "BLOCKED", "c": "BLOCKED", "d": "UNREADABLE", "e": "INVALID", "f": "CLEAR"}
+    assert {h.name_id for h in SC.fuzzy_hits(names, ents, country="ru").collect()} == {"a", "b", "c"}
+    assert {h.name_id for h in SC.fuzzy_hits(names, ents, country="fr").collect()} == {"b", "c"}
+    assert SC.fuzzy_hits(names, SC.entities({}, spark)).count() == 0
