@@ -22,12 +22,15 @@ from giftrisk.session import ensure_checkpoint_dir
 from giftrisk.sources.bank import bank_transactions
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back."""
+def write_stage(df: DataFrame, name: str, paths: dict | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back;
+    ``paths`` gets the folder."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/stages/{name}-{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").parquet(path)
+    if paths is not None:
+        paths[name] = path
     return spark.read.parquet(path)
 
 
@@ -44,6 +47,7 @@ class Pipeline:
         self._entities: DataFrame | None = None
         self._model_split: DataFrame | None = None
         self.label_stats: dict = {}
+        self.paths: dict[str, str] = {}
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> "Pipeline":
@@ -65,7 +69,7 @@ class Pipeline:
             # and the enrichment scan Parquet instead of recomputing the draws
             base = write_stage(remap_base(self.bank()), "reshape_base")
             a = amount_anchors(base)
-            self._donations = write_stage(enrich(base, a["amt_p90"], a["amt_p95"]), "donations")
+            self._donations = write_stage(enrich(base, a["amt_p90"], a["amt_p95"]), "donations", self.paths)
         return self._donations
 
     def anchors(self) -> Anchors:

@@ -72,7 +72,7 @@ def stream_dedup(spark, sf_dir):
        + " AS total_amount, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts FROM events GROUP BY user_id")
 def stream_donor_state(spark, sf_dir):
     """Running per-donor state with applyInPandasWithState."""
-    out = S.run_to_table(S.donor_state(S.event_stream(spark, sf_dir)), "donor_state")
+    out = S.merge_donor_state(S.run_to_table(S.donor_state(S.event_stream(spark, sf_dir)), "donor_state"))
     return out.select("donor_id", "n_events", r6("total_amount").alias("total_amount"),
                       F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"))
 
@@ -82,7 +82,7 @@ def stream_features(spark, sf_dir):
     """The batch scoring columns applied to a stream of donation files."""
     p = P(spark, sf_dir)
     d = p.donations()
-    path = d.inputFiles()[0].rsplit("/", 1)[0]
+    path = p.paths["donations"]
     stats = p.labeled().agg(F.min("Rule_Score"), F.max("Rule_Score")).first()
     scored = S.score_stream(S.donation_stream(spark, path, d.schema), p.anchors(), stats[0], stats[1])
     out = S.run_to_table(scored.select("Donation_ID", "Rule_Score", "Risk_Score", "Risk_Tier"), "features")
