@@ -370,6 +370,7 @@ MKTSEGMENT_TO_ACCOUNT = {
 }
 BANK_DEVICES = list(PLATFORM_MAP)  # 20 raw device names
 ROUND_AMOUNT_SHARE = 0.05
+ROUND_AMOUNT = 5000
 
 # payment events from the driver's events table
 EVENT_TO_WEBHOOK = {

@@ -2,10 +2,9 @@
 
 Rows are first collapsed to one row per (group, distinct score) with the
 positive / negative counts at that score (map-side partial aggregation). Curves
-need running totals in descending score order; to keep any window partition
-bounded, the distinct-score table is cut into score buckets (bounds from
-``percentile_approx``) so each bucket is one window partition, and bucket
-offsets come from a window over the tiny per-bucket totals table.
+need running totals in descending score order: the distinct scores are written
+range-partitioned by score, each range is one window partition, and a range's
+offset comes from the totals of the ranges above it (one row per range).
 
 * ROC AUC = sum over scores of fp_at * (tp_above + tp_at / 2) / (P * N)
   (ties count half, as the trapezoid / Mann-Whitney form);
@@ -15,13 +14,10 @@ offsets come from a window over the tiny per-bucket totals table.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ROWS_PER_WINDOW = 2_000_000
-
+from giftrisk.session import write_stage
 
 def score_counts(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """(by..., score, tp_at, fp_at): one row per distinct score."""
@@ -32,51 +28,56 @@ def score_counts(df: DataFrame, score: str, label: str, by: list[str] | None = N
             .agg(F.sum(y).cast("bigint").alias("tp_at"), F.sum(1 - y).cast("bigint").alias("fp_at")))
 
 
-def running_totals(g: DataFrame, by: list[str], max_rows: int = MAX_ROWS_PER_WINDOW) -> DataFrame:
-    """Adds cum_tp / cum_fp (score >= this score) and P / N per group."""
-    n = g.count()
-    nb = max(1, math.ceil(n / max_rows))
-    if nb == 1:
-        g = g.withColumn("_b", F.lit(0))
-    else:
-        bounds = g.approxQuantile("score", [i / nb for i in range(1, nb)], 1.0 / (10 * nb))
-        b = F.lit(0)
-        for i, v in enumerate(sorted(set(bounds))):
-            b = F.when(F.col("score") >= F.lit(v), F.lit(i + 1)).otherwise(b)
-        g = g.withColumn("_b", b)
+def running_totals(g: DataFrame, by: list[str], ranges: int | None = None) -> DataFrame:
+    """Adds cum_tp / cum_fp (score >= this score) and P / N per group. ``ranges``:
+    number of score ranges (by default as many as the session shuffles to)."""
+    down = F.col("score").desc()
+    g = write_stage(g, "scores")  # the range bounds come from a pass of their own
+    g = g.repartitionByRange(ranges, down) if ranges else g.repartitionByRange(down)
+    g = write_stage(g.withColumn("_b", F.spark_partition_id()), "score_ranges")  # fixes the numbers
     keys = by + ["_b"]
     totals = g.groupBy(*keys).agg(F.sum("tp_at").alias("_btp"), F.sum("fp_at").alias("_bfp"))
-    above = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     totals = totals.select(
         *keys,
         F.coalesce(F.sum("_btp").over(above), F.lit(0)).alias("_otp"),
         F.coalesce(F.sum("_bfp").over(above), F.lit(0)).alias("_ofp"),
         F.sum("_btp").over(whole).alias("P"), F.sum("_bfp").over(whole).alias("N"))
-    # totals has (#groups x #buckets) rows: a proven-small broadcast
-    g = g.join(F.broadcast(totals), keys)
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return (g.withColumn("cum_tp", F.col("_otp") + F.sum("tp_at").over(w))
+    w = Window.partitionBy(*keys).orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
+    return (g.join(totals, keys).withColumn("cum_tp", F.col("_otp") + F.sum("tp_at").over(w))
             .withColumn("cum_fp", F.col("_ofp") + F.sum("fp_at").over(w))
             .drop("_b", "_otp", "_ofp"))
 
 
 def pr_points(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Precision-recall points per distinct threshold, down to the first
-    threshold reaching full recall (as the usual curve is truncated)."""
+    threshold reaching full recall (as the usual curve is truncated), and the end
+    point (recall 0, precision 1), which has no threshold."""
     by = by or []
-    c = running_totals(score_counts(df, score, label, by), by)
-    return (c.where((F.col("cum_tp") - F.col("tp_at")) < F.col("P"))
-            .select(*by, F.col("score").alias("threshold"), "cum_tp", "cum_fp", "tp_at", "P", "N",
-                    (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"),
-                    (F.col("cum_tp") / F.col("P")).alias("recall")))
+    counts = score_counts(df, score, label, by)
+    c = running_totals(counts, by)
+    points = (c.where((F.col("cum_tp") - F.col("tp_at")) < F.col("P"))
+              .select(*by, F.col("score").alias("threshold"), "cum_tp", "cum_fp", "tp_at", "P", "N",
+                      (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"),
+                      (F.col("cum_tp") / F.col("P")).alias("recall")))
+    zero = F.lit(0).cast("bigint")
+    end = counts.groupBy(*by).agg(F.sum("tp_at").alias("P"), F.sum("fp_at").alias("N")).where("P is not null").select(
+        *by, F.lit(None).cast("double").alias("threshold"), zero.alias("cum_tp"), zero.alias("cum_fp"), zero.alias("tp_at"),
+        "P", "N", F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return points.unionByName(end)
 
 
 def roc_points(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """ROC points per distinct threshold, and (0, 0), which has no threshold."""
     by = by or []
-    c = running_totals(score_counts(df, score, label, by), by)
-    return c.select(*by, F.col("score").alias("threshold"),
-                    (F.col("cum_fp") / F.col("N")).alias("fpr"), (F.col("cum_tp") / F.col("P")).alias("tpr"))
+    counts = score_counts(df, score, label, by)
+    c = running_totals(counts, by)
+    points = c.select(*by, F.col("score").alias("threshold"),
+                      (F.col("cum_fp") / F.col("N")).alias("fpr"), (F.col("cum_tp") / F.col("P")).alias("tpr"))
+    end = counts.groupBy(*by).agg(F.count("*").alias("n")).where("n > 0").select(
+        *by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.unionByName(end)
 
 
 def summary_metrics(df: DataFrame, score: str, label: str, by: list[str] | None = None,

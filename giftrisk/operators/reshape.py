@@ -54,10 +54,6 @@ def remap_base(bank: DataFrame) -> DataFrame:
     })
     df = _draws(df)
     amount = convert_currency(F.col("Donation_Amount_INR"), F.col("_rate"))
-    # a share of gifts are round multiples of 50 (integer cents, half-up)
-    cents = (amount * 100).cast("bigint")
-    round_amount = F.greatest(F.floor((cents + 2500) / 5000), F.lit(1)).cast("bigint") * 50
-    amount = F.when(_u("round") < C.ROUND_AMOUNT_SHARE, round_amount.cast("decimal(18,2)")).otherwise(amount)
     ltv_rate = literal_map(C.RATE_BY_CURRENCY)[F.col("Currency")]
     df = df.withColumns({
         "Donation_Amount": amount.cast("double"),

@@ -73,6 +73,7 @@ def _bank() -> str:
     devices = "[" + ", ".join(s(x) for x in C.BANK_DEVICES) + "]"
     secs = f"CAST(floor({u(ok, 'tx', 0)} * 86400) AS INTEGER)"
     state = case_map("c.c_nationkey", dict(enumerate(C.NATION_STATE)))
+    price = "CAST(round(CAST(o.o_totalprice AS DECIMAL(18,2)) / 5, 2) AS DECIMAL(18,2))"
     return f"""bank AS (
   SELECT CAST({ck} AS VARCHAR) AS Donor_ID,
     {customer_name_sql(ck)} AS Donor_Name,
@@ -84,7 +85,9 @@ def _bank() -> str:
     CAST(o.o_orderdate AS DATE) AS Donation_Date,
     printf('%02d:%02d:%02d', CAST(floor({secs} / 3600) AS INTEGER),
            CAST(floor({secs} / 60) AS INTEGER) % 60, {secs} % 60) AS Donation_Time,
-    CAST(round(CAST(o.o_totalprice AS DECIMAL(18,2)) / 5, 2) AS DECIMAL(18,2)) AS Amount_INR,
+    CASE WHEN {u(ok, 'tx', 2)} < {D(C.ROUND_AMOUNT_SHARE)}
+         THEN CAST(greatest(round({price} / {C.ROUND_AMOUNT}), 1) * {C.ROUND_AMOUNT} AS DECIMAL(18,2))
+         ELSE {price} END AS Amount_INR,
     {case_map('o.o_orderpriority', C.PRIORITY_TO_TYPE)} AS Type_Raw,
     CAST(round(5000 + CAST(9.5 AS DECIMAL(2,1)) * greatest(CAST(c.c_acctbal AS DECIMAL(18,2)),
          CAST(0 AS DECIMAL(18,2))), 2) AS DECIMAL(18,2)) AS LTV_INR,
@@ -112,9 +115,7 @@ def _base() -> str:
 ), base AS (
   SELECT Donor_ID, Donor_Name, Gender, Age, Donor_City, Donor_Country,
     {case_map('Account_Type', C.SEGMENT_MAP)} AS Segment0,
-    CAST(CASE WHEN {draw('round')} < {D(C.ROUND_AMOUNT_SHARE)}
-         THEN CAST(greatest(floor((CAST(Amount_Dec * 100 AS BIGINT) + 2500) / 5000), 1) AS BIGINT) * 50
-         ELSE Amount_Dec END AS DOUBLE) AS Donation_Amount,
+    CAST(Amount_Dec AS DOUBLE) AS Donation_Amount,
     CAST(round(LTV_INR * CAST({case_map('Currency', C.RATE_BY_CURRENCY)} AS DECIMAL(8,4)), 2) AS DOUBLE)
       AS Donor_Lifetime_Value,
     Donation_ID, Donation_Date, Donation_Time, Currency,

@@ -10,7 +10,6 @@ pruning and filter pushdown, which an RDD checkpoint would not give.
 from __future__ import annotations
 
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,22 +17,10 @@ from giftrisk.operators.features import Anchors, add_features, compute_anchors
 from giftrisk.operators.labels import add_noise, assign_labels
 from giftrisk.operators.reshape import amount_anchors, enrich, remap_base
 from giftrisk.operators.rules import score_rules
-from giftrisk.session import ensure_checkpoint_dir
+from giftrisk.session import write_stage
 from giftrisk.sources.bank import bank_transactions
 
 
-def write_stage(df: DataFrame, name: str, paths: dict | None = None) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back;
-    ``paths`` gets the folder."""
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/stages/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(path)
-    if paths is not None:
-        paths[name] = path
-    return spark.read.parquet(path)
-
-
 class Pipeline:
     _cache: dict[tuple, "Pipeline"] = {}
     _lock = threading.Lock()

@@ -181,7 +181,8 @@ def _round_metrics(df, by=()):
 
 @query("pr_curve", wr(f", {_cum_sql('SELECT Score_Norm AS score, Is_Anomalous FROM riskq')} "
                       f"SELECT {q6('score')} AS threshold, cum_tp, cum_fp, {q6('prec')} AS precision, "
-                      f"{q6('rec')} AS recall FROM pts WHERE (cum_tp - tp_at) < P"))
+                      f"{q6('rec')} AS recall FROM pts WHERE (cum_tp - tp_at) < P "
+                      "UNION ALL SELECT NULL, 0, 0, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)"))
 def pr_curve(spark, sf_dir):
     """V1 for the rule score."""
     pr = EV.pr_points(risk(spark, sf_dir), "Score_Norm", "Is_Anomalous")
@@ -191,7 +192,7 @@ def pr_curve(spark, sf_dir):
 
 @query("roc_curve", wr(f", {_cum_sql('SELECT Score_Norm AS score, Is_Anomalous FROM riskq')} "
                        f"SELECT {q6('score')} AS threshold, {q6('cum_fp / N')} AS fpr, {q6('cum_tp / P')} AS tpr "
-                       "FROM cum"))
+                       "FROM cum UNION ALL SELECT NULL, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)"))
 def roc_curve(spark, sf_dir):
     """V2 for the rule score."""
     roc = EV.roc_points(risk(spark, sf_dir), "Score_Norm", "Is_Anomalous")

@@ -34,6 +34,16 @@ def customer_name(ckey: Column) -> Column:
     return F.when(uniform(ckey, "world", 0) < C.WORLD_NAME_SHARE, world).otherwise(usual)
 
 
+def transaction_amount(okey: Column) -> Column:
+    """A fifth of the order's price; a share of gifts are multiples of ROUND_AMOUNT
+    (people give round sums). Money stays decimal: HALF_UP rounding is exact and
+    engine-independent."""
+    amount = F.round(F.col("o_totalprice").cast("decimal(18,2)") / 5, 2).cast("decimal(18,2)")
+    step = F.lit(C.ROUND_AMOUNT).cast("decimal(18,2)")
+    whole = (F.greatest(F.round(amount / step, 0), F.lit(1)) * step).cast("decimal(18,2)")
+    return F.when(uniform(okey, "tx", 2) < C.ROUND_AMOUNT_SHARE, whole).otherwise(amount)
+
+
 def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus")
@@ -64,9 +74,7 @@ def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("Transaction_Date"),
         F.format_string("%02d:%02d:%02d", F.floor(secs / 3600).cast("int"),
                         (F.floor(secs / 60) % 60).cast("int"), secs % 60).alias("Transaction_Time"),
-        # money stays decimal: HALF_UP rounding is exact and engine-independent
-        F.round(F.col("o_totalprice").cast("decimal(18,2)") / 5, 2).cast("decimal(18,2)")
-        .alias("Transaction_Amount"),
+        transaction_amount(okey).alias("Transaction_Amount"),
         F.lit("M-0001").alias("Merchant_ID"),
         literal_map(C.PRIORITY_TO_TYPE)[F.col("o_orderpriority")].alias("Transaction_Type"),
         F.col("o_orderstatus").alias("Merchant_Category"),

@@ -37,7 +37,7 @@ def test_enrichment_rates_follow_configuration(spark):
 
 def test_pr_recall_monotone_and_precision_bounded(spark):
     lab = Pipeline.get(spark, SF).labeled()
-    pr = EV.pr_points(lab, "Score_Norm", "Is_Anomalous").orderBy(F.col("threshold").desc()).collect()
+    pr = EV.pr_points(lab, "Score_Norm", "Is_Anomalous").orderBy(F.col("threshold").desc_nulls_first()).collect()
     rec = [r["recall"] for r in pr]
     assert rec == sorted(rec) and rec[-1] <= 1.0
     assert all(0.0 <= r["precision"] <= 1.0 for r in pr)
@@ -52,3 +52,15 @@ def test_blocked_and_scored_are_disjoint(spark):
     b, rest = SC.split_blocked(d, blocked)
     assert b.join(rest, "Donation_ID").count() == 0
     assert b.count() + rest.count() == d.count()
+
+
+def test_running_totals_over_thousands_of_ranges(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(i / 6000, rng.randint(0, 1)) for i in range(6000)]
+    g = EV.score_counts(spark.createDataFrame(rows, "s double, y int"), "s", "y")
+    got = {r.score: (r.cum_tp, r.cum_fp) for r in EV.running_totals(g, [], 2000).collect()}
+    tp = fp = 0
+    for s, y in sorted(rows, reverse=True):
+        tp, fp = tp + y, fp + 1 - y
+        assert got[s] == (tp, fp)
