@@ -19,7 +19,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from giftrisk import constants as C
@@ -70,16 +70,26 @@ def positive_probability(df: DataFrame, col: str = "probability") -> DataFrame:
     return df.withColumn("score", vector_to_array(F.col(col))[1])
 
 
-def fit_random_forest(train: DataFrame, trees: int = 60, depth: int = 10, min_leaf: int = 4, seed: int = 42):
+def fit_rows(train: DataFrame, max_rows: int = C.MAX_FIT_ROWS, key: str = "Donation_ID") -> DataFrame:
+    """The labelled rows a model is fitted on: all, or about ``max_rows`` by hash."""
+    n = train.count()
+    if n <= max_rows:
+        return train
+    return train.where(F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+
+
+def fit_random_forest(train: DataFrame, trees: int = C.FOREST_TREES, depth: int = C.FOREST_DEPTH,
+                      min_leaf: int = C.FOREST_MIN_LEAF, seed: int = 42):
     """M5: RF with balanced class weights, sqrt feature subsets."""
     rf = RandomForestClassifier(labelCol="Is_Anomalous", featuresCol="features", weightCol="weight",
                                 numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-                                featureSubsetStrategy="sqrt", seed=seed)
-    return MLPipeline(stages=[assembler(), rf]).fit(weighted(train))
+                                featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True, seed=seed)
+    return MLPipeline(stages=[assembler(), rf]).fit(weighted(fit_rows(train)))
 
 
-def fit_logistic(train: DataFrame, max_iter: int = 100, n: int | None = None):
-    """M6: L2 logistic regression on standardised features (C = 1 -> regParam 1/n)."""
+def fit_logistic(train: DataFrame, max_iter: int = C.LOGISTIC_ITERATIONS, n: int | None = None):
+    """M6: L2 logistic regression on standardised features (C = 1 -> regParam 1/n),
+    up to ``max_iter`` iterations; it ends before if it has converged."""
     n = n if n is not None else train.count()
     lr = LogisticRegression(labelCol="Is_Anomalous", featuresCol="scaled", weightCol="weight", maxIter=max_iter,
                             regParam=1.0 / n, elasticNetParam=0.0, standardization=False)
@@ -87,25 +97,38 @@ def fit_logistic(train: DataFrame, max_iter: int = 100, n: int | None = None):
                               lr]).fit(weighted(train))
 
 
-def calibrated_logistic(train: DataFrame, test: DataFrame, folds: int = 5, max_iter: int = 20) -> DataFrame:
-    """M7: per fold, LR on the other folds + isotonic regression on the fold;
-    the test score is the average of the calibrated fold models."""
-    fold = F.pmod(F.xxhash64(F.col("Donation_ID"), F.lit("fold")), F.lit(folds))
-    tr = train.withColumn("_fold", fold)
+def stratified_folds(train: DataFrame, folds: int, label: str = "Is_Anomalous", key: str = "Donation_ID") -> DataFrame:
+    """Adds ``_fold``: the rows of each class dealt out evenly in hash order. For fit
+    rows, whose number is bounded; a class is one window."""
+    w = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit("fold")), key)
+    return train.withColumn("_fold", (F.row_number().over(w) - 1) % folds)
+
+
+def calibrated_logistic(train: DataFrame, test: DataFrame, folds: int = C.CALIBRATION_FOLDS,
+                        max_iter: int = C.LOGISTIC_ITERATIONS) -> DataFrame:
+    """M7: per fold, LR on the other folds + isotonic regression on the fold; the test
+    score is the average of the calibrated fold models. Features are assembled and
+    scaled once; one weight per class; scores are grouped (4 digits) before the
+    isotonic fit; all fold models score the test rows in one projection."""
+    tr = stratified_folds(fit_rows(train), folds)
+    prepare = MLPipeline(stages=[assembler(), StandardScaler(inputCol="features", outputCol="scaled", withMean=True)]).fit(tr)
+    tr = weighted(prepare.transform(tr)).select("Donation_ID", "Is_Anomalous", "weight", "_fold", "scaled").persist()
     sizes = {r["_fold"]: r["count"] for r in tr.groupBy("_fold").count().collect()}  # <= folds rows
     total = sum(sizes.values())
-    scored = []
+    out = prepare.transform(test).select("Donation_ID", "scaled")
     for k in range(folds):
-        model = fit_logistic(tr.where(F.col("_fold") != k), max_iter, n=total - sizes.get(k, 0))
-        cal_in = positive_probability(model.transform(tr.where(F.col("_fold") == k)))
-        iso = IsotonicRegression(labelCol="Is_Anomalous", featuresCol="score", predictionCol="cal").fit(cal_in)
-        t = positive_probability(model.transform(test)).select("Donation_ID", "score")
-        scored.append(iso.transform(t).select("Donation_ID", F.col("cal").alias("s")))
-    # average of the fold models: one union and one group-by (a single shuffle)
-    out = scored[0]
-    for s in scored[1:]:
-        out = out.unionByName(s)
-    return out.groupBy("Donation_ID").agg((F.sum("s") / folds).alias("score"))
+        lr = LogisticRegression(labelCol="Is_Anomalous", featuresCol="scaled", weightCol="weight", maxIter=max_iter,
+                                regParam=1.0 / max(1, total - sizes.get(k, 0)), elasticNetParam=0.0, standardization=False,
+                                probabilityCol=f"p{k}", rawPredictionCol=f"r{k}", predictionCol=f"d{k}")
+        model = lr.fit(tr.where(F.col("_fold") != k))
+        held = positive_probability(model.transform(tr.where(F.col("_fold") == k)), f"p{k}")
+        held = held.groupBy(F.round("score", 4).alias(f"s{k}")).agg(F.avg("Is_Anomalous").alias("y"), F.count("*").cast("double").alias("w"))
+        iso = IsotonicRegression(labelCol="y", featuresCol=f"s{k}", weightCol="w", predictionCol=f"c{k}").fit(held)
+        out = model.transform(out).withColumn(f"s{k}", vector_to_array(F.col(f"p{k}"))[1]).drop(f"p{k}", f"r{k}", f"d{k}")
+        out = iso.transform(out)
+    tr.unpersist()
+    mean = sum((F.col(f"c{k}") for k in range(folds)), F.lit(0.0)) / folds
+    return out.select("Donation_ID", mean.alias("score"))
 
 
 # ---------------------------------------------------------------- isolation forest
@@ -145,16 +168,17 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     return feat, thr, left, right, size
 
 
-def fit_isolation_forest(train: DataFrame, features: list[str], trees: int = 100, psi: int = 256,
-                         seed: int = 42) -> pd.DataFrame:
-    """Grow ``trees`` isolation trees on psi-row subsamples; returns the node
+def fit_isolation_forest(train: DataFrame, features: list[str], trees: int = C.ISOLATION_TREES,
+                         psi: int = C.ISOLATION_ROWS, seed: int = 42) -> pd.DataFrame:
+    """Grow ``trees`` isolation trees, each on ``psi`` rows drawn independently of the
+    other trees' (or on all fit rows if there are fewer); returns the node
     table (small: trees x < 2 psi rows) as pandas for broadcasting."""
-    n = train.count()
-    p = min(1.0, 3.0 * psi * trees / max(n, 1))
-    key = F.col("Donation_ID")
-    sample = (train.where(uniform(key, "iso", 0) < p)
-              .select((F.floor(uniform(key, "iso", 1) * trees)).cast("int").alias("tree"),
-                      uniform(key, "iso", 2).alias("_o"), *[F.col(c).cast("double") for c in features]))
+    train = fit_rows(train)
+    p = min(1.0, 1.5 * psi / max(train.count(), 1))
+    draw = lambda t: F.pmod(F.xxhash64("Donation_ID", t, F.lit("iso")), F.lit(1 << 30))
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < int(p * (1 << 30)))
+    sample = (train.select("Donation_ID", F.explode(mine).alias("tree"), *[F.col(c).cast("double") for c in features])
+              .withColumn("_o", draw(F.col("tree"))).drop("Donation_ID"))
     max_depth = int(math.ceil(math.log2(psi)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -203,32 +227,22 @@ def score_isolation_forest(df: DataFrame, nodes: pd.DataFrame, features: list[st
 
 
 # ---------------------------------------------------------------- tree-path attributions
-def forest_node_tables(rf_model) -> list[tuple[np.ndarray, ...]]:
-    """Node arrays (feature, threshold, left, right, p1) per tree of a fitted
-    MLlib random forest; p1 is the node's class-1 share of its training
-    weight. Read once through the model's node objects (trees x nodes, bounded
-    by the model size, not the data)."""
+def forest_node_tables(spark, path: str) -> list[tuple[np.ndarray, ...]]:
+    """Node arrays (feature, threshold, left, right, p1) per tree of a saved MLlib
+    random forest pipeline, read from the model's own Parquet files (bounded by the
+    model's size, not the data); p1 is the node's class-1 share of its weight."""
+    n = F.col("nodeData")
+    nodes = spark.read.parquet(f"{path}/stages/1_*/data").select(
+        "treeID", n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"),
+        n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"),
+        n["impurityStats"].alias("stats")).toPandas()
     tables = []
-    for tree in rf_model.trees:
-        feat, thr, left, right, p1 = [], [], [], [], []
-        stack = [(tree._java_obj.rootNode(), -1, 0)]
-        while stack:
-            node, parent, side = stack.pop()
-            nid = len(feat)
-            stats = list(node.impurityStats().stats())
-            total = float(sum(stats))
-            p1.append(stats[1] / total if total > 0 and len(stats) > 1 else 0.0)
-            if parent >= 0:
-                (left if side == 0 else right)[parent] = nid
-            if node.getClass().getSimpleName() == "InternalNode":
-                split = node.split()
-                feat.append(int(split.featureIndex())), thr.append(float(split.threshold()))
-                left.append(-1), right.append(-1)
-                stack.append((node.rightChild(), nid, 1))
-                stack.append((node.leftChild(), nid, 0))
-            else:
-                feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1)
-        tables.append(tuple(np.array(a) for a in (feat, thr, left, right, p1)))
+    for _, g in nodes.sort_values(["treeID", "id"]).groupby("treeID"):
+        stats = np.array(g["stats"].tolist(), float)
+        p1 = stats[:, 1] / np.maximum(stats.sum(1), 1e-300)
+        leaf = (g["left"] < 0).to_numpy()
+        tables.append((np.where(leaf, -1, g["feature"]).astype(int), np.where(leaf, 0.0, g["threshold"]).astype(float),
+                       g["left"].to_numpy(int), g["right"].to_numpy(int), p1))
     return tables
 
 

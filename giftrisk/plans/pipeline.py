@@ -10,14 +10,16 @@ pruning and filter pushdown, which an RDD checkpoint would not give.
 from __future__ import annotations
 
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from giftrisk.operators.features import Anchors, add_features, compute_anchors
 from giftrisk.operators.labels import add_noise, assign_labels
 from giftrisk.operators.reshape import amount_anchors, enrich, remap_base
 from giftrisk.operators.rules import score_rules
-from giftrisk.session import write_stage
+from giftrisk.session import ensure_checkpoint_dir, write_stage
 from giftrisk.sources.bank import bank_transactions
 
 
@@ -33,6 +35,7 @@ class Pipeline:
         self._labeled: DataFrame | None = None
         self._entities: DataFrame | None = None
         self._model_split: DataFrame | None = None
+        self._risk_scores: DataFrame | None = None
         self.label_stats: dict = {}
         self.paths: dict[str, str] = {}
 
@@ -92,6 +95,38 @@ class Pipeline:
             self._model_split = write_stage(M.stratified_split(table), "model_split")
         return self._model_split
 
+    def forest_path(self) -> str:
+        """Folder of the random forest, fitted once per pipeline and saved."""
+        if "forest" not in self.paths:
+            from giftrisk.operators import models as M
+            path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/stages/forest-{uuid.uuid4().hex[:8]}"
+            M.fit_random_forest(self.model_split().where("is_test = 0")).write().overwrite().save(path)
+            self.paths["forest"] = path
+        return self.paths["forest"]
+
+    def forest(self):
+        from pyspark.ml import PipelineModel
+        return PipelineModel.load(self.forest_path())
+
+    def risk_scores(self) -> DataFrame:
+        """The three models' scores of the test rows side by side, written once:
+        Donation_ID, Is_Anomalous, RF_Score, LR_Score, IF_Score, IF_Flag."""
+        if self._risk_scores is None:
+            from giftrisk import constants as C
+            from giftrisk.operators import models as M
+            from giftrisk.operators.quantiles import exact_quantiles
+            split, feats = self.model_split(), list(C.MODEL_FEATURES)
+            train, test = split.where("is_test = 0"), split.where("is_test = 1")
+            rf = M.positive_probability(self.forest().transform(test)).select("Donation_ID", "Is_Anomalous", F.col("score").alias("RF_Score"))
+            lr = M.calibrated_logistic(train, test.select("Donation_ID", *feats)).withColumnRenamed("score", "LR_Score")
+            nodes = M.fit_isolation_forest(train, feats)
+            scored = write_stage(M.score_isolation_forest(split, nodes, feats, ["Donation_ID", "is_test"]), "isolation_scores")
+            cut = exact_quantiles(scored.where("is_test = 0"), {"cut": (F.col("score"), 1 - C.CONTAMINATION)})["cut"]
+            iso = scored.where("is_test = 1").select("Donation_ID", F.col("score").alias("IF_Score"),
+                                                     (F.col("score") >= F.lit(cut)).cast("int").alias("IF_Flag"))
+            self._risk_scores = write_stage(rf.join(lr, "Donation_ID").join(iso, "Donation_ID"), "risk_scores")
+        return self._risk_scores
+
     def labeled(self) -> DataFrame:
         """Donations + features + rule columns + labels (materialised)."""
         if self._labeled is None:

@@ -87,14 +87,10 @@ def metrics_json_roundtrip(spark, sf_dir):
 def model_save_load(spark, sf_dir):
     """A fitted pipeline saved to the shared folder, loaded back and
     used to score."""
-    from pyspark.ml import PipelineModel
-
     from giftrisk.operators import models as M
     from giftrisk.plans.q_models import _train_test
-    tr, te = _train_test(spark, sf_dir)
-    path = _scratch(spark, "rf_model")
-    M.fit_random_forest(tr, trees=20, depth=8).write().overwrite().save(path)
-    return M.positive_probability(PipelineModel.load(path).transform(te)).select("Donation_ID", "score")
+    _, te = _train_test(spark, sf_dir)
+    return M.positive_probability(P(spark, sf_dir).forest().transform(te)).select("Donation_ID", "score")
 
 
 @query("input_listing")

@@ -11,6 +11,7 @@ from giftrisk.operators import models as M
 from giftrisk.plans.oracle import with_base
 from giftrisk.plans.pipeline import Pipeline
 from giftrisk.plans.registry import q6, query, r6
+from giftrisk.session import write_stage
 
 P = Pipeline.get
 Y = "Is_Anomalous"
@@ -79,17 +80,16 @@ def _train_test(spark, sf_dir):
 
 @query("rf_scores")
 def rf_scores(spark, sf_dir):
-    """Random-forest positive-class probability on the test rows."""
-    tr, te = _train_test(spark, sf_dir)
-    model = M.fit_random_forest(tr)
-    return M.positive_probability(model.transform(te)).select("Donation_ID", Y, "score")
+    """Random-forest positive-class probability on the test rows (the
+    forest is fitted once per pipeline, saved and loaded)."""
+    _, te = _train_test(spark, sf_dir)
+    return M.positive_probability(P(spark, sf_dir).forest().transform(te)).select("Donation_ID", Y, "score")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     """Impurity importances, ranked, with top-5 / 6-10 / rest bands."""
-    tr, _ = _train_test(spark, sf_dir)
-    rf = M.fit_random_forest(tr).stages[-1]
+    rf = P(spark, sf_dir).forest().stages[-1]
     imp = [(f, float(v)) for f, v in zip(C.MODEL_FEATURES, rf.featureImportances.toArray())]
     df = spark.createDataFrame(imp, "feature string, importance double")
     from pyspark.sql import Window
@@ -102,54 +102,64 @@ def feature_importance(spark, sf_dir):
 @query("lr_calibrated_scores")
 def lr_calibrated_scores(spark, sf_dir):
     """M6 / M7: logistic regression with 5-fold isotonic calibration."""
-    tr, te = _train_test(spark, sf_dir)
-    s = M.calibrated_logistic(tr, te.select("Donation_ID", *C.MODEL_FEATURES, Y))
-    return s.join(te.select("Donation_ID", Y), "Donation_ID")
+    return P(spark, sf_dir).risk_scores().select("Donation_ID", F.col("LR_Score").alias("score"), Y)
 
 
 @query("iso_scores")
 def iso_scores(spark, sf_dir):
     """M8 / M9: isolation-forest anomaly score and the contamination cut
-    (train-score quantile at 1 - 0.055)."""
-    tr, te = _train_test(spark, sf_dir)
-    feats = list(C.MODEL_FEATURES)
-    nodes = M.fit_isolation_forest(tr, feats)
-    train_scores = M.score_isolation_forest(tr, nodes, feats, ["Donation_ID"])
-    cut = train_scores.approxQuantile("score", [1 - 0.055], 0.001)[0]
-    s = M.score_isolation_forest(te, nodes, feats, ["Donation_ID", Y])
-    return s.withColumn("iso_flag", (F.col("score") >= F.lit(cut)).cast("int"))
+    (exact train-score quantile at 1 - 0.055)."""
+    r = P(spark, sf_dir).risk_scores()
+    return r.select("Donation_ID", Y, F.col("IF_Score").alias("score"), F.col("IF_Flag").alias("iso_flag"))
+
+
+def _forest_threshold(spark, sf_dir) -> float:
+    """The forest's F-0.5 threshold on the whole test set."""
+    return EV.summary_metrics(P(spark, sf_dir).risk_scores(), "RF_Score", Y).first()["opt_threshold"]
+
+
+@query("risk_table")
+def risk_table(spark, sf_dir):
+    """One table with the three models' scores, the forest's prediction at its
+    F-0.5 threshold, and the tier of the boosted score."""
+    from giftrisk.operators import triage as TR
+    raw = ["CVV_Check", "Device_Fingerprint", "Webhook_Event"]
+    lab = P(spark, sf_dir).labeled().select("Donation_ID", "Donor_ID", *raw)
+    r = P(spark, sf_dir).risk_scores().join(lab, "Donation_ID")
+    r = r.withColumn("Risk_Score", TR.boosted_score(F.col("RF_Score"))).withColumn("Risk_Tier", TR.risk_tier(F.col("Risk_Score")))
+    flag = (F.col("RF_Score") >= F.lit(_forest_threshold(spark, sf_dir))).cast("int")
+    return r.withColumn("Predicted", flag).select("Donation_ID", "Donor_ID", Y, "RF_Score", "LR_Score", "IF_Score", "IF_Flag",
+                                                  "Risk_Score", "Risk_Tier", "Predicted")
 
 
 @query("model_metrics")
 def model_metrics(spark, sf_dir):
-    """V7 over trained models: AUC, AP and F-0.5 threshold for RF and IF."""
-    tr, te = _train_test(spark, sf_dir)
-    rf = M.positive_probability(M.fit_random_forest(tr).transform(te)).select(
-        F.lit("Random Forest").alias("model"), "score", Y)
-    feats = list(C.MODEL_FEATURES)
-    iso = M.score_isolation_forest(te, M.fit_isolation_forest(tr, feats), feats, ["Donation_ID", Y]).select(
-        F.lit("Isolation Forest").alias("model"), "score", Y)
-    return EV.summary_metrics(rf.unionByName(iso), "score", Y, by=["model"])
+    """V7 / K2: AUC, AP and, at each model's F-0.5 threshold, confusion counts,
+    precision, recall and F1 of the three trained models."""
+    r = P(spark, sf_dir).risk_scores()
+    long = r.select(Y, F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("score")) for n, c in (
+        ("Random Forest", "RF_Score"), ("Logistic Regression", "LR_Score"), ("Isolation Forest", "IF_Score"))])))
+    m = EV.summary_metrics(long, "score", Y, by=["model"])
+    at = long.join(F.broadcast(m.select("model", "opt_threshold")), "model")  # three rows
+    return m.join(EV.confusion(at, F.col("score"), Y, F.col("opt_threshold"), by=["model"]), "model")
 
 
 @query("cv_metrics")
 def cv_metrics(spark, sf_dir):
-    """5-fold cross-validated AUC / AP of the logistic model (mean and
-    sd over folds)."""
-    mt = model_table(spark, sf_dir).withColumn("_fold", F.pmod(F.xxhash64("Donation_ID", F.lit("cv")), F.lit(5)))
-    sizes = {r["_fold"]: r["count"] for r in mt.groupBy("_fold").count().collect()}  # 5 rows
-    total = sum(sizes.values())
+    """Cross-validated AUC, AP and F1 (at 0.5) of the forest over stratified
+    folds (mean and sd)."""
+    mt = M.stratified_folds(M.fit_rows(model_table(spark, sf_dir)), 5)
     parts = []
     for k in range(5):
-        model = M.fit_logistic(mt.where(F.col("_fold") != k), max_iter=30, n=total - sizes.get(k, 0))
-        sc = M.positive_probability(model.transform(mt.where(F.col("_fold") == k))).select("score", Y)
-        parts.append(EV.summary_metrics(sc, "score", Y).select(F.lit(k).alias("fold"), "roc_auc",
-                                                              "average_precision"))
-    out = parts[0]
+        model = M.fit_random_forest(mt.where(F.col("_fold") != k).drop("_fold"))
+        sc = M.positive_probability(model.transform(mt.where(F.col("_fold") == k))).select(F.lit(k).alias("fold"), "score", Y)
+        parts.append(write_stage(sc, "cv_fold"))
+    sc = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.agg(F.avg("roc_auc").alias("auc_mean"), F.stddev_samp("roc_auc").alias("auc_sd"),
-                   F.avg("average_precision").alias("ap_mean"), F.stddev_samp("average_precision").alias("ap_sd"))
+        sc = sc.unionByName(p)
+    m = EV.summary_metrics(sc, "score", Y, by=["fold"]).join(EV.confusion(sc, F.col("score"), Y, 0.5, by=["fold"]), "fold")
+    return m.agg(*[f(c).alias(f"{n}_{s}") for n, c in (("auc", "roc_auc"), ("ap", "average_precision"), ("f1", "f1"))
+                   for s, f in (("mean", F.avg), ("sd", F.stddev_samp))])
 
 
 def _honest_sql():
@@ -190,17 +200,16 @@ def two_step_scoring(spark, sf_dir):
     from giftrisk.operators import screening as SC
     from giftrisk.operators import triage as TR
     from giftrisk.plans.q_screen import donor_names, entities
-    tr, te = _train_test(spark, sf_dir)
+    _, te = _train_test(spark, sf_dir)
     raw = ["CVV_Check", "Device_Fingerprint", "Webhook_Event"]  # te holds their encoded model inputs
     lab = P(spark, sf_dir).labeled().select("Donation_ID", "Donor_ID", *[F.col(c).alias(f"_raw_{c}") for c in raw])
     new = te.join(lab, "Donation_ID")
     blocked_ids = SC.fuzzy_hits(donor_names(spark, sf_dir), entities(spark, sf_dir)).select(
         F.col("name_id").alias("Donor_ID")).distinct()
     blocked, rest = SC.split_blocked(new, blocked_ids)
-    model = M.fit_random_forest(tr)
-    scored = M.positive_probability(model.transform(rest)).select(
+    scored = M.positive_probability(P(spark, sf_dir).forest().transform(rest)).select(
         "Donation_ID", "Donor_ID", "score", Y, *[F.col(f"_raw_{c}").alias(c) for c in raw])
-    t = EV.summary_metrics(scored, "score", Y).first()["opt_threshold"]
+    t = _forest_threshold(spark, sf_dir)  # tuned on the whole test set, blocked donors too
     scored = (scored.withColumn("Risk_Score", TR.boosted_score(F.col("score")))
               .withColumn("Risk_Tier", TR.risk_tier(F.col("Risk_Score")))
               .withColumn("status", F.lit("SCORED"))

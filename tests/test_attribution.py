@@ -4,7 +4,12 @@ from pyspark.sql import functions as F
 from giftrisk.operators import models as M
 
 
-def test_tree_attributions_add_up_to_forest_probability(spark):
+def node_tables(spark, model, folder):
+    model.write().overwrite().save(f"file://{folder}/forest")
+    return M.forest_node_tables(spark, f"file://{folder}/forest")
+
+
+def test_tree_attributions_add_up_to_forest_probability(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = []
     for i in range(600):
@@ -20,7 +25,7 @@ def test_tree_attributions_add_up_to_forest_probability(spark):
                        ).fit(df)
     prob = {r["Donation_ID"]: r["score"] for r in
             M.positive_probability(model.transform(df)).select("Donation_ID", "score").collect()}
-    att = M.tree_attributions(df, M.forest_node_tables(model.stages[-1]), feats)
+    att = M.tree_attributions(df, node_tables(spark, model, tmp_path), feats)
     total = {r["Donation_ID"]: r["s"] for r in att.groupBy("Donation_ID").agg(F.sum("value").alias("s")).collect()}
     assert max(abs(total[k] - prob[k]) for k in prob) < 1e-9
 
