@@ -39,7 +39,7 @@ from giftrisk.llm.common import documents, query, stage, texts
 
 BITMAP_BITS = 24
 #: Words held by one block of numpy work.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 800_000
 
 # Unit words, and number words.
 UNITS = frozenset("""
@@ -69,16 +69,22 @@ PLACEHOLDER = {NUM: "<num>", UNIT: "<unit>", CAP: "<name>"}
 
 def analyse(word: str) -> tuple[list[tuple[str, int]], bool]:
     """(tokens with their kinds, whether a sentence ends after the word)."""
-    ends = word.rstrip("\"')]»”’").endswith((".", "!", "?", ":"))
-    core = OUTER.sub("", word)
+    core, ends = word, False
+    if not word.isalpha():
+        ends = word.rstrip("\"')]»”’").endswith((".", "!", "?", ":"))
+        core = word.rstrip(".,;:!?")
+        if not core.isalpha():
+            core = OUTER.sub("", word)
+    low = core.lower()
+    if core.isalpha():
+        kind = NUM if low in NUMBER_WORDS else UNIT if low in UNITS else CAP if core[0].isupper() and core[1:] == low[1:] else WORD
+        return [(low, kind)], ends
     if not any(c.isalnum() for c in core) and core not in ("%", "°"):
         return [], ends
-    low = core.lower()
-    if NUMBER.fullmatch(low) or low in NUMBER_WORDS:
+    if NUMBER.fullmatch(low):
         return [(low, NUM)], ends
-    if m := QUANTITY.fullmatch(low):
-        if m[2] in UNITS:
-            return [(m[1], NUM), (m[2], UNIT)], ends
+    if (m := QUANTITY.fullmatch(low)) and m[2] in UNITS:
+        return [(m[1], NUM), (m[2], UNIT)], ends
     if low in UNITS:
         return [(low, UNIT)], ends
     return [(low, CAP if core[:1].isupper() and core[1:] == core[1:].lower() else WORD)], ends
