@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,20 @@ DEFAULT_CONF = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (not needed in local mode,
+    or where it is installed or given by --py-files)."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="giftrisk-py-"), "giftrisk.zip")  # read by the driver alone
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("giftrisk", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def get_spark(master: str | None = None, partitions: int | None = None,
               app: str = "giftrisk", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -37,6 +52,8 @@ def get_spark(master: str | None = None, partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
     return spark
 
 
