@@ -25,8 +25,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from giftrisk.session import write_stage
 
-MAX_TIE_OFFSET = 1_000_000
+
+#: Rows that one task may order. What is larger is narrowed down again: a bracket's
+#: interior by brackets of its own, a set of ties by ranges.
+MAX_ORDERED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -114,7 +118,16 @@ def order_stats(df: DataFrame, requests: dict[str, OrderStat],
             if lo is not None and r.k < b + e:
                 result[q] = lo
             elif r.k < b + e + i:
-                inner_jobs[q] = (lo, hi, r.k - b - e)
+                if i > MAX_ORDERED:
+                    inside = masked[q].isNotNull()
+                    if lo is not None:
+                        inside = inside & (masked[q] > F.lit(lo))
+                    if hi is not None:
+                        inside = inside & (masked[q] < F.lit(hi))
+                    narrow = OrderStat(masked[q], r.k - b - e, inside)
+                    result[q] = order_stats(df, {q: narrow}, {q: i})[q]
+                else:
+                    inner_jobs[q] = (lo, hi, r.k - b - e)
             else:
                 result[q] = hi
             del pending[q]
@@ -184,6 +197,20 @@ def exact_quantiles(df: DataFrame, specs: dict[str, tuple[Column, float]],
     return out
 
 
+def _kth_by_range(values: DataFrame, k: int):
+    """k-th smallest (0-based) of ``values(t)``, of any orderable type: ties are cut
+    into ranges, and only the range that holds the rank is ordered."""
+    if k < MAX_ORDERED:
+        return values.orderBy("t").offset(k).limit(1).first()["t"]
+    cut = write_stage(write_stage(values, "ties").repartitionByRange("t").withColumn("b", F.spark_partition_id()), "tie_ranges")
+    for r in cut.groupBy("b").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("b").collect():
+        if k < r["n"]:
+            mine = cut.where(F.col("b") == r["b"])
+            return r["lo"] if r["lo"] == r["hi"] else mine.orderBy("t").offset(k).limit(1).first()["t"]
+        k -= r["n"]
+    raise ValueError("rank beyond the values")
+
+
 def first_k_masks(df: DataFrame, draw: Column, tiebreak: Column,
                   requests: dict[str, tuple[int, Column | None]],
                   counts: dict[str, int] | None = None) -> dict[str, Column]:
@@ -211,13 +238,8 @@ def first_k_masks(df: DataFrame, draw: Column, tiebreak: Column,
         r = k - int(row[f"{q}__b"])  # rows to take among ties on v, by tiebreak
         if r == 1:
             t = row[f"{q}__t"]
-        elif r > MAX_TIE_OFFSET:
-            # the tie set would be ordered in one TakeOrdered: demand a draw
-            # with more entropy (the 60-bit hash draws tie with probability ~0)
-            raise ValueError(f"{r} rows tie on the selection draw; use a higher-entropy draw")
         else:
-            t = (df.where(conds[q] & (draw == v)).select(tiebreak.alias("t"))
-                 .orderBy("t").offset(r - 1).limit(1).first()["t"])
+            t = _kth_by_range(df.where(conds[q] & (draw == v)).select(tiebreak.alias("t")), r - 1)
         out[q] = conds[q] & ((draw < v) | ((draw == v) & (tiebreak <= F.lit(t))))
     return out
 
