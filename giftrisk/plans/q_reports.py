@@ -248,18 +248,17 @@ def label_signal_diagnostics(spark, sf_dir):
 
 
 @query("review_feedback", wr(
-    "SELECT Donation_ID, Is_Anomalous, Label_Raw AS Reviewed_Label, Label_Raw AS Final_Label FROM riskq "
-    "WHERE Risk_Tier IN ('Critical', 'High')"))
+    "SELECT Donation_ID, Is_Anomalous, CASE WHEN Risk_Tier IN ('Critical', 'High') THEN CAST(Label_Raw AS DOUBLE) END AS Reviewed_Label, "
+    "CASE WHEN Risk_Tier IN ('Critical', 'High') THEN Label_Raw ELSE Is_Anomalous END AS Final_Label FROM riskq"))
 def review_feedback(spark, sf_dir):
     """Reviewed outcome overrides the generated label. The review table is
     the Critical/High queue with the noise-free rule label as the reviewer's
-    finding; left join + coalesce."""
+    finding; left join + coalesce, every donation comes back."""
     r = risk(spark, sf_dir)
     reviews = r.where(F.col("Risk_Tier").isin("Critical", "High")).select(
-        "Donation_ID", F.col("Label_Raw").alias("Reviewed_Label"))
+        "Donation_ID", F.col("Label_Raw").cast("double").alias("Reviewed_Label"))
     j = r.select("Donation_ID", Y).join(reviews, "Donation_ID", "left")
-    return (j.withColumn("Final_Label", F.coalesce("Reviewed_Label", Y))
-            .where(F.col("Reviewed_Label").isNotNull()))
+    return j.withColumn("Final_Label", F.coalesce(F.col("Reviewed_Label").cast("int"), Y))
 
 
 @query("restricted_country", wr(

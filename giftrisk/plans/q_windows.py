@@ -23,9 +23,9 @@ EVENTS_SQL = ("SELECT event_id, epoch_us(ts) AS t_us, user_id AS donor_id, json_
 @query("ip_velocity_24h", f"WITH ev AS ({EVENTS_SQL}) SELECT event_id, ip_key, count(*) OVER (PARTITION BY ip_key "
        f"ORDER BY t_us RANGE BETWEEN {DAY_US} PRECEDING AND CURRENT ROW) AS velocity_24h FROM ev")
 def ip_velocity_24h(spark, sf_dir):
-    """Events per IP key in the trailing 24 h (halo-bucketed range window)."""
+    """Events per IP key in the trailing 24 h."""
     ev = payment_events(spark, sf_dir)
-    out = WN.range_agg(ev, ["ip_key"], "t_us", DAY_US, {"velocity_24h": F.count("*")})
+    out = WN.range_sums(ev, ["ip_key"], "t_us", DAY_US, {"velocity_24h": F.lit(1)})
     return out.select("event_id", "ip_key", "velocity_24h")
 
 
@@ -35,7 +35,7 @@ def ip_velocity_24h(spark, sf_dir):
 def card_testing_burst(spark, sf_dir):
     """T3 batch twin: >= 3 declined payments by one donor within 6 h."""
     ev = payment_events(spark, sf_dir).where(F.col("webhook_event") == "payment.declined")
-    out = WN.range_agg(ev, ["donor_id"], "t_us", 6 * HOUR_US, {"n_declines_6h": F.count("*")})
+    out = WN.range_sums(ev, ["donor_id"], "t_us", 6 * HOUR_US, {"n_declines_6h": F.lit(1)})
     return out.where(F.col("n_declines_6h") >= 3).select("event_id", "donor_id", "n_declines_6h")
 
 
@@ -49,9 +49,8 @@ def reversal_interval_join(spark, sf_dir):
     within 1 h (as-of form of the interval join: one row per authorisation,
     never all pairs)."""
     ev = payment_events(spark, sf_dir).where(F.col("webhook_event").isin("payment.authorised", "payment.reversed"))
-    rev = F.min(F.when(F.col("webhook_event") == "payment.reversed", F.col("t_us")))
-    out = WN.range_agg(ev, ["donor_id"], "t_us", HOUR_US, {"rev_us": rev}, direction="following")
-    return (out.where((F.col("webhook_event") == "payment.authorised") & F.col("rev_us").isNotNull())
+    out = WN.next_event(ev, ["donor_id"], "t_us", F.col("webhook_event") == "payment.reversed", "rev_us")
+    return (out.where((F.col("webhook_event") == "payment.authorised") & (F.col("rev_us") <= F.col("t_us") + HOUR_US))
             .select(F.col("event_id").alias("auth_event_id"), "donor_id",
                     (F.col("rev_us") - F.col("t_us")).alias("micros_to_reversal")))
 
@@ -87,12 +86,12 @@ def _donations_t_sql():
     + q6("coalesce(sum(Donation_Amount) OVER w, 0)") + " AS hist_sum FROM dt WINDOW w AS (PARTITION BY Donor_ID "
     "ORDER BY t_us, Donation_ID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
 def donor_running_history(spark, sf_dir):
-    """Count and total of the donor's earlier donations (bucketed prefix
-    sums; no single window over a whole donor)."""
+    """Count and total of the donor's earlier donations (prefix sums over
+    ranges; no single window over a whole donor)."""
     d = P(spark, sf_dir).donations()
     ts = F.to_timestamp(F.concat_ws(" ", F.date_format("Donation_Date", "yyyy-MM-dd"), F.col("Donation_Time")))
     d = d.withColumn("t_us", F.unix_micros(ts))
-    h = WN.running_totals(d, ["Donor_ID"], "t_us", "Donation_Amount", 365 * DAY_US, tiebreak="Donation_ID")
+    h = WN.running_totals(d, ["Donor_ID"], "t_us", "Donation_Amount", tiebreak="Donation_ID")
     return h.select("Donation_ID", "hist_n", r6("hist_sum").alias("hist_sum"))
 
 
@@ -107,10 +106,10 @@ def rolling_structuring(spark, sf_dir):
     d = P(spark, sf_dir).donations().where(F.col("Donation_Amount") < 500)
     ts = F.to_timestamp(F.concat_ws(" ", F.date_format("Donation_Date", "yyyy-MM-dd"), F.col("Donation_Time")))
     d = d.withColumn("t_us", F.unix_micros(ts))
-    out = WN.range_agg(d, ["Donor_ID"], "t_us", 90 * DAY_US,
-                       {"n_small_90d": F.count("*"), "_s": F.sum("Donation_Amount")})
+    out = WN.range_sums(d, ["Donor_ID"], "t_us", 90 * DAY_US,
+                        {"n_small_90d": F.lit(1), "_s": F.col("Donation_Amount")})
     return out.select("Donation_ID", "Donor_ID", "n_small_90d", r6("_s").alias("sum_small_90d"),
-                      ((F.col("n_small_90d") >= 2) & (F.col("_s") >= 950)).cast("int").alias("structuring_flag"))
+                      ((F.col("n_small_90d") >= 2) & (F.round("_s", 6) >= 950)).cast("int").alias("structuring_flag"))
 
 
 @query("shared_identifiers", f"WITH ev AS ({EVENTS_SQL}) SELECT ip_key, count(DISTINCT donor_id) AS n_donors, "

@@ -39,27 +39,26 @@ def test_auc_ap_exact_with_ties(spark):
 def test_running_totals_bucketed_equals_single_window(spark):
     rows = [(random.Random(i).randint(0, 2), i * 7 % 101, float(i)) for i in range(300)]
     df = spark.createDataFrame(rows, "k int, t long, v double")
-    small = WN.running_totals(df, ["k"], "t", "v", bucket=10, tiebreak="v")
+    small = WN.running_totals(df, ["k"], "t", "v", tiebreak="v", ranges=7)
     got = {(r["k"], r["v"]): (r["hist_n"], r["hist_sum"]) for r in small.collect()}
     for k, t, v in rows:
         before = [(t2, v2) for k2, t2, v2 in rows if k2 == k and (t2, v2) < (t, v)]
         assert got[(k, v)] == (len(before), float(sum(v2 for _, v2 in before)))
 
 
-def test_halo_range_window_equals_brute_force(spark):
+def test_range_sums_and_next_event_equal_brute_force_under_a_hot_key(spark):
+    """A key with most of the rows: every range holds about the same number."""
     rnd = random.Random(5)
-    rows = [(rnd.randint(0, 1), rnd.randint(0, 500), i) for i in range(400)]
-    df = spark.createDataFrame(rows, "k int, t long, id int")
-    for direction in ("preceding", "following"):
-        out = WN.range_agg(df, ["k"], "t", 60, {"n": F.count("*")}, bucket=25, direction=direction)
-        got = {r["id"]: r["n"] for r in out.collect()}
-        assert len(got) == len(rows)
-        for k, t, i in rows:
-            if direction == "preceding":
-                want = sum(1 for k2, t2, _ in rows if k2 == k and t - 60 <= t2 <= t)
-            else:
-                want = sum(1 for k2, t2, _ in rows if k2 == k and t <= t2 <= t + 60)
-            assert got[i] == want
+    rows = [(0 if i % 3 else rnd.randint(1, 40), rnd.randint(0, 900), i) for i in range(600)] + [(None, 5, 600), (None, 6, 601)]
+    df = spark.createDataFrame(rows, "k int, t long, i long")
+    got = {r["i"]: (r["n"], r["s"]) for r in WN.range_sums(df, ["k"], "t", 60, {"n": F.lit(1), "s": F.col("i")}, ranges=9).collect()}
+    nxt = {r["i"]: r["e"] for r in WN.next_event(df, ["k"], "t", F.col("i") % 5 == 0, "e", ranges=9).collect()}
+    for k, t, i in rows:
+        frame = [i2 for k2, t2, i2 in rows if k2 == k and t - 60 <= t2 <= t]
+        assert got[i] == (len(frame), sum(frame))
+        assert nxt[i] == min((t2 for k2, t2, i2 in rows if k2 == k and t2 >= t and i2 % 5 == 0), default=None)
+    sizes = [r["count"] for r in WN._cut(df, ["k"], ["t"], 9).groupBy("_b").count().collect()]
+    assert max(sizes) < 3 * len(rows) / 9
 
 
 def _lev(a, b):
