@@ -95,16 +95,20 @@ def shard(docs: DataFrame, n: int = 16, rounds: int = 8) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = stage(docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())).alias("hash"),
         (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(text.cast("binary")).alias("group"), _hash("doc_id", "start", n).alias("shard")), "shard_rows")
+        F.md5(text.cast("binary")).alias("group"), F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(n)).cast("int").alias("shard")), "shard_rows")
     groups = base.groupBy("group").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
     whole = groups.agg(F.sum("bytes").alias("b"), F.sum("rows").alias("r")).first()
     total, rows = whole.b or 0, whole.r or 0
     capacity = total / n
     pieces = F.ceil(F.col("bytes") / F.lit(max(capacity / 2, 1.0))).cast("int")
-    tied = base.join(groups.where("rows > 1").select("group", pieces.alias("pieces")), "group", "left")
-    link = F.when(F.col("pieces").isNotNull(), F.xxhash64("group", F.pmod(F.xxhash64("rid"), F.greatest("pieces", F.lit(1)))))
-    tied = stage(tied.select("rid", "doc_id", "size", "text_crc32", "shard", link.alias("link")), "shard_links")
+    # a table of its own, so that both sides of the join are plain exchanges, of which
+    # AQE splits a hot group
+    shared = stage(groups.where("rows > 1").select("group", pieces.alias("pieces")), "shard_groups")
+    tied = base.join(shared, "group", "left")
+    link = F.when(F.col("pieces").isNotNull(), F.xxhash64("group", F.pmod(F.col("hash"), F.greatest("pieces", F.lit(1)))))
+    tied = stage(tied.select("rid", "doc_id", "size", "text_crc32", "hash", "shard", link.alias("link")), "shard_links")
     moved = propagate(tied.where("link is not null").select("rid", "link", "size", "shard"), n, capacity, rounds)
 
     # what stands together: a link's part in a shard, or an unlinked document
@@ -117,7 +121,7 @@ def shard(docs: DataFrame, n: int = 16, rounds: int = 8) -> DataFrame:
     cell = lambda c, k: _hash(c, "cell", k)
     small = [(r.cell, r.shard, r.size, r.linked) for r in
              parts.where(F.col("size") <= edge).groupBy(cell("link", LINK_CELLS).alias("cell"), "shard").agg(F.sum("size").alias("size")).withColumn("linked", F.lit(True)).union(
-                 alone.where(F.col("size") <= edge).groupBy(cell("rid", CELLS).alias("cell"), "shard").agg(F.sum("size").alias("size")).withColumn("linked", F.lit(False)))
+                 alone.where(F.col("size") <= edge).groupBy(cell("hash", CELLS).alias("cell"), "shard").agg(F.sum("size").alias("size")).withColumn("linked", F.lit(False)))
              .collect()]  # at most n * (CELLS + LINK_CELLS) rows
     big.sort(), small.sort()
     load, plan = [0.0] * n, {}
@@ -131,8 +135,8 @@ def shard(docs: DataFrame, n: int = 16, rounds: int = 8) -> DataFrame:
     size_of = parts.select("link", "shard", (F.col("size") > edge).alias("is_big"))
     a = moved.join(size_of, ["link", "shard"]).select(
         "rid", "shard", F.lit(True).alias("linked"), "is_big", F.when(F.col("is_big"), F.col("link")).otherwise(cell("link", LINK_CELLS).cast("long")).alias("unit"))
-    b = alone.select("rid", "shard", F.lit(False).alias("linked"), (F.col("size") > edge).alias("is_big")).withColumn(
-        "unit", F.when(F.col("is_big"), F.col("rid")).otherwise(cell("rid", CELLS).cast("long")))
+    b = alone.select("rid", "hash", "shard", F.lit(False).alias("linked"), (F.col("size") > edge).alias("is_big")).withColumn(
+        "unit", F.when(F.col("is_big"), F.col("rid")).otherwise(cell("hash", CELLS).cast("long")))
     key = ["is_big", "linked", "unit", "shard"]
     final = tied.drop("shard", "link").join(a.union(b.select(*a.columns)).join(moves, key).select("rid", F.col("to").alias("shard")), "rid")
     out = slots(final, n, rows)
@@ -142,11 +146,11 @@ def shard(docs: DataFrame, n: int = 16, rounds: int = 8) -> DataFrame:
 def slots(rows: DataFrame, n: int, count: int) -> DataFrame:
     """Adds a gapless slot from 0 within each shard, in hash order."""
     buckets = max(1, -(-count // (n * SLOT_ROWS)))
-    rows = rows.withColumn("_b", _hash("rid", "slot", buckets))
+    rows = rows.withColumn("_b", _hash("hash", "slot", buckets))
     sizes = rows.groupBy("shard", "_b").agg(F.count("*").alias("c"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "_b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_start"))
-    order = Window.partitionBy("shard", "_b").orderBy("rid")
+    order = Window.partitionBy("shard", "_b").orderBy("hash", "rid")
     return (rows.join(starts, ["shard", "_b"])
             .withColumn("slot", F.col("_start") + F.row_number().over(order) - 1).drop("_b", "_start"))
 
