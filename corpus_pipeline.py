@@ -2,8 +2,8 @@
 data. Every stage reads what the one before it wrote, as Parquet in the shared folder;
 its decisions take effect for all later ones.
 
-1. language: documents without a language, or with less than half of their letters in
-   one, go;
+1. language: documents without a language, or with less than three tenths of their
+   letters in one (text of two or three languages stays), go;
 2. near_duplicates: of each SimHash group the document with the smallest id stays;
 3. decontaminate: documents that hold a benchmark item go;
 4. mix: documents are replicated to the sources' target weights and shuffled;

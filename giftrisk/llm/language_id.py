@@ -275,7 +275,7 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return language_spans(docs, learn(docs.where(~held_out(F.col("doc_id")))), keep=keep)
 
 
-def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Documents with a language whose score is at least ``min_score``."""
     return identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
 
