@@ -339,6 +339,7 @@ NATION_STATE = [
 
 # FIXED VALUES: sizes of the models
 FOREST_TREES, FOREST_DEPTH, FOREST_MIN_LEAF = 300, 16, 4
+CV_TREES, CV_DEPTH, CV_MIN_LEAF = 100, 12, 1  # the forest of the cross-validation
 LOGISTIC_ITERATIONS = 1000
 ISOLATION_TREES, ISOLATION_ROWS, CONTAMINATION = 200, 256, 0.055
 CALIBRATION_FOLDS = 5

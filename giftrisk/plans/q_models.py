@@ -151,7 +151,7 @@ def cv_metrics(spark, sf_dir):
     mt = M.stratified_folds(M.fit_rows(model_table(spark, sf_dir)), 5)
     parts = []
     for k in range(5):
-        model = M.fit_random_forest(mt.where(F.col("_fold") != k).drop("_fold"))
+        model = M.fit_random_forest(mt.where(F.col("_fold") != k).drop("_fold"), C.CV_TREES, C.CV_DEPTH, C.CV_MIN_LEAF)
         sc = M.positive_probability(model.transform(mt.where(F.col("_fold") == k))).select(F.lit(k).alias("fold"), "score", Y)
         parts.append(write_stage(sc, "cv_fold"))
     sc = parts[0]
