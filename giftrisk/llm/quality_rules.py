@@ -231,3 +231,10 @@ FROM s
 @query("op2_suffix_repetition", SQL)
 def op2(spark, sf_dir):
     return judge(repetition_stats(documents(spark, sf_dir))).drop("n_maximal_repeats")
+
+
+@query("op2_phrase_repetition")
+def op2_phrases(spark, sf_dir):
+    """The verdict with repeats of 3 words or more; the base counts keep the window
+    of 8. ``op2_suffix_repetition`` looks at repeats of 8 words only, as its SQL does."""
+    return judge(repetition_stats(documents(spark, sf_dir), min_words=3)).drop("n_maximal_repeats")

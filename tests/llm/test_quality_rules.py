@@ -1,5 +1,5 @@
 import numpy as np
-from helpers import EDGE, edge_frame, empty, oracle, same_rows
+from helpers import EDGE, edge_frame, empty, oracle, plain, same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,3 +49,19 @@ def test_blocks_do_not_change_results(spark, monkeypatch):
     want = Q.repetition_stats(df).toPandas()
     monkeypatch.setattr(Q, "BLOCK_WORDS", 1)
     assert same_rows(Q.repetition_stats(df).toPandas(), want)
+
+
+def test_short_phrases_decide_beyond_the_base_rule(spark, tmp_path):
+    """Repeats under 8 words: the base rule passes them, the phrase query does not."""
+    fresh = [f"w{i}" for i in range(60)]
+    phrases = [w for i in range(15) for w in ("buy", "cheap", "pills", "now", f"x{i}")]
+    some = [w for i in range(4) for w in ("as", "we", "said", f"y{i}")] + fresh
+    texts = [" ".join(phrases), " ".join("spam" if i % 9 else f"z{i}" for i in range(90)), " ".join(some), " ".join(fresh)]
+    plain(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in Q.op2_phrases(spark, str(tmp_path)).collect()}
+    assert [got[i].kept for i in range(4)] == [False, False, True, True]
+    assert not got[0].base_failed and got[0].n_repeat_words == 0
+    for i, t in enumerate(texts):
+        words = t.split()
+        covered, longest, _ = brute(words, 3)
+        assert got[i].covered_chars == sum(len(words[p]) for p in covered) and got[i].longest_repeat == longest
