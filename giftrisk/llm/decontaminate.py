@@ -1,15 +1,19 @@
 """Benchmark decontamination by canonical templates.
 
-Tokens are words without outer punctuation, lower-cased. Numbers, units and names
-(capitalised inside a sentence) become the typed placeholders <num>, <unit> and
-<name>; the value replaced is the slot's filling. Two windows start at each token:
-the plain words, and, where it holds a placeholder and at least half its tokens are
-words, the template. Windows of documents and items meet in a hash join.
+Tokens are words without outer punctuation, lower-cased. Numbers, units (directly after
+a number) and names (capitalised inside a sentence) become the typed placeholders <num>, <unit> and
+<name>; the value replaced is the slot's filling. Two windows start
+at each token: the plain words, and, where it holds a placeholder and at least half its
+tokens are words, the template. Where placeholders are denser, the template is twice or
+four times as wide, with as many words; and an item with more placeholders than words
+is also searched as one template, whatever its length. Windows of documents and items
+meet in a hash join.
 
 Hits of a document and an item that lie on one diagonal (document position minus
 item position) are one alignment. Template hits count only if the alignment's slots
 are consistent: each filling of the item stands for one filling of the document
-throughout, and for names the reverse holds too. An item is in a document if the
+throughout, and for names the reverse holds too; templates with a word that may be a
+name don't speak against those without. An item is in a document if the
 aligned windows cover at least ``min_coverage`` of its tokens.
 
 Scale: only windows whose hash is set in a bitmap of the items' windows leave the
@@ -20,7 +24,8 @@ stays exact. So a shuffle carries hits, not the corpus.
 Defined cases: null or blank texts and items have no tokens and never match; items
 under ``min_tokens`` tokens are not searched (a word or two identify nothing), items
 under ``width`` tokens are searched as one window; repeated rows of one id and text
-give one result row per item; a null doc_id or item_id is carried; other columns are
+give one result row per item; an item of placeholders alone is searched by its plain
+words; a null doc_id or item_id is carried; other columns are
 ignored.
 """
 
@@ -38,6 +43,12 @@ from pyspark.sql import functions as F
 from giftrisk.llm.common import documents, query, stage, texts
 
 BITMAP_BITS = 24
+#: Factor of the windows' hash (odd).
+FACTOR = 0x9E3779B97F4A7C15
+#: So many possible names of a window are tried both ways; further ones are names.
+MAYBE = 6
+#: Template windows made at once.
+TEMPLATES = 2_000_000
 #: Words held by one block of numpy work.
 BLOCK_WORDS = 800_000
 
@@ -67,6 +78,10 @@ WORD, NUM, UNIT, CAP = 0, 1, 2, 3
 PLACEHOLDER = {NUM: "<num>", UNIT: "<unit>", CAP: "<name>"}
 
 
+def capitalised(core: str) -> bool:
+    return core[:1].isupper() and core[1:] == core[1:].lower()
+
+
 def analyse(word: str) -> tuple[list[tuple[str, int]], bool]:
     """(tokens with their kinds, whether a sentence ends after the word)."""
     core, ends = word, False
@@ -77,7 +92,7 @@ def analyse(word: str) -> tuple[list[tuple[str, int]], bool]:
             core = OUTER.sub("", word)
     low = core.lower()
     if core.isalpha():
-        kind = NUM if low in NUMBER_WORDS else UNIT if low in UNITS else CAP if core[0].isupper() and core[1:] == low[1:] else WORD
+        kind = NUM if low in NUMBER_WORDS else UNIT if low in UNITS else CAP if capitalised(core) else WORD
         return [(low, kind)], ends
     if not any(c.isalnum() for c in core) and core not in ("%", "°"):
         return [], ends
@@ -87,7 +102,7 @@ def analyse(word: str) -> tuple[list[tuple[str, int]], bool]:
         return [(m[1], NUM), (m[2], UNIT)], ends
     if low in UNITS:
         return [(low, UNIT)], ends
-    return [(low, CAP if core[:1].isupper() and core[1:] == core[1:].lower() else WORD)], ends
+    return [(low, CAP if capitalised(core) else WORD)], ends
 
 
 class Tokens:
@@ -107,9 +122,11 @@ class Tokens:
         code, uniques = pd.factorize(flat)
         strings: dict[str, int] = {}
         t1 = np.zeros(len(uniques), np.int64)
-        t2, k1, n, ends = t1.copy(), t1.copy(), t1.copy(), np.zeros(len(uniques), bool)
+        t2, k1, n, ends, cap = t1.copy(), t1.copy(), t1.copy(), np.zeros(len(uniques), bool), np.zeros(len(uniques), bool)
         for i, w in enumerate(uniques):
-            found, ends[i] = analyse(w.decode("utf-8", "replace"))
+            text = w.decode("utf-8", "replace")
+            found, ends[i] = analyse(text)
+            cap[i] = capitalised(OUTER.sub("", text))
             n[i] = len(found)
             if found:
                 t1[i], k1[i] = strings.setdefault(found[0][0], len(strings)), found[0][1]
@@ -123,48 +140,105 @@ class Tokens:
         c = code[at]
         self.string = np.where(second, t2[c], t1[c])
         kind = np.where(second, UNIT, k1[c])
-        self.kind = np.where((kind == CAP) & opens[at], WORD, kind)
         self.doc = np.repeat(np.arange(len(block)), sizes)[at]
+        # a unit follows a number; elsewhere the word is a word ("a", "in") or a name
+        after = np.append([False], (kind[:-1] == NUM) & (self.doc[1:] == self.doc[:-1]))[: len(at)]
+        kind = np.where((kind == UNIT) & ~after, np.where(cap[c], CAP, WORD), kind)
+        self.kind = np.where((kind == CAP) & opens[at], WORD, kind)
+        self.maybe = np.zeros(len(at), bool)  # tokens that may be names
         self.strings = list(strings)
         hashes = np.array([xxhash.xxh64_intdigest(s) for s in strings], np.uint64)
         self.plain = hashes[self.string] if len(strings) else np.empty(0, np.uint64)
+        self.maybes = np.append([0], np.cumsum(self.maybe))
         types = np.array([0] + [xxhash.xxh64_intdigest(PLACEHOLDER[k]) for k in (NUM, UNIT, CAP)], np.uint64)
-        self.typed = np.where(self.kind > 0, types[self.kind], self.plain)
-
-    def windows(self, width: int):
-        """(start, hash, whether it is a template) of all windows."""
+        # prefix sums of token * FACTOR ** -place: the hash of any window is a difference
+        powers = lambda x: np.cumprod(np.append(np.ones(1, np.uint64), np.full(len(at), x, np.uint64)))
+        self.power, inverse = powers(FACTOR), powers(pow(FACTOR, -1, 1 << 64))[:-1]
+        sums = lambda x: np.append(np.zeros(1, np.uint64), np.cumsum(x * inverse, dtype=np.uint64))
+        self.sums = [sums(self.plain), sums(np.where((self.kind > 0) & ~self.maybe, types[self.kind], self.plain))]
+
+    def windows(self, width: int, base: int, wide: bool, whole: bool):
+        """(start, hash, whether it is a template, names) of the windows of ``width``
+        tokens: plain words up to the width ``base``, and templates. A template of that
+        width holds at least as many words as placeholders. ``wide``: a wider one holds as
+        many words, and its first half does not. ``whole``: the width is that of a short
+        item, or of one with more placeholders than words; one word is enough. The bit r
+        of names is set if the r-th token that may be a name is taken as one."""
         n = len(self.doc) - width + 1
         if n <= 0:
             return
         inside = self.doc[:n] == self.doc[width - 1:]
-        slots = np.append([0], np.cumsum(self.kind > 0))
-        slots = slots[width:] - slots[:-width]
-        for typed, token, ok in ((False, self.plain, inside), (True, self.typed, inside & (slots > 0) & (2 * slots <= width))):
-            h = np.zeros(n, np.uint64)
-            for k in range(width):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + token[k:k + n]
-            h ^= h >> np.uint64(29)
-            at = np.flatnonzero(ok)
-            yield at, h[at] * np.uint64(0xBF58476D1CE4E5B9), typed
-
-    def row(self, start: int, width: int, typed: bool) -> tuple[str, list[str]]:
-        """The window's canonical text, and its fillings with their types."""
-        words, slots = [], []
-        for s, k in zip(self.string[start:start + width].tolist(), self.kind[start:start + width].tolist()):
-            if typed and k:
+        total = lambda sums, at: (sums[at + width] - sums[at]) * self.power[at + width - 1]
+        final = lambda h: (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        if width <= base:
+            at = np.flatnonzero(inside)
+            yield at, final(total(self.sums[0], at)), False, np.zeros(len(at), np.int64)
+        sure = np.append([0], np.cumsum((self.kind > 0) & ~self.maybe))
+        half = width // 2
+        slots, names = (x[width:] - x[:-width] for x in (sure, self.maybes))
+        front, front_names = ((x[half:] - x[:len(x) - half])[:n] for x in (sure, self.maybes))
+        ok = np.zeros(n, bool)
+        if width == base:
+            ok |= 2 * slots <= width
+        if wide:
+            ok |= (2 * (width - slots) >= base) & (2 * (half - front - front_names) < base)
+        if whole:
+            ok |= (slots < width) & ((width < base) | (2 * (slots + names) > width))
+        at = np.flatnonzero(ok & inside & (slots + names > 0))
+        made = np.cumsum(1 << np.minimum(names[at], MAYBE)) // TEMPLATES
+        for part in np.split(at, np.flatnonzero(np.diff(made)) + 1):
+            yield self._templates(part, total(self.sums[1], part), slots[part], front[part], width, base, wide, whole, final)
+
+    def _templates(self, at, h, slots, front, width, base, wide, whole, final):
+        names = np.zeros(len(at), np.int64)
+        as_name = np.uint64(xxhash.xxh64_intdigest(PLACEHOLDER[CAP]))
+        for k in range(width):
+            here = np.flatnonzero(self.maybe[at + k])
+            if not len(here):
+                continue
+            place = at[here] + k
+            rank = self.maybes[place] - self.maybes[at[here]]
+            new = (at[here], h[here] + (as_name - self.plain[place]) * self.power[width - 1 - k], slots[here] + 1, front[here] + (k < width // 2),
+                   names[here] | np.where(rank < MAYBE, 1 << np.minimum(rank, MAYBE), 0))
+            stay = np.ones(len(at), bool)
+            stay[here[rank >= MAYBE]] = False
+            at, h, slots, front, names = (np.append(x[stay], y) for x, y in zip((at, h, slots, front, names), new))
+        ok = np.zeros(len(at), bool)
+        if width == base:
+            ok |= 2 * slots <= width
+        if wide:
+            ok |= (2 * (width - slots) >= base) & (2 * (width // 2 - front) < base)
+        if whole:
+            ok |= (slots < width) & ((width < base) | (2 * slots > width))
+        ok &= slots > 0
+        return at[ok], final(h[ok]), True, names[ok]
+
+    def row(self, start: int, width: int, typed: bool, names: int) -> tuple[str, list[str], bool]:
+        """The window's canonical text, its fillings with their types, and whether a
+        token that may be a name is taken as one."""
+        words, slots, rank, guess = [], [], 0, False
+        part = slice(start, start + width)
+        for s, k, maybe in zip(self.string[part].tolist(), self.kind[part].tolist(), self.maybe[part].tolist()):
+            name = typed and maybe and (rank >= MAYBE or bool(names >> rank & 1))
+            rank += maybe
+            guess |= name
+            if name or (typed and k and not maybe):
                 slots.append(PLACEHOLDER[k] + self.strings[s])
                 words.append(PLACEHOLDER[k])
             else:
                 words.append(self.strings[s])
-        return " ".join(words), slots
+        return " ".join(words), slots, guess
 
 
-HIT_SCHEMA = "id long, row_key long, pos int, n_tokens int, hash long, typed boolean, width int, window string, slots array<string>"
+HIT_SCHEMA = "id long, row_key long, pos int, n_tokens int, hash long, typed boolean, width int, window string, slots array<string>, guess boolean, rule int"
 
 
-def windows(table: DataFrame, id_col: str, widths: list[int] | None, width: int, min_tokens: int, bitmap=None) -> DataFrame:
-    """Windows of all texts. ``widths``: lengths to cut (None: for items, ``width`` or
-    the whole of a shorter item). ``bitmap``: broadcast filter on the hashes."""
+BASE, WIDE, WHOLE = 0, 1, 2
+
+
+def windows(table: DataFrame, id_col: str, rules: dict[int, set[int]] | None, width: int, min_tokens: int, bitmap=None) -> DataFrame:
+    """Windows of all texts. ``rules``: the lengths to cut and the rules they are cut by
+    (None: for items, all rules). ``bitmap``: broadcast filter on the hashes."""
     def run(batches):
         for batch in batches:
             ids, keys, held, size = [], [], [], 0
@@ -182,21 +256,26 @@ def windows(table: DataFrame, id_col: str, widths: list[int] | None, width: int,
         begin = np.searchsorted(tokens.doc, np.arange(len(held)))
         total = np.bincount(tokens.doc, minlength=len(held))
         cols = [[] for _ in HIT_SCHEMA.split(", ")]
-        for w in widths if widths is not None else range(min(min_tokens, width), width + 1):
-            for at, h, typed in tokens.windows(w):
-                if widths is None:  # an item shorter than the width is one window
-                    here = (total[tokens.doc[at]] == w) if w < width else (total[tokens.doc[at]] >= w)
-                    at, h = at[here], h[here]
+        if rules is not None:
+            cuts = [(w, WIDE in r, WHOLE in r, BASE) for w, r in sorted(rules.items())]
+        else:
+            cuts = [(width, False, False, BASE), (2 * width, True, False, WIDE), (4 * width, True, False, WIDE)]
+            cuts += [(w, False, True, WHOLE) for w in np.unique(total).tolist() if w >= min(min_tokens, width)]
+        for w, wide, whole, rule in cuts:
+            for at, h, typed, names in tokens.windows(w, width, wide, whole):
+                if rule == WHOLE:
+                    here = total[tokens.doc[at]] == w
+                    at, h, names = at[here], h[here], names[here]
                 if bitmap is not None:
                     slot = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                     here = (bitmap.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                    at, h = at[here], h[here]
-                for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
+                    at, h, names = at[here], h[here], names[here]
+                for p, x, chosen in zip(at.tolist(), h.view(np.int64).tolist(), names.tolist()):
                     d = int(tokens.doc[p])
-                    text, slots = tokens.row(p, w, typed)
-                    for c, v in zip(cols, (ids[d], keys[d], p - int(begin[d]), int(total[d]), x, typed, w, text, slots)):
+                    text, slots, guess = tokens.row(p, w, typed, chosen)
+                    for c, v in zip(cols, (ids[d], keys[d], p - int(begin[d]), int(total[d]), x, typed, w, text, slots, guess, rule)):
                         c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.string())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in HIT_SCHEMA.split(", ")])
 
     return table.select(F.col(id_col).cast("long").alias("id"), row_key(id_col).alias("row_key"), "text").mapInArrow(run, HIT_SCHEMA)
@@ -212,31 +291,43 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
     last matched token, and whether template windows were needed (reparameterised)."""
     spark = docs.sparkSession
     asked = stage(windows(items, "item_id", None, width, min_tokens).distinct().withColumnsRenamed(
-        {"id": "item_id", "row_key": "item_key", "pos": "item_pos", "n_tokens": "item_tokens", "slots": "item_slots"}), "item_windows")
+        {"id": "item_id", "row_key": "item_key", "pos": "item_pos", "n_tokens": "item_tokens", "slots": "item_slots", "guess": "item_guess"}), "item_windows")
     slot = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     bit = F.call_function("shiftleft", F.lit(1), F.pmod(slot, F.lit(8)).cast("int"))
     for r in asked.groupBy(F.shiftright(slot, 3).alias("i")).agg(F.bit_or(bit).alias("v")).toLocalIterator():
         bitmap[r.i] = r.v  # at most 2 ** (BITMAP_BITS - 3) rows
-    widths = sorted(r.width for r in asked.select("width").distinct().collect())  # at most ``width`` rows
-    seen = windows(docs, "doc_id", widths, width, min_tokens, spark.sparkContext.broadcast(bitmap))
-    hits = (seen.distinct().join(asked, ["hash", "typed", "width", "window"])
+    rules: dict[int, set[int]] = {}
+    for r in asked.select("width", "rule").distinct().collect():  # at most the lengths of items
+        rules.setdefault(r.width, set()).add(r.rule)
+    seen = windows(docs, "doc_id", rules, width, min_tokens, spark.sparkContext.broadcast(bitmap)).drop("rule")
+    hits = (seen.distinct().join(asked.drop("rule").distinct(), ["hash", "typed", "width", "window"])
             .select(F.col("id").alias("doc_id"), "row_key", "item_id", "item_key", "item_tokens", "pos", "item_pos", "width", "typed",
+                    (F.col("item_guess") | F.col("guess")).alias("guess"),
                     (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.arrays_zip("item_slots", "slots").alias("pairs")))
     key = ["doc_id", "row_key", "item_id", "item_key"]
+    window, guess = F.struct("item_pos", "width"), F.col("guess")
     lines = hits.groupBy(*key, "diagonal").agg(
-        F.max("item_tokens").alias("item_tokens"), F.max("width").alias("width"),
-        F.collect_set(F.when(~F.col("typed"), F.col("item_pos"))).alias("plain"),
-        F.collect_set(F.when(F.col("typed"), F.col("item_pos"))).alias("templates"),
+        F.max("item_tokens").alias("item_tokens"),
+        F.collect_set(F.when(~F.col("typed"), window)).alias("plain"),
+        F.collect_set(F.when(F.col("typed") & ~guess, window)).alias("templates"),
+        F.collect_set(F.when(guess, window)).alias("guesses"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(~guess, F.col("pairs"))))).alias("sure_pairs"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     by = lambda c, side: F.size(F.array_distinct(F.transform(c, lambda p: p[side])))
-    names = F.filter("pairs", lambda p: p["item_slots"].startswith("<name>"))
-    same = (F.size("pairs") == by(F.col("pairs"), "item_slots")) & (F.size(names) == by(names, "slots"))
-    at = F.when(same, F.array_union("plain", "templates")).otherwise(F.col("plain"))
+
+    def consistent(pairs):
+        names = F.filter(pairs, lambda p: p["item_slots"].startswith("<name>"))
+        return (F.size(pairs) == by(F.col(pairs), "item_slots")) & (F.size(names) == by(names, "slots"))
+
+    none = F.array_except("plain", "plain")
+    at = F.array_union(F.array_union("plain", F.when(consistent("sure_pairs"), F.col("templates")).otherwise(none)),
+                       F.when(consistent("pairs"), F.col("guesses")).otherwise(none))
     lines = lines.withColumn("at", at).where(F.size("at") > 0)
-    tokens = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("width") - 1))))
-    lines = lines.select(*key, "item_tokens", "diagonal", tokens.alias("tokens"),
-                         (F.size(F.array_except("at", "plain")) > 0).alias("by_template"))
+    tokens = lambda c: F.array_distinct(F.flatten(F.transform(
+        c, lambda p: F.sequence(p["item_pos"], p["item_pos"] + p["width"] - 1))))
+    lines = lines.select(*key, "item_tokens", "diagonal", tokens("at").alias("tokens"),
+                         (F.size(F.array_except(tokens("at"), tokens("plain"))) > 0).alias("by_template"))
     out = lines.groupBy(*key).agg(
         F.max("item_tokens").alias("item_tokens"), F.size(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("matched_tokens"),
         F.min(F.array_min("tokens") + F.col("diagonal")).alias("first_token"),

@@ -57,3 +57,24 @@ def test_tokens_have_types():
     assert D.analyse("(Boston).") == ([("boston", D.CAP)], True)
     assert D.analyse("&&&") == ([], False)
     assert D.analyse("1,250.") == ([("1,250", D.NUM)], True)
+
+
+def test_items_dense_in_numbers(spark):
+    car = "A car in a city drives 60 km in 2 hours"
+    units = "Convert 5 km 20 m 30 cm to mm"
+    table = ("Anna paid 3 4 5 6 7 8 and 9 10 11 12 for 13 14 15 16 items")
+    sums = "Compute 12 + 7 + 9 + 4 + 6"
+    only = "12 7 9 4 6"
+    got = found(spark, ["see here: " + car.replace("60", "75").replace("2", "3"), "so compute 31 + 5 + 8 + 2 + 40 now",
+                        "x y convert 6 miles 21 yards 31 ft to mm", "then Bea paid 13 14 15 16 17 18 and 19 110 111 112 for 113 114 115 116 items",
+                        "add 31 + 5 + 8 + 2 + 40 now", "the list 12 7 9 4 6 and 1 2 3 4 5", "the list 1 2 3 4 5", "so compute 31 + 31 + 8 + 2 + 40 now"],
+                [(1, car), (2, sums), (3, units), (4, table), (5, only), (6, "Compute 7 + 7 + 9 + 4 + 6")])
+    # the item with 7 twice is in the text with 31 twice only; the other's fillings may coincide
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (3, 4), (5, 5), (7, 2), (7, 6)}
+    assert got[0, 1].reparameterised and not got[5, 5].reparameterised
+
+
+def test_units_follow_numbers():
+    kinds = lambda t: D.Tokens([t.encode()]).kind.tolist()
+    assert kinds("drove in a city 60 km in 2 hours") == [D.WORD] * 4 + [D.NUM, D.UNIT, D.WORD, D.NUM, D.UNIT]
+    assert kinds("the second foot of a cup") == [D.WORD] * 6
