@@ -1,8 +1,9 @@
 """Benchmark decontamination by canonical templates.
 
 Tokens are words without outer punctuation, lower-cased. Numbers, units (directly after
-a number) and names (capitalised inside a sentence) become the typed placeholders <num>, <unit> and
-<name>; the value replaced is the slot's filling. Two windows start
+a number) and names (capitalised words) become the typed placeholders <num>, <unit> and
+<name>; the value replaced is the slot's filling. A capitalised word that opens a
+sentence or line may be a name or not: templates are made both ways. Two windows start
 at each token: the plain words, and, where it holds a placeholder and at least half its
 tokens are words, the template. Where placeholders are denser, the template is twice or
 four times as wide, with as many words; and an item with more placeholders than words
@@ -143,9 +144,8 @@ class Tokens:
         self.doc = np.repeat(np.arange(len(block)), sizes)[at]
         # a unit follows a number; elsewhere the word is a word ("a", "in") or a name
         after = np.append([False], (kind[:-1] == NUM) & (self.doc[1:] == self.doc[:-1]))[: len(at)]
-        kind = np.where((kind == UNIT) & ~after, np.where(cap[c], CAP, WORD), kind)
-        self.kind = np.where((kind == CAP) & opens[at], WORD, kind)
-        self.maybe = np.zeros(len(at), bool)  # tokens that may be names
+        self.kind = np.where((kind == UNIT) & ~after, np.where(cap[c], CAP, WORD), kind)
+        self.maybe = (self.kind == CAP) & opens[at]  # a name or the first word of a sentence
         self.strings = list(strings)
         hashes = np.array([xxhash.xxh64_intdigest(s) for s in strings], np.uint64)
         self.plain = hashes[self.string] if len(strings) else np.empty(0, np.uint64)

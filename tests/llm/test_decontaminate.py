@@ -78,3 +78,19 @@ def test_units_follow_numbers():
     kinds = lambda t: D.Tokens([t.encode()]).kind.tolist()
     assert kinds("drove in a city 60 km in 2 hours") == [D.WORD] * 4 + [D.NUM, D.UNIT, D.WORD, D.NUM, D.UNIT]
     assert kinds("the second foot of a cup") == [D.WORD] * 6
+
+
+def test_names_that_open_sentences(spark):
+    eat = "Maria has 12 apples. Tom has 7 pears. Anna ate 3 of them."
+    short = "Maria bought 3 red apples"
+    lower = "The dog of Maria ran. Every day she fed it with 3 bones and some milk."
+    got = found(spark, [eat.replace("Maria", "Olga").replace("Tom", "Max").replace("Anna", "Ruth"), "and then Olga bought 5 red apples",
+                        "we saw that the dog of Olga ran. Every day she fed it with 5 bones and some milk.", "Olga bought 5 red\npears"], [(1, eat), (2, short), (3, lower)])
+    assert set(got) == {(0, 1), (1, 2), (2, 3)}
+    assert all(r.reparameterised and r.coverage > 0.9 for r in got.values())
+
+
+def test_possible_names_do_not_speak_against_the_rest(spark):
+    item = "The train goes 60 km in 2 hours to town. The driver then waits 5 minutes at the gate."
+    got = found(spark, [item.replace("60", "75").replace("The driver", "Each driver"), "\n".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 30], [(1, item)])
+    assert set(got) == {(0, 1)}
