@@ -36,6 +36,8 @@ HASH_BITS = 17
 BLOCK_WORDS = 1_000_000
 #: Frequency given to letter triples a language never had.
 FLOOR = 1e-6
+#: Share of a language's letters whose contexts count as known.
+KNOWN = 0.8
 
 # Code point ranges of scripts (first, last).
 SCRIPTS = {
@@ -130,9 +132,23 @@ def blocks(batches, *columns):
             yield held, [r[first:] for r in rest]
 
 
+def known_contexts(n: np.ndarray) -> np.ndarray:
+    """Weight of each bucket of a language: 0, or for the most frequent ones that hold
+    KNOWN of its letters (and are above the mean of all buckets) one over the share they
+    hold, so that a text like the corpus has weight 1 a letter. These shares converge as
+    the corpus grows; whether a bucket was ever seen does not."""
+    total = n.sum()
+    if not total:
+        return np.zeros(len(n))
+    down = np.sort(n)[::-1]
+    cut = down[np.searchsorted(np.cumsum(down), KNOWN * total)]
+    known = (n >= cut) & (n > total / len(n))
+    return known / max(n[known].sum() / total, KNOWN / 2)
+
+
 class Model:
     """langs; per language and bucket the log probability; which languages were seen
-    in which script; which (bucket, language) were seen."""
+    in which script; the weight of each (bucket, language) in the score."""
 
     def __init__(self, counts: pd.DataFrame, min_script_share: float):
         self.langs = sorted(set(counts.lang))
@@ -144,12 +160,14 @@ class Model:
         triple = bucket >= 0
         table[bucket[triple], lang[triple]] = n[triple]
         scripts[-1 - bucket[~triple], lang[~triple]] = n[~triple]
-        self.seen = table > 0
+        self.known = np.zeros((1 << HASH_BITS, len(self.langs)), np.float32)
+        for j in range(len(self.langs)):
+            self.known[:, j] = known_contexts(table[:, j])
         self.logp = np.log(table / np.maximum(table.sum(0), 1) + FLOOR).astype(np.float32)
         self.candidate = scripts >= min_script_share * np.maximum(scripts.sum(0), 1)
 
     def score(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """For each form and language the log score and the share of seen letters."""
+        """For each form and language the log score and the letters in known contexts, weighted."""
         k = len(self.langs)
         score, known = np.zeros((w.n_forms, k), np.float32), np.zeros((w.n_forms, k), np.float32)
         scripts = np.zeros((w.n_forms, len(SCRIPTS) + 2), np.int32)
@@ -159,7 +177,7 @@ class Model:
         open_ = ok.any(1)
         for j in range(k):
             score[:, j] = np.bincount(w.form, self.logp[w.bucket, j], w.n_forms)
-            known[:, j] = np.bincount(w.form, self.seen[w.bucket, j], w.n_forms)
+            known[:, j] = np.bincount(w.form, self.known[w.bucket, j], w.n_forms)
         score[~ok & open_[:, None]] = -1e6
         score[~open_] = 0
         return score, known
@@ -227,8 +245,8 @@ SPANS = "array<struct<lang:string,first_word:int,end_word:int,letters:long>>"
 
 def language_spans(docs: DataFrame, model: Model, penalty: float = 12.0, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with ``spans``, ``lang_pred``
-    and ``score``: the share of the text's letters that lie in lang_pred's spans and
-    have a context seen in that language."""
+    and ``score``: the share of the text's letters that lie in lang_pred's spans and have
+    a context frequent in that language, over the share such contexts have in its corpus."""
     columns = [c for c in keep if c != "text"] if keep is not None else [c for c in docs.columns if c != "text"]
     with_text = keep is None or "text" in keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -267,7 +285,7 @@ def predict(m: Model, held: list[bytes], penalty: float):
     spans: list = [[] for _ in range(n)]
     for d, x, a, b, s in zip(w.doc[first].tolist(), lang[first].tolist(), w.place[first].tolist(), w.place[end].tolist(), size.tolist()):
         spans[d].append({"lang": m.langs[x], "first_word": a, "end_word": b + 1, "letters": s})
-    return [(spans[d], m.langs[best[d]], float(seen[d, best[d]] / total[d])) if total[d] else ([], "und", 0.0) for d in range(n)]
+    return [(spans[d], m.langs[best[d]], min(1.0, float(seen[d, best[d]] / total[d]))) if total[d] else ([], "und", 0.0) for d in range(n)]
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from helpers import EDGE, edge_frame, empty, plain
 from pyspark.sql import functions as F
 
@@ -59,3 +60,22 @@ def test_edge_cases(spark):
     assert L.identify(empty(spark).drop("score")).count() == 0
     none = L.identify(df.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").distinct().collect()
     assert [r[0] for r in none] == ["und"]
+
+
+def test_junk_is_rejected_at_any_corpus_size(spark):
+    """The same junk under a model of few texts and one of a corpus 10,000 times as large
+    in which noise has put something in every bucket."""
+    held = [r.text.encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").orderBy("doc_id").collect()]
+    w = L.Words(held[:100])
+    n = np.bincount(w.bucket, np.bincount(w.code, minlength=w.n_forms)[w.form], 1 << L.HASH_BITS)
+    script = pd.DataFrame({"lang": "en", "bucket": [-1 - 1], "n": [int(n.sum())]})
+
+    def model(n):
+        return L.Model(pd.concat([pd.DataFrame({"lang": "en", "bucket": np.flatnonzero(n), "n": n[n > 0]}), script]), 0.01)
+
+    rng = np.random.default_rng(1)
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(300)).encode()]
+    small, large = model(n), model(10_000 * n + rng.poisson(0.02 * 10_000 * n.sum() / len(n), len(n)))
+    scores = [[x for _, _, x in L.predict(m, junk + held[100:104], 12.0)] for m in (small, large)]
+    assert all(s[0] < 0.3 and min(s[1:]) > 0.8 for s in scores), scores
+    assert abs(scores[0][0] - scores[1][0]) < 0.02
