@@ -16,7 +16,7 @@ The compacted trie has a row (rep, name, ext) per node: its prefixes are the fir
 * Insert: where conversations leave the edge of their exit node, the edge is cut at
   the common prefix. Below it, new nodes are the prefixes, among the batch's own
   tails, that end a conversation or have two children.
-* Batches are fixed shares of the distinct conversations (a 16th, 3, 12). Identical
+* Batches are fixed shares of the distinct conversations (an 8th, the rest). Identical
   conversations are one string from the start, so a hot one is one row.
 * Expand: each edge becomes a row per depth. Counts of a subtree are sums over the
   ancestor table, whose rows are at most twice the turns.
@@ -45,8 +45,10 @@ from pyspark.sql import functions as F
 
 from giftrisk.llm.common import drop_stage, query, stage
 
-#: Conversations of the last batches, in 16ths: the first inserts one of 16.
-BATCHES = [(0, 1), (1, 4), (4, 16)]
+#: Batches, in 16ths of the conversations.
+BATCHES = [(0, 2), (2, 16)]
+#: Rounds of the search in one job.
+ROUNDS = 3
 #: Characters of joined ids in a chunk.
 CHUNK = 8192
 HASHES = ("hi", "lo")
@@ -155,50 +157,52 @@ class Trie:
         return rows.join(side, (F.col(x) == F.col("_x")) & (F.col(d) == F.col("_d")), "left").drop("_x", "_d")
 
     def dressed(self, nodes: DataFrame) -> DataFrame:
-        """(rep, name, ext) with the hashes at name, extent and handle."""
+        """(rep, name, ext) with the hashes at name, handle and extent, from one join."""
         handle = F.when(F.col("name") == 0, F.lit(0).cast("long")).otherwise(fattest(F.col("name") - 1, F.col("ext")))
         nodes = nodes.withColumn("f", handle)
-        nodes = self.at(nodes, "rep", "name", nhi="hi", nlo="lo", own="bytes", upto="upto")
-        nodes = nodes.withColumn("base", F.col("upto") - F.col("own")).drop("own", "upto")
-        nodes = self.at(nodes, "rep", "f", fhi="hi", flo="lo")
-        nodes = self.at(nodes, "rep", "ext", ehi="hi", elo="lo", upto="upto")
-        return nodes
+        rows = self.at(nodes.withColumn("depth", F.explode(F.array_distinct(F.array("name", "f", "ext")))), "rep", "depth", hi="hi", lo="lo", own="bytes", upto="upto")
+        pick = lambda d, c, as_: F.max(F.when(F.col("depth") == F.col(d), c)).alias(as_)
+        return rows.groupBy("rep", "name", "ext", "f").agg(
+            pick("name", F.col("hi"), "nhi"), pick("name", F.col("lo"), "nlo"), pick("name", F.col("upto") - F.col("own"), "base"),
+            pick("f", F.col("hi"), "fhi"), pick("f", F.col("lo"), "flo"),
+            pick("ext", F.col("hi"), "ehi"), pick("ext", F.col("lo"), "elo"), pick("ext", F.col("upto"), "upto"))
 
     def locate(self, batch: DataFrame) -> DataFrame:
         """(x, n, rep, name, ext, p): the exit node of each conversation and the
         length of its longest prefix in the trie."""
-        root = self.nodes.where("name = 0").select("rep", "name", "ext").first()
-        start = {c: F.lit(root[c]).cast("long") for c in ("rep", "name", "ext")}
-        now = stage(batch.withColumns(start).withColumn("a", F.col("ext")).withColumn("b", F.col("n")), "trie_search")
-        handles = self.nodes.select(F.col("f").alias("hf"), "fhi", "flo", *[F.col(c).alias(f"h_{c}") for c in ("rep", "name", "ext")])
-        for _ in range(int(self.longest).bit_length() + 1):
+        held = ["rep", "name", "ext", "ehi", "elo"]
+        root = self.nodes.where("name = 0").select(*held).first()
+        now = batch.withColumns({c: F.lit(root[c]).cast("long") for c in held}).withColumn("a", F.col("ext")).withColumn("b", F.col("n"))
+        handles = self.nodes.select(F.col("f").alias("hf"), "fhi", "flo", *[F.col(c).alias(f"h_{c}") for c in held])
+        written = None
+        for k in range(int(self.longest).bit_length() + 1):  # each round halves what is left of (a, b]
             ask = now.withColumn("f", F.when(F.col("a") < F.col("b"), fattest(F.col("a"), F.col("b"))))
             ask = self.at(ask, "x", "f", qhi="hi", qlo="lo")
             hit = ask.join(handles, (F.col("f") == F.col("hf")) & (F.col("qhi") == F.col("fhi")) & (F.col("qlo") == F.col("flo")), "left")
             found, tried = F.col("hf").isNotNull(), F.col("f").isNotNull()
             # a found edge need not be passed to its end: below it nothing is found then
-            new = hit.select("x", "n", *[F.when(found, F.col(f"h_{c}")).otherwise(F.col(c)).alias(c) for c in ("rep", "name", "ext")],
+            now = hit.select("x", "n", *[F.when(found, F.col(f"h_{c}")).otherwise(F.col(c)).alias(c) for c in held],
                              F.when(found, F.col("h_ext")).otherwise(F.col("a")).alias("a"),
                              F.when(tried & ~found, F.col("f") - 1).otherwise(F.col("b")).alias("b"))
-            new = stage(new, "trie_search")
-            drop_stage(now)
-            now = new
-            if not now.where("a < b").head(1):
-                break
+            if (k + 1) % ROUNDS == 0:
+                new = stage(now, "trie_search")
+                if written is not None:
+                    drop_stage(written)
+                now = written = new
         # the exit lies in the node found, or in the child that the next turn names
         now = self.at(now.drop("a", "b"), "x", "ext", xhi="hi", xlo="lo")
-        now = self.at(now, "rep", "ext", ehi="hi", elo="lo")
-        now = now.withColumn("full", F.coalesce((F.col("xhi") == F.col("ehi")) & (F.col("xlo") == F.col("elo")), F.lit(False))).drop("xhi", "xlo", "ehi", "elo")
+        now = now.withColumn("full", F.coalesce((F.col("xhi") == F.col("ehi")) & (F.col("xlo") == F.col("elo")), F.lit(False))).drop("xhi", "xlo")
         now = self.at(now.withColumn("next", F.when(F.col("full"), F.col("ext") + 1)), "x", "next", qhi="hi", qlo="lo")
         names = self.nodes.select(F.col("name").alias("hn"), "nhi", "nlo", *[F.col(c).alias(f"h_{c}") for c in ("rep", "name", "ext")])
         now = now.join(names, (F.col("next") == F.col("hn")) & (F.col("qhi") == F.col("nhi")) & (F.col("qlo") == F.col("nlo")), "left")
         found = F.col("hn").isNotNull()
-        now = stage(now.select("x", "n", *[F.when(found, F.col(f"h_{c}")).otherwise(F.col(c)).alias(c) for c in ("rep", "name", "ext")],
-                               (F.col("full") & ~found).alias("full")), "trie_exits")
-        edge = now.where("not full").join(self.paths.select("x", "d", "hi", "lo"), "x").where("d between name and least(ext, n)")
-        mate = self.paths.select(F.col("x").alias("rep"), "d", F.col("hi").alias("rhi"), F.col("lo").alias("rlo"))
-        common = edge.join(mate, ["rep", "d"]).where("hi = rhi and lo = rlo").groupBy("x").agg(F.max("d").alias("p"))
-        return now.join(common, "x", "left").withColumn("p", F.when(F.col("full"), F.col("ext")).otherwise(F.col("p"))).drop("full")
+        now = now.select("x", "n", *[F.when(found, F.col(f"h_{c}")).otherwise(F.col(c)).alias(c) for c in ("rep", "name", "ext")],
+                         (F.col("full") & ~found).alias("full"))
+        # compare along the edge; a conversation has no more rows here than turns
+        edge = now.withColumn("depth", F.explode(F.when(F.col("full"), F.array("ext")).otherwise(F.sequence("name", F.least("ext", "n")))))
+        edge = self.at(self.at(edge, "x", "depth", hi="hi", lo="lo"), "rep", "depth", rhi="hi", rlo="lo")
+        same = (F.col("hi") == F.col("rhi")) & (F.col("lo") == F.col("rlo"))
+        return edge.groupBy("x", "n", "rep", "name", "ext").agg(F.max(F.when(same, F.col("depth"))).alias("p"))
 
     def insert(self, batch: DataFrame) -> None:
         """Insert the conversations ``batch(x, n)`` together."""
@@ -294,13 +298,13 @@ def member_hashes(members: DataFrame) -> DataFrame:
 def prefix_trie(rows: DataFrame, convs: DataFrame) -> DataFrame:
     """The nodes of the trie of ``rows(conv_id, i, token, bytes)``; ``convs(conv_id)``
     holds every conversation, also those without turns."""
-    rows = stage(rows.select("conv_id", "i", "bytes", *place_hash(F.col("token"), F.col("i"))), "trie_rows")
+    rows = rows.select("conv_id", "i", "bytes", *place_hash(F.col("token"), F.col("i")))
+    rows = running(rows, "conv_id", ["i"], ["bytes"], ["own_hi", "own_lo"], [], "trie_running")
     whole = rows.groupBy("conv_id").agg(F.count("*").alias("n"), *[F.bit_xor(f"own_{c}").alias(c) for c in HASHES])
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     members = stage(convs.join(whole, "conv_id", "left").select("conv_id", *[zero(c) for c in ("n", *HASHES)]), "trie_members")
     ends = stage(members.groupBy("n", *HASHES).agg(F.min("conv_id").alias("x"), F.count("*").alias("held")), "trie_ends")
-    mine = rows.join(ends.select(F.col("x").alias("conv_id")), "conv_id", "left_semi")
-    paths = running(mine, "conv_id", ["i"], ["bytes"], ["own_hi", "own_lo"], [], "trie_running").select(
+    paths = rows.join(ends.select(F.col("x").alias("conv_id")), "conv_id", "left_semi").select(
         F.col("conv_id").alias("x"), (F.col("i") + 1).alias("d"), F.col("own_hi_run").alias("hi"), F.col("own_lo_run").alias("lo"),
         "own_hi", "own_lo", "bytes", F.col("bytes_run").alias("upto"))
     none = [F.lit(0).cast("long").alias(c) for c in paths.columns[1:]]
