@@ -12,8 +12,8 @@ pieces inside. Equal strings have equal anchors, so all copies meet.
    so a hot passage leaves a row per batch, not per document.
 2. Anchors that occur once are gone. Of runs equal in all bytes, all but the first are
    removed whole. Anchors with different runs go on with their bytes.
-3. Runs are dealt by anchor. A task sorts the suffixes of small shards and takes their
-   transforms; then all shards of a block are merged: the interleave of their suffixes
+3. Runs are dealt by anchor. A task cuts them to the windows whose hash occurs twice
+   there, sorts the suffixes of small shards and takes their transforms; then all shards of a block are merged: the interleave of their suffixes
    starts as one shard after the other and is refined by one symbol a round, through
    the transforms alone. A boundary that first shows in round k is a common prefix of
    k - 1 bytes. After ``width`` rounds, neighbours without a boundary are intervals of
@@ -47,7 +47,7 @@ from giftrisk.llm.common import documents, query, stage, texts
 
 WIDTH, K = 100, 20
 #: Bytes of texts handled at once, of runs merged at once, and of runs in a shard.
-BATCH_BYTES, BLOCK_BYTES, SHARD_BYTES = 8 << 20, 1 << 20, 1 << 17
+BATCH_BYTES, BLOCK_BYTES, SHARD_BYTES = 8 << 20, 1 << 20, 1 << 16
 #: Different runs of an anchor that one task merges.
 GROUP = 20_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -97,8 +97,8 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, width: int = WIDTH):
         have += step
     anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     start = np.arange(n - width + 1)
-    doc = np.searchsorted(ends, start, side="right")
-    ok = np.flatnonzero(start + width <= ends[np.minimum(doc, len(ends) - 1)]) if len(ends) else none
+    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:len(start)]
+    ok = np.flatnonzero(start + width <= ends[doc])
     if not len(ok):
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     cut = np.flatnonzero((np.diff(anchor[ok]) != 0) | (np.diff(ok) != 1) | (np.diff(doc[ok]) != 0)) + 1
@@ -151,48 +151,77 @@ def merge(shards: list, depth: int):
     number of strings), all in the shard's order. Suffixes are numbered through."""
     offset = np.cumsum([0] + [len(b) for b, _, _ in shards])
     symbol = np.concatenate([b for b, _, _ in shards])
-    back = np.concatenate([lf + at for (_, lf, _), at in zip(shards, offset)])
-    marks = np.concatenate([np.arange(m) + at for (_, _, m), at in zip(shards, offset)])
+    # at most 256 symbols beside the end mark; one byte sorts in one pass
+    last = symbol == 0
+    symbol = np.maximum(symbol - 1, 0).astype(np.uint8)
+    back = np.concatenate([lf + at for (_, lf, _), at in zip(shards, offset)]).astype(np.int32)
+    marks = np.concatenate([np.arange(m) + at for (_, _, m), at in zip(shards, offset)]).astype(np.int32)
     n = len(symbol)
-    now = np.arange(n)  # one shard after the other
-    common = np.full(n, depth)
-    common[0] = 0
+    now = np.arange(n, dtype=np.int32)  # one shard after the other
+    common = np.full(n + 1, depth, np.int32)
+    common[[0, n]] = 0
     # round 1: by the first symbol; end marks are all different
-    body = np.flatnonzero(symbol[now] > 0)
-    order = body[np.argsort(symbol[now[body]].astype(np.uint16), kind="stable")]
-    head = symbol[now[order]]
-    now = np.concatenate([marks, back[now[order]]])
+    body = np.flatnonzero(~last).astype(np.int32)
+    order = body[np.argsort(symbol[body], kind="stable")]
+    head = symbol[order]
+    now = np.concatenate([marks, back[order]])
     common[:len(marks) + 1] = 0
-    common[len(marks) + 1:][head[1:] != head[:-1]] = 0
-    place = np.empty(n, np.int64)
-    place[now] = np.arange(n)
-    live = np.arange(n)
+    common[len(marks) + 1:n][head[1:] != head[:-1]] = 0
+    place = np.empty(n, np.int32)
+    place[now] = np.arange(n, dtype=np.int32)
+    live = np.arange(n, dtype=np.int32)
     for k in range(1, depth):
-        block = np.cumsum(common < depth)
-        source = live[symbol[now[live]] > 0]
-        s, b = symbol[now[source]], block[source]
-        order = np.argsort(s.astype(np.uint16), kind="stable")
-        move = now[source]
+        move = now[live]
+        body = ~last[move]
+        move, block = move[body], np.cumsum(common[live] < depth, dtype=np.int32)[body]
+        s = symbol[move]
+        order = np.argsort(s, kind="stable")
         to = np.sort(place[back[move]])
         moved = back[move[order]]
         now[to] = moved
         place[moved] = to
         # a boundary between two neighbours shows one round after that of their tails
-        s, b = s[order], b[order]
-        split = (to[1:] == to[:-1] + 1) & ((s[1:] != s[:-1]) | (b[1:] != b[:-1]))
+        s, block = s[order], block[order]
+        split = (to[1:] == to[:-1] + 1) & ((s[1:] != s[:-1]) | (block[1:] != block[:-1]))
         new = to[1:][split]
         new = new[common[new] == depth]
         # places whose block had company before this round are looked at once more
-        live = np.flatnonzero((common == depth) | np.append(common[1:] == depth, [False]))
+        live = live[(common[live] == depth) | (common[live + 1] == depth)]
         common[new] = k
-    return now, common
+        if not len(live):
+            break
+    return now, common[:n]
+
+
+def trimmed(rows: list[tuple], width: int) -> list[tuple]:
+    """``rows`` cut to the windows whose hash another window of the block shares; the
+    rest can't repeat. Equal bytes are left to the merge."""
+    data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    sizes = np.array([len(r[2]) for r in rows])
+    starts = np.cumsum(sizes) - sizes
+    which = np.repeat(np.arange(len(rows)), sizes - width + 1)
+    at = np.arange(len(which)) - np.repeat(np.cumsum(sizes - width + 1) - (sizes - width + 1), sizes - width + 1) + starts[which]
+    _, back, count = np.unique(Rolling(data, 0x100000001B3).of(at, at + width), return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(count[back] > 1)
+    if not len(kept):
+        return []
+    cut = np.flatnonzero((np.diff(kept) > 1) | (np.diff(which[kept]) > 0)) + 1
+    out = []
+    for a, b in zip(kept[np.append([0], cut)], kept[np.append(cut, len(kept)) - 1]):
+        number, start, part = rows[which[a]]
+        low, high = int(at[a] - starts[which[a]]), int(at[b] - starts[which[a]]) + width
+        out.append((number, start + low, part[low:high]))
+    return out
 
 
 def block_repeats(rows: list[tuple], width: int = WIDTH):
     """Windows of ``rows`` (document number, start, bytes) that repeat an earlier one:
     (document number, start). Documents are numbered in their order."""
+    rows = trimmed(rows, width)
+    if not rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     shards, held, size, place = [], [], 0, []
-    at, owner, begin = 0, [], []
+    owner, begin = [], []
 
     def close():
         nonlocal held, size
