@@ -22,7 +22,7 @@ from giftrisk.session import get_spark  # noqa: E402
 
 HEADLINE = ["triage_queue", "rule_lift", "model_comparison", "rate_by_category_sets", "donor_deviation",
             "ip_velocity_24h", "reversal_interval_join", "donor_running_history", "sanctions_fuzzy_hits",
-            "threshold_sweep", "rf_scores", "risk_table", "two_step_scoring", "stream_velocity"]
+            "threshold_sweep", "rf_scores", "risk_table", "two_step_scoring", "tree_shap", "stream_velocity"]
 
 
 def run(df) -> None:

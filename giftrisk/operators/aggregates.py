@@ -87,11 +87,10 @@ def categorical_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     smallest value)."""
     counts = (stack(df, columns, "column_name", "value").where(F.col("value").isNotNull())
               .groupBy("column_name", "value").agg(F.count("*").alias("freq")))
-    w = Window.partitionBy("column_name").orderBy(F.col("freq").desc(), F.col("value"))
-    whole = Window.partitionBy("column_name")
-    return (counts.select("column_name", "value", "freq", F.row_number().over(w).alias("_rn"),
-                          F.sum("freq").over(whole).alias("n"), F.count("*").over(whole).alias("n_unique"))
-            .where("_rn = 1").select("column_name", "n", "n_unique", F.col("value").alias("top"), "freq"))
+    # partial aggregates over the values: no task sees a whole column
+    top = F.min(F.struct((-F.col("freq")).alias("f"), "value"))
+    return (counts.groupBy("column_name").agg(F.sum("freq").alias("n"), F.count("*").alias("n_unique"), top.alias("t"))
+            .select("column_name", "n", "n_unique", F.col("t.value").alias("top"), (-F.col("t.f")).alias("freq")))
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -217,5 +216,9 @@ def rate_spread(df: DataFrame, dims: dict[str, str], label: str) -> DataFrame:
                  r6(F.stddev_pop("rate")).alias("sd_rate")))
 
 
-def as_column(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def top_amount_rate(df: DataFrame, amount: str, label: str, share: float = 0.01) -> DataFrame:
+    """The label's rate among the rows at or over the exact (1 - share) quantile
+    of the amount (all ties of the cut belong to them) beside the rate of all rows."""
+    cut = exact_quantiles(df, {"cut": (F.col(amount), 1 - share)})["cut"]
+    top = F.when(F.col(amount) >= F.lit(cut), F.col(label))
+    return df.agg(F.lit(cut).cast("double").alias("cut"), F.count(top).alias("n_top"), F.avg(top).alias("top_rate"), F.avg(label).alias("base_rate"))

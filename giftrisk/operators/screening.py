@@ -251,7 +251,7 @@ def _jaro_winkler(a: str, b: str, p: float = 0.1) -> float:
         return 0.0
     sa = [ch for ch, f in zip(a, ma) if f]
     sb = [ch for ch, f in zip(b, mb) if f]
-    t = sum(x != y for x, y in zip(sa, sb)) / 2
+    t = sum(x != y for x, y in zip(sa, sb)) // 2  # whole transpositions, as in Winkler's own code
     jaro = (m / la + m / lb + (m - t) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4]):

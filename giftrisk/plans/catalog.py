@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from giftrisk.plans import (q_core, q_extra, q_models, q_reports, q_screen, q_stream,  # noqa: F401
+from giftrisk.plans import (q_core, q_extra, q_model_reports, q_models, q_reports, q_screen, q_stream,  # noqa: F401
                             q_stream2, q_triage, q_windows)
 from giftrisk.plans.registry import ORACLE, QUERIES, bigint_counts
 

@@ -120,7 +120,8 @@ def mixed_profile(spark, sf_dir):
     f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null FROM riskq HAVING count(*) - count({c}) > 0"
     for c in ["Hour", "Amt_LTV_Ratio", "Donor_Segment", "Donation_Type", "Donation_Date"])))
 def null_counts(spark, sf_dir):
-    """Missing values per column, only columns with any."""
+    """Missing values per column, only columns with any (the donations have
+    none; ``null_counts_reviewed`` looks at columns that do)."""
     return AG.null_counts(lab(spark, sf_dir), ["Hour", "Amt_LTV_Ratio", "Donor_Segment", "Donation_Type",
                                                "Donation_Date"])
 
@@ -241,10 +242,28 @@ def bias_audit(spark, sf_dir):
     "SELECT 'country' AS dimension, " + q6("min(rate)") + " AS min_rate, " + q6("max(rate)") + " AS max_rate, "
     + q6("stddev_pop(rate)") + " AS sd_rate FROM (SELECT Donor_Country, avg(Is_Anomalous) AS rate FROM riskq GROUP BY 1) "
     "UNION ALL SELECT 'campaign', " + q6("min(rate)") + ", " + q6("max(rate)") + ", " + q6("stddev_pop(rate)")
-    + " FROM (SELECT Campaign_ID, avg(Is_Anomalous) AS rate FROM riskq GROUP BY 1)"))
+    + " FROM (SELECT Campaign_ID, avg(Is_Anomalous) AS rate FROM riskq GROUP BY 1) "
+    "UNION ALL SELECT 'top_1pct_amount', " + q6("min(rate)") + ", " + q6("max(rate)") + ", " + q6("stddev_pop(rate)")
+    + " FROM (SELECT unnest([avg(Is_Anomalous), avg(CASE WHEN Donation_Amount >= (SELECT quantile_cont(Donation_Amount, 0.99) FROM riskq) "
+    "THEN Is_Anomalous END)]) AS rate FROM riskq)"))
 def label_signal_diagnostics(spark, sf_dir):
-    """Spread of group anomaly rates (min / max / population sd)."""
-    return AG.rate_spread(lab(spark, sf_dir), {"country": "Donor_Country", "campaign": "Campaign_ID"}, Y)
+    """Spread of group anomaly rates (min / max / population sd); the last row is
+    the rate of all rows against that of the top 1 % of amounts."""
+    df = lab(spark, sf_dir)
+    two = AG.top_amount_rate(df, "Donation_Amount", Y)
+    low, high = F.least("base_rate", "top_rate"), F.greatest("base_rate", "top_rate")
+    return AG.rate_spread(df, {"country": "Donor_Country", "campaign": "Campaign_ID"}, Y).unionByName(two.select(
+        F.lit("top_1pct_amount").alias("dimension"), r6(low).alias("min_rate"), r6(high).alias("max_rate"), r6((high - low) / 2).alias("sd_rate")))
+
+
+@query("top_amount_rate", wr(
+    "SELECT " + q6("cut") + " AS cut, count_if(Donation_Amount >= cut) AS n_top, "
+    + q6("avg(CASE WHEN Donation_Amount >= cut THEN Is_Anomalous END)") + " AS top_rate, " + q6("avg(Is_Anomalous)") + " AS base_rate "
+    "FROM riskq, (SELECT quantile_cont(Donation_Amount, 0.99) AS cut FROM riskq) GROUP BY cut"))
+def top_amount_rate(spark, sf_dir):
+    """Anomaly rate in the top 1 % of amounts beside the baseline."""
+    t = AG.top_amount_rate(lab(spark, sf_dir), "Donation_Amount", Y)
+    return t.select(r6("cut").alias("cut"), "n_top", r6("top_rate").alias("top_rate"), r6("base_rate").alias("base_rate"))
 
 
 @query("review_feedback", wr(
@@ -261,6 +280,22 @@ def review_feedback(spark, sf_dir):
     return j.withColumn("Final_Label", F.coalesce(F.col("Reviewed_Label").cast("int"), Y))
 
 
+_REVIEWED = ("(SELECT Donation_ID, Donor_Segment, CASE WHEN Risk_Tier IN ('Critical', 'High') THEN Label_Raw END AS Reviewed_Label, "
+             "CASE WHEN Risk_Tier IN ('Critical', 'High') THEN Risk_Tier END AS Review_Queue FROM riskq)")
+
+
+@query("null_counts_reviewed", wr(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null FROM {_REVIEWED} HAVING count(*) - count({c}) > 0"
+    for c in ["Donation_ID", "Donor_Segment", "Reviewed_Label", "Review_Queue"])))
+def null_counts_reviewed(spark, sf_dir):
+    """A17 over the donations with their review, where most have none."""
+    r = risk(spark, sf_dir)
+    seen = F.col("Risk_Tier").isin("Critical", "High")
+    return AG.null_counts(r.select("Donation_ID", "Donor_Segment", F.when(seen, F.col("Label_Raw")).alias("Reviewed_Label"),
+                                   F.when(seen, F.col("Risk_Tier")).alias("Review_Queue")),
+                          ["Donation_ID", "Donor_Segment", "Reviewed_Label", "Review_Queue"])
+
+
 @query("restricted_country", wr(
     "SELECT Donation_ID, Donor_Country FROM riskq WHERE Donor_Country IN (SELECT Donor_Country FROM riskq "
     "GROUP BY Donor_Country HAVING avg(Is_Anomalous) > " + D(1.5) + " * (SELECT avg(Is_Anomalous) FROM riskq))"))
