@@ -30,14 +30,12 @@ bytes. Memory: a batch of texts, a block of runs, one document.
 Defined cases: null text is empty; a null doc_id comes after all others; rows of one id
 with different texts are ordered by a hash of the text; repeated rows (same id and
 text) are one document, each with its result; texts under ``width`` bytes keep
-everything; very long texts are one row of a task (linear); an empty table gives an
-empty result; other columns are ignored.
+everything; very long texts are searched in pieces, linear in their length; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -46,8 +44,9 @@ from pyspark.sql import functions as F
 from giftrisk.llm.common import documents, query, stage, texts
 
 WIDTH, K = 100, 20
-#: Bytes of texts handled at once, of runs merged at once, and of runs in a shard.
-BATCH_BYTES, BLOCK_BYTES, SHARD_BYTES = 8 << 20, 1 << 20, 1 << 16
+#: Bytes of texts handled at once (about 150 bytes of memory each; longer texts are
+#: taken in pieces), of runs merged at once, and of runs in a shard.
+BATCH_BYTES, BLOCK_BYTES, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 16
 #: Different runs of an anchor that one task merges.
 GROUP = 20_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -59,18 +58,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^n and more; kept for the next batch."""
+    if len(_POWERS.get(base, ())) <= n:
+        out = np.full(max(n + 1, BATCH_BYTES + WIDTH + 1), base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out)
+    return _POWERS[base]
+
+
 class Rolling:
     """Hashes of any slice of a byte array, from sums of byte * base^-i."""
 
     def __init__(self, data: np.ndarray, base: int):
         n = len(data)
-
-        def powers(x: int) -> np.ndarray:
-            out = np.full(n + 1, x, np.uint64)
-            out[0] = 1
-            return np.cumprod(out)
-
-        self.power, inverse = powers(base), powers(pow(base, -1, 1 << 64))
+        self.power, inverse = powers(base, n)[:n + 1], powers(pow(base, -1, 1 << 64), n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mix(data.astype(np.uint64) + np.uint64(base & 0xFFFF)) * inverse[:n], out=self.sums[1:])
 
@@ -276,12 +281,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def find_runs(rows: DataFrame, width: int) -> DataFrame:
     def emit(held):
-        ids = np.array([(d, t) for d, t, _ in held], np.int64).reshape(-1, 2)
-        sizes = np.array([len(x) for _, _, x in held], np.int64)
+        ids = np.array([(d, t) for d, t, _, _ in held], np.int64).reshape(-1, 2)
+        sizes = np.array([len(x) for _, _, _, x in held], np.int64)
         ends = np.cumsum(sizes)
-        first, last, anchor, digest = anchored_runs(np.frombuffer(b"".join(x for _, _, x in held), np.uint8), ends, width)
+        first, last, anchor, digest = anchored_runs(np.frombuffer(b"".join(x for _, _, _, x in held), np.uint8), ends, width)
         doc = np.searchsorted(ends, first, side="right")
-        base = (ends - sizes)[doc]
+        base = (ends - sizes - np.array([at for _, _, at, _ in held], np.int64))[doc]
         d, t, start = ids[doc, 0], ids[doc, 1], first - base
         size = last - first + width
         h, g = anchor.view(np.int64), digest.view(np.int64)
@@ -303,12 +308,13 @@ def find_runs(rows: DataFrame, width: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for d, t, x in zip(batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), texts(batch)):
-                if len(x) >= width:
-                    held.append((d, t, x))
-                    size += len(x)
-                if size >= BATCH_BYTES:
-                    yield from emit(held)
-                    held, size = [], 0
+                # a piece has the windows that start in it, so each window is in one
+                for at in range(0, len(x) - width + 1, BATCH_BYTES):
+                    held.append((d, t, at, x[at:at + BATCH_BYTES + width - 1]))
+                    size += len(held[-1][3])
+                    if size >= BATCH_BYTES:
+                        yield from emit(held)
+                        held, size = [], 0
         if held:
             yield from emit(held)
 

@@ -93,6 +93,22 @@ def test_hot_passage(spark):
     assert result(df, group=50) == want
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """Windows at the pieces' ends are found once each."""
+    rnd = random.Random(4)
+    text = bytes(rnd.choice(b"abc ") for _ in range(5000))
+    whole = {}
+    for a, b, h, _ in zip(*B.anchored_runs(np.frombuffer(text, np.uint8), np.array([len(text)]))):
+        whole |= {int(i): int(h) for i in range(a, b + 1)}
+    parts = {}
+    for at in range(0, len(text) - B.WIDTH + 1, 700):
+        piece = text[at:at + 700 + B.WIDTH - 1]
+        for a, b, h, _ in zip(*B.anchored_runs(np.frombuffer(piece, np.uint8), np.array([len(piece)]))):
+            for i in range(a, b + 1):
+                assert parts.setdefault(int(at + i), int(h)) == int(h)
+    assert parts == whole and len(whole) == len(text) - B.WIDTH + 1
+
+
 def test_edge_rows(spark):
     rows = [*EDGE, (30, EDGE[10][1] if len(EDGE[10][1] or "") > 100 else "lorem ipsum " * 30, "en", "s"), (31, "lorem ipsum " * 30, "en", "s")]
     df = edge_frame(spark, rows)
