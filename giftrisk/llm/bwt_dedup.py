@@ -13,7 +13,7 @@ pieces inside. Equal strings have equal anchors, so all copies meet.
 2. Anchors that occur once are gone. Of runs equal in all bytes, all but the first are
    removed whole. Anchors with different runs go on with their bytes.
 3. Runs are dealt by anchor. A task cuts them to the windows whose hash occurs twice
-   there, sorts the suffixes of small shards and takes their transforms; then all shards of a block are merged: the interleave of their suffixes
+   there, keeps the first of equal pieces, sorts the suffixes of small shards and takes their transforms; then all shards of a block are merged: the interleave of their suffixes
    starts as one shard after the other and is refined by one symbol a round, through
    the transforms alone. A boundary that first shows in round k is a common prefix of
    k - 1 bytes. After ``width`` rounds, neighbours without a boundary are intervals of
@@ -201,6 +201,8 @@ def merge(shards: list, depth: int):
 def trimmed(rows: list[tuple], width: int) -> list[tuple]:
     """``rows`` cut to the windows whose hash another window of the block shares; the
     rest can't repeat. Equal bytes are left to the merge."""
+    if not rows:
+        return []
     data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
     sizes = np.array([len(r[2]) for r in rows])
     starts = np.cumsum(sizes) - sizes
@@ -222,9 +224,20 @@ def trimmed(rows: list[tuple], width: int) -> list[tuple]:
 def block_repeats(rows: list[tuple], width: int = WIDTH):
     """Windows of ``rows`` (document number, start, bytes) that repeat an earlier one:
     (document number, start). Documents are numbered in their order."""
-    rows = trimmed(rows, width)
+    # cut to what is shared, many strings are equal as a whole: the first one stays for
+    # the merge, cut again to what the different ones share
+    seen, rest, owners, begins = set(), [], [], []
+    for r in sorted(trimmed(rows, width), key=lambda r: r[:2]):
+        if r[2] in seen:
+            begins.append(np.arange(r[1], r[1] + len(r[2]) - width + 1))
+            owners.append(np.full(len(begins[-1]), r[0]))
+        else:
+            seen.add(r[2])
+            rest.append(r)
+    rows = trimmed(rest, width)
     if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        none = [np.empty(0, np.int64)]
+        return np.concatenate(owners or none), np.concatenate(begins or none)
     shards, held, size, place = [], [], 0, []
     owner, begin = [], []
 
@@ -260,7 +273,7 @@ def block_repeats(rows: list[tuple], width: int = WIDTH):
     first = np.append([True], interval[1:] != interval[:-1])
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     again = (owner != owner[lead]) | (begin != begin[lead])
-    return owner[again], begin[again]
+    return np.concatenate([*owners, owner[again]]), np.concatenate([*begins, begin[again]])
 
 
 RUNS = "hash long, digest long, doc long, tie long, start long, size int, gone boolean"
