@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Documents with equal texts are linked. A document starts in the shard its id hashes
-to. In each round a join brings every linked document the shard that holds most of
+Documents with equal texts are linked. A document starts in the shard its id and text
+hash to. In each round a join brings every linked document the shard that holds most of
 its link's bytes; it wants to move there. Quotas admit the moves: from the flows
 between shards (at most shards * shards numbers) the driver finds for each shard the
 share of its arrivals that keeps it within its capacity, and a link moves if its hash
@@ -19,7 +19,7 @@ Slots are gapless: rows are numbered within (shard, hash bucket), and each bucke
 starts where the counts before it end, so no task numbers a whole shard.
 
 Defined cases: a null text has no bytes (size 1) and is equal to an empty one; null
-or repeated ids are rows like any other; an empty table gives an empty result; other
+or repeated ids are rows like any other, however many rows one id has; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -95,9 +95,9 @@ def shard(docs: DataFrame, n: int = 16, rounds: int = 8) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = stage(docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())).alias("hash"),
         (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(text.cast("binary")).alias("group"), F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(n)).cast("int").alias("shard")), "shard_rows")
+        F.md5(text.cast("binary")).alias("group")), "shard_rows")
+    base = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "group", F.lit("start")), F.lit(n)).cast("int"))
     groups = base.groupBy("group").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
     whole = groups.agg(F.sum("bytes").alias("b"), F.sum("rows").alias("r")).first()
     total, rows = whole.b or 0, whole.r or 0
@@ -106,7 +106,10 @@ def shard(docs: DataFrame, n: int = 16, rounds: int = 8) -> DataFrame:
     # a table of its own, so that both sides of the join are plain exchanges, of which
     # AQE splits a hot group
     shared = stage(groups.where("rows > 1").select("group", pieces.alias("pieces")), "shard_groups")
-    tied = base.join(shared, "group", "left")
+    # rows of one id have hashes of their own: by their texts, and where these are equal
+    # (only linked rows are) by their number in the table
+    tied = base.join(shared, "group", "left").withColumn(
+        "hash", F.when(F.col("pieces").isNull(), F.xxhash64("doc_id", "group")).otherwise(F.xxhash64("doc_id", "group", "rid")))
     link = F.when(F.col("pieces").isNotNull(), F.xxhash64("group", F.pmod(F.col("hash"), F.greatest("pieces", F.lit(1)))))
     tied = stage(tied.select("rid", "doc_id", "size", "text_crc32", "hash", "shard", link.alias("link")), "shard_links")
     moved = propagate(tied.where("link is not null").select("rid", "link", "size", "shard"), n, capacity, rounds)

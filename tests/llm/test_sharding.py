@@ -55,3 +55,13 @@ def test_quotas_hold_back_moves():
 def test_plan_has_no_python(spark):
     plan = S.shard(edge_frame(spark), 4).select(F.col("slot"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_rows_of_one_id_are_dealt_evenly(spark):
+    """Half of the table has one id: with one text, with a text each, and with null."""
+    rest = [(i, f"text number {i} here", "en", "s") for i in range(2000)]
+    for same in ([(7, "one and the same text", "en", "s")] * 2000, [(7, f"a text {i:05d} of its own", "en", "s") for i in range(2000)],
+                 [(None, f"a text {i:05d} of its own", "en", "s") for i in range(2000)]):
+        rows = S.shard(plain(spark, rest + same), 16).collect()
+        size = check(rows, rest + same, 16)
+        assert max(size) < 1.02 * min(size), size
