@@ -9,7 +9,7 @@ smallest id holds the payload; the others are revisits that name it.
 Archives are written by tasks, each to files of its own name per attempt; the index is
 written by Spark's committer, and only files it names count. So a lost executor or a
 second attempt leaves at most files that nobody reads. Memory per task: a batch of
-pages when writing, one byte range when reading. A group of equal pages is counted by
+pages when writing, one byte range when reading (or one record, if that is longer). A group of equal pages is counted by
 a partial aggregate and joined back, with AQE splitting a hot one.
 
 The archive folder must be open to the executors by pyarrow's file systems (file, s3,
@@ -40,6 +40,8 @@ ARCHIVE_BYTES = 64 << 20
 #: Two ranges are read at once if this many bytes or fewer lie between them, up to
 #: RANGE_BYTES together.
 GAP_BYTES, RANGE_BYTES = 64 << 10, 8 << 20
+#: Archive bytes that a task reads back.
+TASK_BYTES = 128 << 20
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -144,7 +146,14 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 def read(selected: DataFrame, folder: str) -> DataFrame:
     """The records of an index, or of any part of it, read by byte ranges: sorted by
     file and offset, neighbours in one request. A response's digest is computed anew
-    and must be the recorded one; a revisit has no payload."""
+    and must be the recorded one; a revisit has no payload.
+
+    Stretches of RANGE_BYTES of the files are dealt to so many tasks that each reads
+    about TASK_BYTES, or to all cores if that is less: the archives' size decides, not
+    the index's."""
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // TASK_BYTES), min(selected.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES)))
+
     def run(batches):
         fs, root = open_fs(folder)
         for batch in batches:
@@ -181,7 +190,9 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in RECORDS.split(", ")])
 
-    return selected.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
+    stretch = F.floor(F.col("offset") / RANGE_BYTES)
+    return (selected.select("file", "offset", "length").repartition(tasks, "file", stretch)
+            .sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS))
 
 
 SQL = r"""

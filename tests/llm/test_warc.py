@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 from helpers import oracle, same_rows
+from pyspark.sql import functions as F
 
 from giftrisk.llm import warc as W
 from giftrisk.llm.common import scratch_path
@@ -52,3 +53,16 @@ def test_archives_rotate_and_empty_table(spark, monkeypatch):
     folder = scratch_path(spark, "warc")
     index = W.write(pages(spark), folder)
     assert W.read(index, folder).count() == len(PAGES)
+
+
+def test_archives_are_read_back_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(W, "RANGE_BYTES", 20_000)
+    folder = scratch_path(spark, "warc")
+    index = W.write(pages(spark, [(i, f"http://a/{i}", " ".join(str(hash((i, j))) for j in range(300))) for i in range(200)]), folder)
+    got = W.read(index, folder)
+    tasks = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 200
+    monkeypatch.setattr(W, "TASK_BYTES", 10_000)
+    many = W.read(index, folder)
+    assert many.rdd.getNumPartitions() == -(-index.agg(F.sum("length")).first()[0] // 10_000)
+    assert sorted(r.page_id for r in many.collect()) == list(range(200))
