@@ -119,8 +119,17 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     return have.where("have = need").groupBy("row_key").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spans(text: Column, order: int, kind: str, expression: str, group: int, least: int) -> Column:
-    """Matches as array<struct(start, ord, end, kind)>, failing ones dropped."""
+    """Matches as array<struct(start, ord, end, kind)>, failing ones dropped.
+
+    Positions are prefix sums of the lengths of pieces and matches. An array grows by
+    being copied, so the m matches are cut to blocks of sqrt(m): the blocks' starts are
+    summed first, then each block runs from its start."""
     match = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(expression), F.lit(group))
     parts = F.arrays_zip(F.split(text, expression, -1).alias("gap"), match.alias("match"), value.alias("value"))
@@ -133,7 +142,21 @@ def spans(text: Column, order: int, kind: str, expression: str, group: int, leas
         found = F.when(F.length(part["value"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
         return F.struct(F.coalesce(end, start).alias("at"), found.alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def cut(parts):
+        width = F.ceil(F.sqrt(F.size(parts))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(parts), width), lambda at: F.slice(parts, at, width))
+
+    def starts(blocks):
+        length = lambda block: F.aggregate(
+            block, F.lit(0), lambda n, part: n + F.length(part["gap"]) + F.coalesce(F.length(part["match"]), F.lit(0)))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, block: F.struct(
+            (acc["at"] + length(block)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def run(blocks):
+        return F.flatten(F.zip_with(blocks, starts(blocks), lambda block, at: F.aggregate(
+            block, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    return _bound(_bound(parts, cut), run)
 
 
 def scan(docs: DataFrame, rules=RULES, vocabulary: list[str] | None = ()) -> DataFrame:

@@ -64,3 +64,10 @@ def test_every_match_answers_its_query():
 def test_plan_has_no_python(spark):
     plan = S.scan(edge_frame(spark, rows())).select(F.size("found"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_text_with_very_many_matches(spark):
+    """Blocks of every size give the positions of a search from the left."""
+    texts = ["token=abcdefgh1 é token=short " * n for n in (1, 2, 3, 8, 50)] + ["token=abcdefgh1\n" * 60_000]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    assert got(spark, edge_frame(spark, rows)) == sorted((str(i), brute(t)) for i, t, *_ in rows)
