@@ -33,7 +33,7 @@ def test_suffix_array_repeats_match_brute_force(docs, least):
 
 def test_edge_cases_match_sql(spark):
     df = edge_frame(spark)
-    got = Q.judge(Q.repetition_stats(df)).drop("n_maximal_repeats").toPandas()
+    got = Q.judge(Q.repetition_stats(df, min_words=3)).drop("n_maximal_repeats").toPandas()
     assert len(got) == len(EDGE)
     want = oracle(Q.SQL, documents=df.select("doc_id", "text"))
     assert same_rows(got, want)
@@ -52,15 +52,16 @@ def test_blocks_do_not_change_results(spark, monkeypatch):
 
 
 def test_short_phrases_decide_beyond_the_base_rule(spark, tmp_path):
-    """Repeats under 8 words: the base rule passes them, the phrase query does not."""
+    """Repeats under 8 words: the base rule passes them, the verdict does not."""
     fresh = [f"w{i}" for i in range(60)]
     phrases = [w for i in range(15) for w in ("buy", "cheap", "pills", "now", f"x{i}")]
     some = [w for i in range(4) for w in ("as", "we", "said", f"y{i}")] + fresh
     texts = [" ".join(phrases), " ".join("spam" if i % 9 else f"z{i}" for i in range(90)), " ".join(some), " ".join(fresh)]
     plain(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in Q.op2_phrases(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in Q.op2(spark, str(tmp_path)).collect()}
     assert [got[i].kept for i in range(4)] == [False, False, True, True]
     assert not got[0].base_failed and got[0].n_repeat_words == 0
+    assert same_rows(Q.op2(spark, str(tmp_path)).toPandas(), oracle(Q.SQL, documents=spark.read.parquet(f"{tmp_path}/documents.parquet")))
     for i, t in enumerate(texts):
         words = t.split()
         covered, longest, _ = brute(words, 3)
