@@ -240,6 +240,8 @@ def learn(labelled: DataFrame, min_script_share: float = 0.01) -> Model:
     return Model(counts.toPandas(), min_script_share)
 
 
+#: What the result adds to a document; columns of these names give way to it.
+ADDED = ("spans", "lang_pred", "score")
 SPANS = "array<struct<lang:string,first_word:int,end_word:int,letters:long>>"
 
 
@@ -247,7 +249,7 @@ def language_spans(docs: DataFrame, model: Model, penalty: float = 12.0, keep: l
     """The columns ``keep`` of ``docs`` (all by default) with ``spans``, ``lang_pred``
     and ``score``: the share of the text's letters that lie in lang_pred's spans and have
     a context frequent in that language, over the share such contexts have in its corpus."""
-    columns = [c for c in keep if c != "text"] if keep is not None else [c for c in docs.columns if c != "text"]
+    columns = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("text", *ADDED)]
     with_text = keep is None or "text" in keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*columns, *(["text"] if with_text else [])).schema
@@ -294,8 +296,11 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """Documents with a language whose score is at least ``min_score``."""
-    return identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    """Documents with a language whose score is at least ``min_score``, with all their
+    columns, also those that have names of the prediction's."""
+    name = {c: c if c in ("doc_id", "lang", "text") else f"_own{i}" for i, c in enumerate(docs.columns)}
+    found = identify(docs.toDF(*name.values())).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return found.select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 @query("op7_viterbi_language")

@@ -49,15 +49,16 @@ def test_scripts_narrow_the_candidates(spark):
 
 
 def test_edge_cases(spark):
-    df = edge_frame(spark).drop("score")
+    df = edge_frame(spark).withColumns({"spans": F.lit("own"), "lang_pred": F.lit(1)})
     got = L.identify(df).collect()
     assert len(got) == len(EDGE)
     by = {r.doc_id: r.lang_pred for r in got if r.doc_id is not None}
     assert by[3] == by[4] == by[5] == by[10] == "und" and by[1] == "en"
     assert all(0 <= r.score <= 1 for r in got)
     kept = L.accepted(df)
-    assert kept.columns == df.columns and not {3, 4, 5, 10} & {r.doc_id for r in kept.collect()}
-    assert L.identify(empty(spark).drop("score")).count() == 0
+    assert kept.schema == df.schema and not {3, 4, 5, 10} & {r.doc_id for r in kept.collect()}
+    assert kept.exceptAll(df).count() == 0 and kept.count() == sum(r.lang_pred != "und" and r.score >= 0.3 for r in got) > 0
+    assert L.identify(empty(spark)).count() == L.accepted(empty(spark)).count() == 0
     none = L.identify(df.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").distinct().collect()
     assert [r[0] for r in none] == ["und"]
 
