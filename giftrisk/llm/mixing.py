@@ -7,7 +7,9 @@ group's rate: the distribution is inverted at a uniform number made from the has
 the document's id, text and the seed, so a retry, another partitioning or another
 machine draws the same. Rates above ``STEP`` are drawn as a sum of draws with
 smaller rates, as exp(-rate) would underflow. Copies are dealt out by a hash of
-document and copy number and sorted by it: one shuffle, and a random global order.
+document, copy and row number and sorted by it: one shuffle, and a random global order,
+in which repeated rows are spread like any others. The rows' numbers come from the
+scan, so ``docs`` should be a table or a plan whose rows keep their order on a retry.
 
 The characters of a group are one partial sum per task; a source with a third of all
 rows needs no special case. The rates are one row per configured weight.
@@ -16,7 +18,8 @@ Defined cases: a null source or one without a weight falls into the group of the
 rest, which shares ``rest`` by its natural proportions; weights of groups without
 characters go to the others in proportion; a null text counts no characters and is
 drawn at its group's rate (rate 0 if its group has no characters); a null doc_id is
-hashed as the word null; repeated rows of one id and text draw alike.
+hashed as the word null; repeated rows of one id and text draw alike; columns that have
+the names of the result's give way to them in ``mix`` and stay in ``replicated``.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from giftrisk.llm.common import documents, query
 SEED = 17
 #: Largest rate of a single draw.
 STEP = 200.0
+#: What the result adds to a document.
+ADDED = ["rate", "n_copies", "copy", "shuffle_key"]
 #: Production target: half as much of the largest source as of an even split, the
 #: rest even; sources that are not named share five hundredths.
 WEIGHTS = {"src0": 0.07} | {f"src{i}": 0.05 for i in range(1, 20)}
@@ -74,9 +79,8 @@ def copies(rate: Column, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda acc, i: acc + poisson(share, uniform(key, i)))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST, epochs: float = 1.0) -> DataFrame:
-    """Replicated documents in random global order: the columns of ``docs`` and
-    copy (from 1), n_copies, rate and shuffle_key."""
+def _replicate(docs: DataFrame, weights: dict[str, float], rest: float, epochs: float) -> DataFrame:
+    """Replicated rows of ``docs``, whose names must not clash with ADDED."""
     found = rates(docs, weights, rest, epochs)
     rate = F.lit(found.get(None, 0.0))
     for g in sorted(x for x in found if x is not None):
@@ -85,7 +89,31 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST
     drawn = docs.withColumn("rate", rate).withColumn("_key", key).withColumn("n_copies", copies(F.col("rate"), F.col("_key")))
     out = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", "_key", F.col("copy").cast("string"), F.lit(f"order{SEED}")).cast("binary"))).drop("_key")
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    # equal rows share a shuffle_key: their numbers in the table deal them out
+    out = out.withColumn("_place", F.xxhash64("shuffle_key", "_row"))
+    return out.repartition("_place").sortWithinPartitions("_place").drop("_place", "_row")
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with rows numbered (``_row``) and its columns besides doc_id, text and
+    source under names that clash with nothing; and these names."""
+    name = {c: c if c in ("doc_id", "text", "source") else f"_own{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*name.values()).withColumn("_row", F.monotonically_increasing_id()), name
+
+
+def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST, epochs: float = 1.0) -> DataFrame:
+    """Replicated documents in random global order: the columns of ``docs`` and
+    copy (from 1), n_copies, rate and shuffle_key, which take the place of columns of
+    these names."""
+    apart, name = _apart(docs)
+    out = _replicate(apart, weights, rest, epochs)
+    return out.select(*[F.col(n).alias(c) for c, n in name.items() if c.lower() not in ADDED], *ADDED)
+
+
+def replicated(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST, epochs: float = 1.0) -> DataFrame:
+    """The rows of ``mix`` with just the columns of ``docs``, all with their own values."""
+    apart, name = _apart(docs)
+    return _replicate(apart, weights, rest, epochs).select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 SQL = f"""

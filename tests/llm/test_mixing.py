@@ -17,15 +17,27 @@ def test_edge_cases_match_sql(spark, tmp_path):
 
 
 def test_edge_rows_have_defined_copies(spark):
-    out = M.mix(edge_frame(spark).drop("copy")).groupBy("doc_id", "text", "n_copies").agg(F.count("*").alias("rows"), F.max("copy").alias("last")).collect()
+    out = M.mix(edge_frame(spark)).groupBy("doc_id", "text", "n_copies").agg(F.count("*").alias("rows"), F.max("copy").alias("last")).collect()
     assert all(r.rows in (r.n_copies, 2 * r.n_copies) and r.last == r.n_copies for r in out)
 
 
 def test_columns_and_empty_table(spark):
-    df = edge_frame(spark).drop("copy")
+    df = edge_frame(spark).withColumns({"_key": F.lit("k"), "rate": F.lit("own"), "n_copies": F.lit(-1), "shuffle_key": F.lit(2.5)})
     out = M.mix(df)
-    assert out.columns == [*df.columns, "rate", "n_copies", "copy", "shuffle_key"]
-    assert M.mix(empty(spark).drop("copy")).count() == 0
+    assert out.columns == [*[c for c in df.columns if c not in M.ADDED], "rate", "n_copies", "copy", "shuffle_key"]
+    own = M.replicated(df)
+    assert own.schema == df.schema and own.count() == out.count() and own.distinct().exceptAll(df.distinct()).count() == 0
+    assert M.mix(empty(spark)).count() == M.replicated(empty(spark)).count() == 0
+
+
+def test_repeated_rows_are_spread(spark):
+    df = spark.range(0, 20_000, 1, 4).selectExpr("cast(null as long) AS doc_id", "'one text' AS text", "'s' AS source")
+    sizes = [r["count"] for r in M.mix(df, {"s": 1.0}).groupBy(F.spark_partition_id()).count().collect()]
+    plan = M.mix(df, {"s": 1.0})
+    assert plan.select("shuffle_key").distinct().count() < 10
+    assert sum(sizes) == plan.count()
+    with_parts = plan.rdd.getNumPartitions()
+    assert with_parts == 1 or max(sizes) < 0.75 * sum(sizes)
 
 
 def test_inversion_follows_the_distribution(spark):
