@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from giftrisk.plans.pipeline import Pipeline
 from giftrisk.plans.q_triage import wr
-from giftrisk.plans.q_windows import EVENTS_SQL
+from giftrisk.plans.q_windows import EVENTS_SQL, REVERSAL_SQL
 from giftrisk.plans.registry import q6, query, r6
 from giftrisk.streaming import detectors as S
 
@@ -62,6 +62,14 @@ def stream_reversal_join(spark, sf_dir):
     return out.select("auth_id", "rev_id", "donor_id")
 
 
+@query("stream_first_reversal", REVERSAL_SQL)
+def stream_first_reversal(spark, sf_dir):
+    """T4 as-of form: each authorised payment with the first reversal by the same donor
+    within 1 h, from state; equal to the batch twin ``reversal_interval_join``."""
+    out = S.merge_first_reversals(S.run_to_table(S.first_reversals(S.event_stream(spark, sf_dir)), "first_reversal"))
+    return out.select(F.col("auth_id").alias("auth_event_id"), "donor_id", (F.col("rev_us") - F.col("auth_us")).alias("micros_to_reversal"))
+
+
 @query("stream_dedup", "SELECT DISTINCT event_id, user_id AS donor_id FROM events")
 def stream_dedup(spark, sf_dir):
     """De-duplicated webhook deliveries (late rows dropped by the watermark)."""

@@ -39,11 +39,14 @@ def card_testing_burst(spark, sf_dir):
     return out.where(F.col("n_declines_6h") >= 3).select("event_id", "donor_id", "n_declines_6h")
 
 
-@query("reversal_interval_join", f"WITH ev AS ({EVENTS_SQL}), x AS (SELECT *, min(CASE WHEN webhook_event = "
+REVERSAL_SQL = (f"WITH ev AS ({EVENTS_SQL}), x AS (SELECT *, min(CASE WHEN webhook_event = "
        f"'payment.reversed' THEN t_us END) OVER (PARTITION BY donor_id ORDER BY t_us RANGE BETWEEN CURRENT ROW AND "
        f"{HOUR_US} FOLLOWING) AS rev_us FROM ev WHERE webhook_event IN ('payment.authorised', 'payment.reversed')) "
        "SELECT event_id AS auth_event_id, donor_id, rev_us - t_us AS micros_to_reversal FROM x "
        "WHERE webhook_event = 'payment.authorised' AND rev_us IS NOT NULL")
+
+
+@query("reversal_interval_join", REVERSAL_SQL)
 def reversal_interval_join(spark, sf_dir):
     """Each authorised payment with the first reversal by the same donor
     within 1 h (as-of form of the interval join: one row per authorisation,
