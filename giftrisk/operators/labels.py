@@ -43,6 +43,12 @@ def add_noise(scored: DataFrame, stats: dict | None = None) -> DataFrame:
     return df
 
 
+def swap_label(labelled: DataFrame) -> DataFrame:
+    """The bank's Is_Fraud gives way to Is_Anomalous, which takes its place as last column."""
+    kept = [c for c in labelled.columns if c not in ("Is_Fraud", "Is_Anomalous")]
+    return labelled.select(*kept, "Is_Anomalous")
+
+
 def assign_labels(noisy: DataFrame, target_rate: float = C.TARGET_ANOMALY_RATE,
                   miss_rate: float = C.MISS_RATE, false_flag_rate: float = C.FALSE_FLAG_RATE,
                   stats: dict | None = None) -> DataFrame:

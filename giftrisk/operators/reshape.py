@@ -173,11 +173,13 @@ def enrich(base: DataFrame, amt_p90: float, amt_p95: float) -> DataFrame:
                 .when(multi, lo_reg + F.floor(_u("vel_regular_value") * (hi_reg - lo_reg)))
                 .otherwise(F.lit(1))).cast("int")
     df = df.withColumn("IP_Velocity_24h", velocity)
-    return _drop_draws(df).select(*C.DONATION_COLUMNS)
+    fraud = [c for c in df.columns if c == "Is_Fraud"]  # a bank's own label, if its rows have one
+    return _drop_draws(df).select(*C.DONATION_COLUMNS, *fraud)
 
 
 def donations(bank: DataFrame) -> DataFrame:
-    """Full reshape: bank transactions -> 32-column donation table."""
+    """Full reshape: bank transactions -> 32-column donation table, 33 with the bank's
+    Is_Fraud."""
     base = remap_base(bank)
     a = amount_anchors(base)
     return enrich(base, a["amt_p90"], a["amt_p95"])

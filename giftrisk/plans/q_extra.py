@@ -12,13 +12,15 @@ from pyspark.sql import types as T
 from giftrisk import constants as C
 from giftrisk.operators import aggregates as AG
 from giftrisk.operators import features as FE
+from giftrisk.operators import reshape as RS
 from giftrisk.operators import screening as SC
 from giftrisk.plans.oracle import inlist, u, with_base
 from giftrisk.plans.pipeline import Pipeline
 from giftrisk.plans.q_screen import _entities_sql, donor_names, entities, latest_donor_names
 from giftrisk.plans.q_triage import risk, wr
 from giftrisk.plans.registry import q6, query, r6
-from giftrisk.session import ensure_checkpoint_dir
+from giftrisk.session import ensure_checkpoint_dir, write_stage
+from giftrisk.sources import bank as BK
 from giftrisk.sources import tables as TB
 
 P = Pipeline.get
@@ -52,6 +54,41 @@ def csv_roundtrip(spark, sf_dir):
                          for c in C.DONATION_COLUMNS])
 
 
+# the bank's label in the CSV: urgent orders that were finished
+_FRAUD_SQL = "CAST(o.o_orderpriority = '1-URGENT' AND o.o_orderstatus = 'F' AS INTEGER)"
+
+
+def _bank_csv(spark, sf_dir):
+    """(transactions, rejected) of the bank transactions written as CSV with Is_Fraud; the
+    lines of every 97th order come a second time with an amount that is no number."""
+    fraud = (F.col("Transaction_Description") == "1-URGENT") & (F.col("Merchant_Category") == "F")
+    rows = P(spark, sf_dir).bank().withColumn("Is_Fraud", fraud.cast("int"))
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in (f.name for f in T.StructType.fromDDL(BK.BANK_SCHEMA))])
+    broken = text.where(F.col("Transaction_ID").cast("long") % 97 == 0).withColumn("Transaction_Amount", F.lit("n/a"))
+    path = _scratch(spark, "bank_csv")
+    TB.write_csv(text.union(broken), path)
+    return BK.read_bank_csv(spark, path)
+
+
+@query("bank_csv_donations", lambda: with_base(
+    f"SELECT {_DON_SQL_COLS}, {_FRAUD_SQL} AS Is_Fraud FROM donations d JOIN orders o ON d.Donation_ID = CAST(o.o_orderkey AS VARCHAR)"))
+def bank_csv_donations(spark, sf_dir):
+    """S1 + P3: the pipeline's reshape fed by a bank CSV; 33 columns, Is_Fraud the last."""
+    base = write_stage(RS.remap_base(_bank_csv(spark, sf_dir)[0]), "csv_base")
+    a = RS.amount_anchors(base)
+    out = RS.enrich(base, a["amt_p90"], a["amt_p95"])
+    return out.withColumn("Donation_Date", F.date_format("Donation_Date", "yyyy-MM-dd"))
+
+
+@query("bank_csv_load_report", "SELECT CAST(count(*) AS BIGINT) AS accepted, CAST(count(*) FILTER (o.o_orderkey % 97 = 0) AS BIGINT) AS rejected, "
+       f"CAST(sum({_FRAUD_SQL}) AS BIGINT) AS n_fraud FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+def bank_csv_load_report(spark, sf_dir):
+    """Lines that fit the schema, lines set apart, and fraud labels."""
+    rows, rejected = _bank_csv(spark, sf_dir)
+    return (rows.agg(F.count("*").alias("accepted"), F.coalesce(F.sum("Is_Fraud"), F.lit(0)).alias("n_fraud"))
+            .crossJoin(rejected.agg(F.count("line").alias("rejected"))).select("accepted", "rejected", "n_fraud"))  # one row each
+
+
 @query("risk_partitioned_parquet", wr(
     "SELECT Risk_Tier, count(*) AS n, " + q6("max(Risk_Score)") + " AS max_score FROM riskq "
     "WHERE Risk_Tier IN ('Critical', 'High') GROUP BY Risk_Tier"))

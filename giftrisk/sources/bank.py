@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from giftrisk import constants as C
 from giftrisk.functions.draws import uniform
+from giftrisk.session import write_stage
 from giftrisk.sources.tables import ensure_parallelism, table
 
 
@@ -88,3 +89,27 @@ def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("Customer_Contact"),
         F.concat(F.lit("donor"), ckey.cast("string"), F.lit("@example.org")).alias("Customer_Email"),
     )
+
+
+BANK_SCHEMA = (
+    "Customer_ID string, Customer_Name string, Gender string, Age int, State string, City string, Bank_Branch string, "
+    "Account_Type string, Transaction_ID string, Transaction_Date date, Transaction_Time string, Transaction_Amount decimal(18,2), "
+    "Merchant_ID string, Transaction_Type string, Merchant_Category string, Account_Balance decimal(18,2), Transaction_Device string, "
+    "Transaction_Location string, Device_Type string, Transaction_Description string, Customer_Contact string, Customer_Email string, "
+    "Is_Fraud int")
+
+
+def read_bank_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(transactions, rejected) of a headed bank CSV, a file or a folder of files.
+
+    The schema is declared, never inferred. A line that doesn't fit it (a value that
+    can't be parsed, too few or too many fields), or that has no Transaction_ID, is
+    rejected: ``rejected(line)`` holds it as it was read. All lines are parsed once into
+    a table, as a scan of some columns would judge a line by these columns only."""
+    bad = "_corrupt_record"
+    lines = (spark.read.schema(f"{BANK_SCHEMA}, {bad} string").option("header", True).option("mode", "PERMISSIVE")
+             .option("columnNameOfCorruptRecord", bad).option("multiLine", False).csv(path))
+    rows = write_stage(lines, "bank_csv")
+    fits = F.col(bad).isNull() & F.col("Transaction_ID").isNotNull()
+    as_text = F.to_csv(F.struct(*[c for c in rows.columns if c != bad]))
+    return rows.where(fits).drop(bad), rows.where(~fits).select(F.coalesce(bad, as_text).alias("line"))
