@@ -15,7 +15,8 @@ item position) are one alignment. Template hits count only if the alignment's sl
 are consistent: each filling of the item stands for one filling of the document
 throughout, and for names the reverse holds too; templates with a word that may be a
 name don't speak against those without. An item is in a document if the
-aligned windows cover at least ``min_coverage`` of its tokens.
+aligned windows cover at least ``min_coverage`` of its tokens, or if ``min_run`` of its
+tokens follow each other in the document word for word, however long the item is.
 
 Scale: only windows whose hash is set in a bitmap of the items' windows leave the
 scan. The bitmap has ``BITMAP_BITS`` bits whatever the benchmark's size (that is the
@@ -23,11 +24,11 @@ bound of the broadcast); with a large benchmark it lets more through, and the jo
 stays exact. So a shuffle carries hits, not the corpus.
 
 Defined cases: null or blank texts and items have no tokens and never match; items
-under ``min_tokens`` tokens are not searched (a word or two identify nothing), items
-under ``width`` tokens are searched as one window; repeated rows of one id and text
+under ``width`` tokens are searched as one window, those under ``min_tokens`` as plain
+words only, and those of one or two tokens not at all (they identify nothing); repeated rows of one id and text
 give one result row per item; an item of placeholders alone is searched by its plain
-words; a null doc_id or item_id is carried; other columns are
-ignored.
+words; a very long text is cut in a block of its own; a null doc_id or item_id is
+carried; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ BITMAP_BITS = 24
 FACTOR = 0x9E3779B97F4A7C15
 #: So many possible names of a window are tried both ways; further ones are names.
 MAYBE = 6
+#: Items of fewer tokens are not searched.
+SHORTEST = 3
 #: Template windows made at once.
 TEMPLATES = 2_000_000
 #: Words held by one block of numpy work.
@@ -260,9 +263,11 @@ def windows(table: DataFrame, id_col: str, rules: dict[int, set[int]] | None, wi
             cuts = [(w, WIDE in r, WHOLE in r, BASE) for w, r in sorted(rules.items())]
         else:
             cuts = [(width, False, False, BASE), (2 * width, True, False, WIDE), (4 * width, True, False, WIDE)]
-            cuts += [(w, False, True, WHOLE) for w in np.unique(total).tolist() if w >= min(min_tokens, width)]
+            cuts += [(w, False, True, WHOLE) for w in np.unique(total).tolist() if w >= SHORTEST]
         for w, wide, whole, rule in cuts:
             for at, h, typed, names in tokens.windows(w, width, wide, whole):
+                if typed and w < min(min_tokens, width):
+                    continue
                 if rule == WHOLE:
                     here = total[tokens.doc[at]] == w
                     at, h, names = at[here], h[here], names[here]
@@ -285,7 +290,8 @@ def row_key(id_col: str = "doc_id"):
     return F.xxhash64(F.col(id_col).cast("long"), F.col("text"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage: float = 0.5, min_tokens: int = 5) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage: float = 0.5, min_tokens: int = 5,
+                 min_run: int = 13) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, row_key, item_id,
     coverage of the item's tokens, matched tokens, position of the first and after the
     last matched token, and whether template windows were needed (reparameterised)."""
@@ -326,20 +332,27 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_coverage
     lines = lines.withColumn("at", at).where(F.size("at") > 0)
     tokens = lambda c: F.array_distinct(F.flatten(F.transform(
         c, lambda p: F.sequence(p["item_pos"], p["item_pos"] + p["width"] - 1))))
-    lines = lines.select(*key, "item_tokens", "diagonal", tokens("at").alias("tokens"),
+    plain = F.array_sort(tokens("plain"))
+    # tokens of plain windows that touch on one diagonal are equal one by one
+    run = F.when(F.size(plain) >= min_run, F.exists(F.sequence(F.lit(0), F.size(plain) - min_run),
+                                                    lambda i: plain[i + (min_run - 1)] - plain[i] == min_run - 1))
+    lines = lines.select(*key, "item_tokens", "diagonal", tokens("at").alias("tokens"), F.coalesce(run, F.lit(False)).alias("run"),
                          (F.size(F.array_except(tokens("at"), tokens("plain"))) > 0).alias("by_template"))
     out = lines.groupBy(*key).agg(
         F.max("item_tokens").alias("item_tokens"), F.size(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("matched_tokens"),
         F.min(F.array_min("tokens") + F.col("diagonal")).alias("first_token"),
-        F.max(F.array_max("tokens") + F.col("diagonal") + 1).alias("end_token"), F.bool_or("by_template").alias("reparameterised"))
-    return (out.withColumn("coverage", F.col("matched_tokens") / F.col("item_tokens")).where(F.col("coverage") >= min_coverage)
-            .drop("item_key").distinct())
+        F.max(F.array_max("tokens") + F.col("diagonal") + 1).alias("end_token"), F.bool_or("by_template").alias("reparameterised"),
+        F.bool_or("run").alias("run"))
+    return (out.withColumn("coverage", F.col("matched_tokens") / F.col("item_tokens")).where((F.col("coverage") >= min_coverage) | F.col("run"))
+            .drop("item_key", "run").distinct())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """The documents in which no benchmark item is found; keeps the columns."""
-    found = contaminated(docs, items, **parameters).select(F.col("row_key").alias("_row_key")).distinct()
-    return docs.withColumn("_row_key", row_key()).join(found, "_row_key", "left_anti").select(*docs.columns)
+    found = contaminated(docs, items, **parameters).select("doc_id", "row_key").distinct().alias("found")
+    same = F.col("docs.doc_id").cast("long").eqNullSafe(F.col("found.doc_id")) & (
+        F.xxhash64(F.col("docs.doc_id").cast("long"), F.col("docs.text")) == F.col("found.row_key"))
+    return docs.alias("docs").join(found, same, "left_anti")
 
 
 @query("op1_template_windows")

@@ -94,3 +94,19 @@ def test_possible_names_do_not_speak_against_the_rest(spark):
     item = "The train goes 60 km in 2 hours to town. The driver then waits 5 minutes at the gate."
     got = found(spark, [item.replace("60", "75").replace("The driver", "Each driver"), "\n".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 30], [(1, item)])
     assert set(got) == {(0, 1)}
+
+
+def test_part_of_a_long_item_and_short_items(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    long = " ".join(words)
+    got = found(spark, ["so " + " ".join(words[20:33]) + " it goes", "so " + " ".join(words[20:32]) + " it goes",
+                        "so " + " ".join(words[20:28]) + " and " + " ".join(words[30:38]), "tell me Who wrote war and peace", "yes", "no, Max wrote war and", "yes indeed"],
+                [(1, long), (2, "who wrote war and"), (3, "yes"), (4, "Yes indeed")])
+    assert set(got) == {(0, 1), (3, 2)}
+    assert got[0, 1].matched_tokens == 13 and not got[0, 1].reparameterised
+
+
+def test_decontaminate_keeps_columns_with_the_results_names(spark):
+    docs = plain(spark, [(1, ITEM, "en", "s"), (2, "nothing", "en", "s"), (None, ITEM, "en", "s")]).selectExpr("*", "'mine' AS row_key", "1 AS _row_key", "2 AS run")
+    kept = D.decontaminate(docs, items(spark, [(1, ITEM)]))
+    assert kept.columns == docs.columns and [(r.doc_id, r.row_key, r["_row_key"], r.run) for r in kept.collect()] == [(2, "mine", 1, 2)]
