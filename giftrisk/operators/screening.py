@@ -9,11 +9,12 @@ set overlap is multiset overlap) of which a qualifying pair must share some:
 
 * cut >= 0.75: character bigrams. Strings of length L within edit distance d share at
   least L - 1 - 2d, and d <= (1 - cut) L, so at least max(1, ceil(len / 2 - 1));
-* lower cuts, where no shared bigram is certain: characters, at least ceil(cut * len),
-  as an edit changes one character of the longer name at most.
+* lower cuts, where no shared bigram is certain: positioned segments of the longer name
+  (see ``_segment_keys``), one of which an edit script within the cut leaves whole.
 
-By the prefix-filter lemma such a pair shares an element among the first n - t + 1 of
-each name under one global order; the elements most frequent in the lists come last in
+By the prefix-filter lemma a pair that shares t elements shares k of them among the
+first n - t + k of each name under one global order: bigrams meet one by one, characters
+(Jaro-Winkler) in tuples, as single ones would make nearly all pairs meet. In the order, the elements most frequent in the lists come last in
 it, which keeps them out of the join. Any order gives the same result, so only the
 ``FREQUENT`` most frequent elements are looked up. Scores are
 1 - levenshtein / max(length), computed once per pair of distinct names. Entities of
@@ -149,12 +150,127 @@ def element_frequency(df: DataFrame, col: str, min_match: float = C.DEFAULT_MIN_
     return F.create_map(*[x for r in top for x in (F.lit(r["g"]), F.lit(int(r["count"])))])
 
 
+#: Names up to so many characters are joined by segments or tuples, whose number grows
+#: faster than the length; pairs with a longer name meet on single characters.
+LONG = 40
+
+
+def _tuples(elems: Column, k: int, tag: list[Column]) -> Column:
+    """Hashes of all k-tuples of an array of elements, in its order."""
+    def extend(start, chosen):
+        rest = F.slice(elems, start, F.size(elems))
+        if len(chosen) == k - 1:
+            return F.transform(rest, lambda e: F.xxhash64(*tag, *[x[f] for x in [*chosen, e] for f in ("g", "occ")]))
+        return F.flatten(F.transform(rest, lambda e, i: extend(start + i + 1, [*chosen, e])))
+
+    return extend(F.lit(1), [])
+
+
+def _keys(*parts: Column) -> Column:
+    none = F.array().cast("array<bigint>")
+    return F.concat(*[F.coalesce(p, none) for p in parts])
+
+
+def _long_keys(name: str, share: float, right: bool) -> Column:
+    """Keys of pairs with a name above ``LONG``: single characters. A long name of one
+    side meets names of any length of the other."""
+    n, elems = F.length(name), F.col("_elems")
+    single = _tuples(F.slice(elems, 1, n - F.ceil(F.lit(share) * n - 1e-9).cast("int") + 1), 1, [F.lit("long")])
+    long, other = n > LONG, (n <= LONG) & (n >= F.lit(share) * LONG - 1e-9)
+    left_long = F.when(long | other if right else long, F.transform(single, lambda h: F.xxhash64(F.lit("left"), h)))
+    right_long = F.when(long if right else other, F.transform(single, lambda h: F.xxhash64(F.lit("right"), h)))
+    return _keys(left_long, right_long)
+
+
+def _tuple_keys(name: str, share: float, k: int, same: int) -> Column:
+    """Keys of pairs of names up to ``LONG`` that share at least ``share`` of the longer
+    one's characters and begin with the same ``same`` ones: k-tuples, and single
+    characters for those with fewer than k to share."""
+    n, elems = F.length(name), F.col("_elems")
+    t = F.greatest(F.ceil(F.lit(share) * n - 1e-9), F.lit(1)).cast("int")
+    tag = [F.lit(same), F.substring(name, 1, same)]
+
+    def keys(size, kind):
+        return _tuples(F.slice(elems, 1, F.least(n - t + size, n)), size, [F.lit(kind), *tag])
+
+    return _keys(F.when(t < k, keys(1, "short")), F.when(n <= LONG, keys(k, "tuple")))
+
+
+def _segment_keys(name: str, cut: float, right: bool) -> Column:
+    """Keys of pairs of names up to ``LONG`` at ``cut`` or more. The longer name, of n
+    characters, is cut into d + 1 segments, d = (1 - cut) n edits being allowed. Some
+    segment i (from 0) is untouched, has at most i edits before it and d - i after it, so
+    the shorter name holds it at most i places off, and d - i counted from the end.
+    Names of one length meet once, cut on the right."""
+    n = F.length(name)
+
+    def edits(size):
+        return F.floor(size * (1 - cut) + 1e-9).cast("int")
+
+    def segment(size, i):
+        """(start from 0, length) of a segment; the shorter ones lie at the ends, where
+        few places are tried."""
+        parts = edits(size) + 1
+        q, longer = F.floor(size / parts).cast("int"), size % parts
+        before = F.ceil((parts - longer) / 2).cast("int")
+        return (i * q + F.least(F.greatest(i - before, F.lit(0)), longer),
+                q + F.when((i >= before) & (i < before + longer), 1).otherwise(0))
+
+    def key(side, size, i, start, length):
+        return F.xxhash64(F.lit(side), size, i, F.substring(F.col(name), start + 1, length))
+
+    def probe(side, size, i):
+        start, length = segment(size, i)
+        d, delta = edits(size), n - size
+        low = F.greatest(start - i, start + delta - (d - i), F.lit(0))
+        high = F.least(start + i, start + delta + (d - i), n - length)
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda s: key(side, size, i, s, length))
+                      ).otherwise(F.array().cast("array<bigint>"))
+
+    own, other = ("right", "left") if right else ("left", "right")
+    segments = F.transform(F.sequence(F.lit(0), edits(n)), lambda i: key(own, n, i, *segment(n, i)))
+    first, last = (n + 1 if right else n), F.least(F.floor(n / F.lit(cut) + 1e-9).cast("int"), F.lit(LONG))
+    probes = F.when(first <= last, F.flatten(F.transform(F.sequence(first, last), lambda size: F.flatten(
+        F.transform(F.sequence(F.lit(0), edits(size)), lambda i: probe(other, size, i))))))
+    return F.when(n <= LONG, _keys(segments, probes))
+
+
+def _meet(left: DataFrame, right: DataFrame, share: float, keys) -> DataFrame:
+    """Candidate pairs (na, ne) of distinct names that have one of ``keys(name column,
+    whether on the right)`` in common, or a name above ``LONG``; the shorter has at
+    least ``share`` of the longer one's length."""
+    freq = element_frequency(right, "ne", 0.5)
+
+    def keyed(df, c, is_right):
+        elems = F.transform(gram_elements(F.col(c), 1), lambda e: F.struct(
+            F.coalesce(freq[e["g"]], F.lit(0)).alias("f"), e["g"].alias("g"), e["occ"].alias("occ")))
+        all_keys = F.array_distinct(_keys(keys(c, is_right), _long_keys(c, share, is_right)))
+        return df.select(c, F.array_sort(elems).alias("_elems")).select(c, F.explode(all_keys).alias("_key"))
+
+    a, b = F.length("na"), F.length("ne")
+    near = F.least(a, b) >= F.lit(share) * F.greatest(a, b) - 1e-9
+    return keyed(left, "na", False).join(keyed(right, "ne", True), "_key").where(near).select("na", "ne").distinct()
+
+
+def segment_pairs(left: DataFrame, right: DataFrame, cut: float) -> DataFrame:
+    """All pairs at ``cut`` or more by edit distance, and some others."""
+    return _meet(left, right, cut, lambda c, is_right: _segment_keys(c, cut, is_right))
+
+
+def tuple_pairs(left: DataFrame, right: DataFrame, classes: list[tuple[float, int, int]]) -> DataFrame:
+    """All pairs of one of the ``classes`` (share, k, same), and some others."""
+    return _meet(left, right, min(x[0] for x in classes), lambda c, _: F.concat(*[_tuple_keys(c, *x) for x in classes]))
+
+
 def similarity(a: str, b: str) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
 def similar_names(left: DataFrame, right: DataFrame, min_match: float) -> DataFrame:
     """Pairs (na, ne, match_score) of the distinct names ``left(na)``, ``right(ne)``."""
+    if element_size(min_match) == 1:
+        pairs = segment_pairs(left, right, min_match)
+        return pairs.withColumn("match_score", similarity("na", "ne")).where(F.col("match_score") >= min_match)
     freq = element_frequency(right, "ne", min_match)
     a = left.select("na", F.inline(prefix_elements(F.col("na"), freq, min_match))).select("na", "g", "occ")
     e = right.select("ne", F.inline(prefix_elements(F.col("ne"), freq, min_match))).select("ne", "g", "occ")
@@ -270,24 +386,21 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def jaro_winkler_hits(names: DataFrame, ents: DataFrame, min_match: float = 0.9,
                       limit: int = C.SCREEN_LIMIT) -> DataFrame:
-    """Optional scorer: Jaro-Winkler. With a shared prefix of four letters at most,
-    JW >= cut means Jaro >= j = (cut - 0.4) / 0.6, and Jaro is at most
-    (m / la + m / lb + 1) / 3 for m matching characters, so each name shares at
-    least (3 j - 2) of its length: the character prefix filter at that cut loses no
-    pair, for any cut above 0.8."""
-    share = 3 * (min_match - 0.4) / 0.6 - 2
-    if share <= 0:
+    """Optional scorer: Jaro-Winkler. With p shared first letters (4 at most) JW >= cut
+    means Jaro >= j = (cut - p / 10) / (1 - p / 10), and Jaro is at most
+    (m / la + m / lb + 1) / 3 for m matching characters, so at least 3 j - 2 of the
+    longer name is shared. One class of ``tuple_pairs`` for each p loses no pair, for
+    any cut above 0.8."""
+    shares = [3 * (min_match - p / 10) / (1 - p / 10) - 2 for p in range(5)]
+    if min(shares) <= 0:
         raise ValueError("min_match must be above 0.8")
     a = (names.select("name_id", normalise_name(F.col("name")).alias("na"))
          .where(F.length("na") > 0).dropDuplicates(["name_id", "na"]))
     e = (ents.select("entity_id", F.col("name").alias("hit_name"), "list_name", normalise_name(F.col("name")).alias("ne"))
          .where(F.length("ne") > 0))
     dn, de = a.select("na").distinct(), e.select("ne").distinct()
-    low = min(share, 0.74)  # characters, not bigrams
-    freq = element_frequency(de, "ne", low)
-    left = dn.select("na", F.inline(prefix_elements(F.col("na"), freq, low))).select("na", "g", "occ")
-    right = de.select("ne", F.inline(prefix_elements(F.col("ne"), freq, low))).select("ne", "g", "occ")
-    pairs = left.join(right, ["g", "occ"]).select("na", "ne").distinct().withColumn(
+    # letters in common make up for the shorter tuples
+    pairs = tuple_pairs(dn, de, [(x, 4 if p < 2 else 3, p) for p, x in enumerate(shares)]).withColumn(
         "match_score", jaro_winkler(F.col("na"), F.col("ne"))).where(F.col("match_score") >= min_match)
     of_name = Window.partitionBy("ne").orderBy("entity_id", "list_name")
     first = e.withColumn("_n", F.row_number().over(of_name)).where(F.col("_n") <= limit).drop("_n")
