@@ -102,15 +102,31 @@ def derived_payloads(spark: SparkSession, sf_dir: str, people: DataFrame | None
     return out
 
 
-def read_payloads(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Read ``{path}/{payload_key}.json`` files (multi-line JSON arrays). A list
+def _held(document: Column, names: list[str]) -> Column:
+    """The first of the fields that holds something, as an array of strings whether it is
+    a scalar or an array in this document."""
+    found = []
+    for n in names:
+        c = F.coalesce(F.try_variant_get(document, f"$.{n}", "array<string>"),
+                       F.array(F.try_variant_get(document, f"$.{n}", "string")))
+        found.append(F.when(F.exists(c, lambda x: F.length(x) > 0), c))
+    return F.coalesce(*found)
+
+
+def read_payloads(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """Read ``{path}/{payload_key}.json``: one JSON array a file, or with ``multi_line``
+    off one document a line. Documents are read as variants, in one pass without schema
+    inference; only the known fields are taken, each kind under its first name. A list
     without a file is left out, which is the same as an empty list."""
     out = {}
     conf = spark._jsc.hadoopConfiguration()
     for key in LIST_FIELDS:
         file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}.json")
         if file.getFileSystem(conf).exists(file):
-            out[key] = spark.read.option("multiLine", True).json(f"{path}/{key}.json")
+            raw = (spark.read.option("singleVariantColumn", "v").option("multiLine", multi_line).json(f"{path}/{key}.json"))
+            all_of = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+            out[key] = raw.select(F.explode(all_of).alias("d")).select(
+                *[_held(F.col("d"), names).alias(names[0]) for names in FIELDS.values()])
     return out
 
 
