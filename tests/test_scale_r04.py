@@ -16,12 +16,12 @@ from giftrisk.sources.bank import clock
 SMOKE = "/root/testdata/sf0.001"
 
 
-def test_labels_are_read_from_the_donations_table_and_written_nowhere_else(spark, monkeypatch):
+def test_scores_and_noise_have_no_table_of_their_own(spark, monkeypatch):
     names, write = [], PL.write_stage
     monkeypatch.setattr(PL, "write_stage", lambda df, name, *a: names.append(name) or write(df, name, *a))
     p = PL.Pipeline(spark, SMOKE)
     got = p.labeled()
-    assert sorted(names) == ["donation_amounts", "donations"]
+    assert sorted(names) == ["donation_amounts", "donations", "labeled"]
     want = L.assign_labels(L.add_noise(p.scored(), {}))
     assert got.columns == want.columns
     some = ["Donation_ID", "Donation_Amount", "Is_Night_Donation", "R4_10", "Rule_Score", "Score_Noisy", "Label_Flipped", "Is_Anomalous"]
