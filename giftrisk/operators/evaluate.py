@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 from giftrisk.session import write_stage
 
+#: Distinct scores that one task orders.
+RANGE_SCORES = 100_000
+
+
 def score_counts(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """(by..., score, tp_at, fp_at): one row per distinct score."""
     by = by or []
@@ -30,10 +34,11 @@ def score_counts(df: DataFrame, score: str, label: str, by: list[str] | None = N
 
 def running_totals(g: DataFrame, by: list[str], ranges: int | None = None) -> DataFrame:
     """Adds cum_tp / cum_fp (score >= this score) and P / N per group. ``ranges``:
-    number of score ranges (by default as many as the session shuffles to)."""
+    number of score ranges (by default one for each ``RANGE_SCORES``, so that a task's
+    share does not grow with the table)."""
     down = F.col("score").desc()
     g = write_stage(g, "scores")  # the range bounds come from a pass of their own
-    g = g.repartitionByRange(ranges, down) if ranges else g.repartitionByRange(down)
+    g = g.repartitionByRange(ranges or 1 + g.count() // RANGE_SCORES, down)
     g = write_stage(g.withColumn("_b", F.spark_partition_id()), "score_ranges")  # fixes the numbers
     keys = by + ["_b"]
     totals = g.groupBy(*keys).agg(F.sum("tp_at").alias("_btp"), F.sum("fp_at").alias("_bfp"))
@@ -45,7 +50,8 @@ def running_totals(g: DataFrame, by: list[str], ranges: int | None = None) -> Da
         F.coalesce(F.sum("_bfp").over(above), F.lit(0)).alias("_ofp"),
         F.sum("_btp").over(whole).alias("P"), F.sum("_bfp").over(whole).alias("N"))
     w = Window.partitionBy(*keys).orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
-    return (g.join(totals, keys).withColumn("cum_tp", F.col("_otp") + F.sum("tp_at").over(w))
+    # a row per range; broadcast the other way round, all scores would meet in the totals' few tasks
+    return (g.join(F.broadcast(totals), keys).withColumn("cum_tp", F.col("_otp") + F.sum("tp_at").over(w))
             .withColumn("cum_fp", F.col("_ofp") + F.sum("fp_at").over(w))
             .drop("_b", "_otp", "_ofp"))
 
