@@ -122,3 +122,16 @@ def test_scores_of_one_model_are_the_rows_of_all_models(spark, monkeypatch):
     for df in few.values():
         same = whole.select(*df.columns)
         assert len(df.columns) < 6 and df.exceptAll(same).count() == 0 and same.exceptAll(df).count() == 0
+
+
+def test_stream_screen_needs_neither_draws_nor_anchors(spark, monkeypatch):
+    p = PL.Pipeline(spark, SMOKE)
+    monkeypatch.setattr(QS, "P", lambda *a: p)
+    monkeypatch.setattr(p, "anchors", lambda: 1 / 0)
+    got = QS.stream_screen(spark, SMOKE)
+    q = PL.Pipeline.get(spark, SMOKE)
+    q.donations()
+    monkeypatch.setattr(QS, "P", lambda *a: q)
+    want = QS.stream_screen(spark, SMOKE)
+    assert got.dtypes == want.dtypes and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert "donations" not in p.paths and "donor_names" in p.paths
