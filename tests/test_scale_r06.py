@@ -1,8 +1,12 @@
 """Steps of the round: late rows of many batches, models fitted on all rows."""
 
+import gc
 import inspect
+from collections import defaultdict
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -135,3 +139,30 @@ def test_stream_screen_needs_neither_draws_nor_anchors(spark, monkeypatch):
     want = QS.stream_screen(spark, SMOKE)
     assert got.dtypes == want.dtypes and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert "donations" not in p.paths and "donor_names" in p.paths
+
+
+def test_blocks_of_words_leave_nothing_for_the_collector(monkeypatch):
+    """A task cuts many blocks; a block's dictionary goes when it is written."""
+    from giftrisk.llm import lattice_lm as L
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+    monkeypatch.setattr(L, "F", MagicMock())
+    monkeypatch.setattr(L, "stage", lambda run, name: run)
+    monkeypatch.setattr(L, "BLOCK_BYTES", 100)
+    run = L.corpus_blocks(Docs())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([f"one two three w{i} one " * 5 for i in range(50)])], ["doc_id", "text"])
+    held = lambda: sum(type(o) is defaultdict and "one" in map(bytes.decode, filter(lambda k: isinstance(k, bytes), o)) for o in gc.get_objects())
+    gc.collect()
+    gc.disable()
+    try:
+        blocks = list(run([batch]))
+        assert len(blocks) > 10 and held() == 0
+    finally:
+        gc.enable()
+    words = blocks[0].column("words")[0].as_py()
+    assert words == ["one", "two", "three", "w0"] and blocks[0].column("pair_count")[0].as_py() == [10, 5, 5, 5]
